@@ -9,6 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -61,7 +62,7 @@ def ascii_lower(col) -> F.Column:
 def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut a batch so that column has about limit bytes in each part, a row at least."""
     col = batch.column(batch.schema.get_field_index(column))
-    size = pa.compute.binary_length(col).fill_null(0).to_numpy(zero_copy_only=False)
+    size = pc.binary_length(col).fill_null(0).to_numpy(zero_copy_only=False)
     part = np.cumsum(size) // limit
     cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
     for a, b in zip(cuts, cuts[1:]):
