@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, packing
+from . import bpe, chat, licenses, packing, quality
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -14,9 +14,12 @@ Query = Callable[[SparkSession, str], DataFrame]
 def queries() -> dict[str, Query]:
     return {
         "op3_best_fit_packing": packing.op3_best_fit_packing,
+        "op4_quality_rules": quality.op4_quality_rules,
+        "op5_chat_format": chat.op5_chat_format,
+        "op8_license_scan": licenses.op8_license_scan,
         "op10_bpe": bpe.op10_bpe,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_quality_rules": quality.ORACLE}

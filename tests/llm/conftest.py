@@ -1,5 +1,7 @@
 """Small fixtures for the operators of the training-data pipeline."""
 
+import os
+
 import duckdb
 import pandas as pd
 import pytest
@@ -27,7 +29,9 @@ def same():
         con = duckdb.connect()
         con.execute("SET TimeZone='UTC'")
         for t in tables:
-            con.execute(f"create view {t} as select * from read_parquet('{sf}/{t}.parquet*')" if False else f"create view {t} as select * from '{sf}/{t}.parquet/*.parquet'" if __import__("os").path.isdir(f"{sf}/{t}.parquet") else f"create view {t} as select * from '{sf}/{t}.parquet'")
+            at = f"{sf}/{t}.parquet"
+            at += "/*.parquet" if os.path.isdir(at) else ""
+            con.execute(f"create view {t} as select * from '{at}'")
         want, got = con.execute(sql).df(), df.toPandas()
         cols = sorted(want.columns)
         assert cols == sorted(got.columns)
