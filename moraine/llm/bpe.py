@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import ready, slices, table
 
 #: Distinct whitespace-free pieces whose ids a worker keeps, at most twice over.
-CACHE_ENTRIES = 200_000
+CACHE_ENTRIES = 300_000
 _END = 0x10000
 _ODD_SPACE = regex.compile("[\x1c-\x1f]")
 _SPLIT = regex.compile("[\t-\r \x85\xa0  -     　]+")
@@ -149,6 +149,19 @@ class WordBpe:
 
     def word_ids(self, word: str) -> list[int]:
         """Ids of one word given in byte characters, its last one marked."""
+        pairs = self.pairs
+        out: list[int] = []
+        last = -1
+        for _, (_, token) in self.trie.iter_long(word):  # the longest at each place, often right as it is
+            if last >= 0:
+                fit = pairs.get(last << 32 | token)
+                if not (fit or fit is None and self.fits(last, token)):
+                    return self.backtrack(word)
+            out.append(token)
+            last = token
+        return out
+
+    def backtrack(self, word: str) -> list[int]:
         n = len(word)
         at: list[list[tuple[int, int]]] = [[] for _ in range(n)]
         for last, (size, token) in self.trie.iter(word):
@@ -185,6 +198,10 @@ class WordBpe:
         """Ids of text without white space and special tokens."""
         if piece.isascii():
             piece = piece.lower()
+            if piece.isalpha():
+                return self.known[piece]
+            if piece[:-1].isalpha() and not piece[-1].isdigit():
+                return self.known[piece[:-1]] + self.known[piece[-1]]
         else:
             piece = unicodedata.normalize("NFC", piece).replace("Σ", "σ").lower()
         return b"".join(map(self.known.__getitem__, self.words.findall(piece)))
