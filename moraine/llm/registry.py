@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, licenses, packing, quality
+from . import bpe, chat, licenses, packing, quality, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,6 +16,7 @@ def queries() -> dict[str, Query]:
         "op3_best_fit_packing": packing.op3_best_fit_packing,
         "op4_quality_rules": quality.op4_quality_rules,
         "op5_chat_format": chat.op5_chat_format,
+        "op7_toxicity": toxicity.op7_toxicity,
         "op8_license_scan": licenses.op8_license_scan,
         "op10_bpe": bpe.op10_bpe,
     }
