@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, licenses, linedup, neardup, packing, quality, topk, toxicity
+from . import bpe, chat, licenses, linedup, neardup, packing, ppm, quality, topk, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -21,6 +21,7 @@ def queries() -> dict[str, Query]:
         "op6_minhash_near_dedup": neardup.op6_minhash_near_dedup,
         "op7_toxicity": toxicity.op7_toxicity,
         "op8_license_scan": licenses.op8_license_scan,
+        "op9_ppm_score": ppm.op9_ppm_score,
         "op10_bpe": bpe.op10_bpe,
     }
 
