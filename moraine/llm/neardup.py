@@ -28,7 +28,6 @@ columns are not read, or pass through keep_one.
 
 from __future__ import annotations
 
-from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -171,22 +170,33 @@ def across(entries: DataFrame, percent: int, k: int) -> DataFrame:
 
     def run(group: pa.Table) -> pa.Table:
         head, root, n, side = (group.column(c).to_numpy() for c in ("head", "root", "n", "side"))
-        sketch = [x.as_py() for x in group.column("sketch")]
-        holders: dict[int, list[int]] = defaultdict(list)
+        listed = group.column("sketch").combine_chunks()
+        sizes, flat = listed.value_lengths().to_numpy(), listed.flatten().to_numpy()
+        owner = np.repeat(np.arange(len(head)), sizes)
+        _, code, held = np.unique(flat, return_inverse=True, return_counts=True)
+        common = held[code] > 1
+        code, owner = np.unique(code[common], return_inverse=True)[1], owner[common]
+        left = np.arange(len(head)) if group.column("alone")[0].as_py() else np.flatnonzero(side == side.min())
+        right = left if len(left) == len(head) else np.flatnonzero(side != side.min())
+        least = percent / 100 - MARGIN
+        ends = np.concatenate(([0], np.cumsum(sizes)))
         out: list[tuple[int, int]] = []
-        alone = group.column("alone")[0].as_py()
-        for i in range(len(head)):
-            seen: Counter[int] = Counter()
-            for x in sketch[i]:
-                seen.update(holders[x])
-                holders[x].append(i)
-            own = set(sketch[i])
-            for j, hit in seen.items():
-                if root[i] == root[j] or not alone and side[i] == side[j] or 100 * min(n[i], n[j]) < percent * max(n[i], n[j]):
-                    continue
-                union = sorted(own.union(sketch[j]))[:k]
-                if len(own.intersection(sketch[j]).intersection(union)) >= (percent / 100 - MARGIN) * len(union):
-                    out.append((head[i], head[j]))
+        if len(left) and len(right) and len(code):
+            hits = np.zeros((len(left), len(right)), np.float32)
+            for at in range(0, int(code.max()) + 1, 2048):  # some values at a time
+                some = (code >= at) & (code < at + 2048)
+                held_by = np.zeros((len(head), 2048), np.float32)
+                held_by[owner[some], code[some] - at] = 1
+                hits += held_by[left] @ held_by[right].T
+            may = (root[left][:, None] != root[right][None, :]) & (100 * np.minimum(n[left][:, None], n[right][None, :]) >= percent * np.maximum(n[left][:, None], n[right][None, :]))
+            may &= hits >= least * np.minimum(k, sizes[left][:, None] + sizes[right][None, :] - hits)
+            for i, j in zip(*np.nonzero(may)):
+                x, y = left[i], right[j]
+                if x < y or left is not right:
+                    s, t = set(flat[ends[x] : ends[x + 1]].tolist()), set(flat[ends[y] : ends[y + 1]].tolist())
+                    union = sorted(s | t)[:k]
+                    if len((s & t).intersection(union)) >= least * len(union):
+                        out.append((int(head[x]), int(head[y])))
         return pa.table({"a": pa.array([min(p) for p in out], pa.int64()), "b": pa.array([max(p) for p in out], pa.int64())})
 
     return entries.groupBy("key", "one", "two").applyInArrow(run, "a long, b long").distinct()
