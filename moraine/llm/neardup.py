@@ -11,10 +11,13 @@ of k - 2 places (below 1e-7 at 0.8, and below 1e-8 at 0.85, for k = 48).
 Lists are never expanded into all pairs. First every list pairs its least class
 with each other one. Pairs of fitting sizes pass if the union sketch (the k
 least values of both) estimates enough overlap, and the full sets decide. Then
-only lists whose classes still lie in different components are searched, within
-blocks of at most BLOCK classes; there a pair from different components that
-passes the estimate is decided on the full sets as well. Links within a
-component change nothing, so no link between components is lost.
+lists whose classes still lie in different components are searched, in blocks,
+for pairs that pass the estimate; a block hands on a spanning forest of them, a
+row for each class at most. The forests' components are clusters: every pair
+left to decide lies inside one. A cluster's full sets meet in blocks, which
+decide every pair by the exact overlaps (a matrix product over shared shingles)
+and hand on spanning links. Links within a component change nothing, so no link
+between components is lost.
 
 Full sets are made anew for documents in candidate pairs only; a bitmap of
 their ids (BITS bits, whatever the input) picks them where the texts lie.
@@ -39,6 +42,8 @@ from .common import LOWER, keep, mix64, ready, slices, span_hashes, table, text_
 from .components import components
 
 K, RUN, SMALL, BLOCK, BITS = 48, 3, 20, 1024, 1 << 26
+#: Shingles in a block of a cluster.
+WEIGHT = 1_000_000
 MARGIN = 0.3
 _ONE, _TWO, _THREE = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 
@@ -111,10 +116,10 @@ def sketches(rows: DataFrame, size: int, k: int) -> DataFrame:
 
 
 def postings(heads: DataFrame, small: int) -> DataFrame:
-    """key, head, n for each inverted list a class stands in."""
+    """key, head for each inverted list a class stands in."""
     runs = F.when(F.size("sketch") >= RUN, F.transform(F.sequence(F.lit(1), F.size("sketch") - RUN + 1), lambda i: F.xxhash64(*(F.element_at("sketch", (i + j).cast("int")) for j in range(RUN))))).otherwise(F.array().cast("array<long>"))
     single = F.when(F.col("n") <= small, F.transform("sketch", lambda x: F.xxhash64(x))).otherwise(F.array().cast("array<long>"))
-    return heads.select(F.explode(F.concat(runs, single)).alias("key"), "head", "n")
+    return heads.select(F.explode(F.concat(runs, single)).alias("key"), "head")
 
 
 def may_fit(percent: int) -> F.Column:
@@ -132,10 +137,9 @@ def estimated(pairs: DataFrame, heads: DataFrame, percent: int, k: int) -> DataF
     return both.where(hit >= (percent / 100 - MARGIN) * F.size(union)).select("a", "b").distinct()
 
 
-def verified(pairs: DataFrame, rows: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of doc_ids whose full sets are similar enough, as (u, v)."""
+def full_sets(ids: DataFrame, rows: DataFrame, size: int) -> DataFrame:
+    """doc_id, shingles of the documents with these ids (doc_id)."""
     sc = rows.sparkSession.sparkContext
-    ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
     place = F.pmod(F.xxhash64("doc_id"), F.lit(BITS))
     # bitmap positions count from 1, in buckets of 32768 from 1; BITS / 32768 rows of 4 KB at most
     bits = np.zeros(BITS // 8, np.uint8)
@@ -155,51 +159,110 @@ def verified(pairs: DataFrame, rows: DataFrame, size: int, percent: int) -> Data
                 yield pa.RecordBatch.from_arrays([batch.column(0), lists(value, off)], ["doc_id", "shingles"])
 
     placed = rows.where("doc_id is not null").select("doc_id", "text", place.alias("p"))
-    sets = placed.mapInArrow(run, "doc_id long, shingles array<long>")
-    sets = keep(sets.join(ids, "doc_id", "left_semi"), "sets")
+    return placed.mapInArrow(run, "doc_id long, shingles array<long>").join(ids, "doc_id", "left_semi")
+
+
+def verified(pairs: DataFrame, rows: DataFrame, size: int, percent: int) -> DataFrame:
+    """The pairs (a, b) of doc_ids whose full sets are similar enough, as (u, v)."""
+    ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
+    sets = keep(full_sets(ids, rows, size), "sets")
     pairs = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y")), "b")
     both = F.size(F.array_intersect("x", "y"))
     return pairs.select("a", "b", both.alias("i"), (F.size("x") + F.size("y")).alias("s")).where(100 * F.col("i") >= percent * (F.col("s") - F.col("i"))).select(F.col("a").alias("u"), F.col("b").alias("v")).distinct()
 
 
+def overlaps(listed: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    """Sizes of some sets of numbers, and how many every two have in common."""
+    sizes, flat = listed.value_lengths().to_numpy(), listed.flatten().to_numpy()
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    _, code, held = np.unique(flat, return_inverse=True, return_counts=True)
+    common = held[code] > 1
+    code, owner = code[common], owner[common]
+    hits = np.zeros((len(sizes), len(sizes)), np.float32)
+    if len(code):
+        code = np.unique(code, return_inverse=True)[1]
+        order = np.argsort(code, kind="stable")
+        code, owner = code[order], owner[order]
+        for at in range(0, int(code[-1]) + 1, 1024):  # some values at a time
+            a, b = np.searchsorted(code, (at, at + 1024))
+            held_by = np.zeros((len(sizes), 1024), np.float32)
+            held_by[owner[a:b], code[a:b] - at] = 1
+            used = np.unique(owner[a:b])
+            some = held_by[used]
+            hits[np.ix_(used, used)] += some @ some.T
+    return sizes, hits
+
+
+def forest(may: np.ndarray, root: np.ndarray) -> list[tuple[int, int]]:
+    """Edges of may that join what root does not already hold together."""
+    own = {r: i for i, r in enumerate(np.unique(root).tolist())}
+    group = np.array([own[r] for r in root.tolist()])
+    out: list[tuple[int, int]] = []
+    left = np.ones(len(root), bool)
+    while left.any():
+        start = int(np.flatnonzero(left)[0])
+        todo = np.flatnonzero(group == group[start]).tolist()
+        left[todo] = False
+        while todo:
+            i = todo.pop()
+            for j in np.flatnonzero(may[i] & left).tolist():
+                if left[j]:
+                    out.append((i, j))
+                    more = np.flatnonzero((group == group[j]) & left)
+                    left[more] = False
+                    todo += more.tolist()
+    return out
+
+
+def in_blocks(members: DataFrame, by: str, weight: str) -> DataFrame:
+    """Rows of groups of any size dealt to pairs of blocks (by, one, two): each two rows of a group meet."""
+    parts = members.groupBy(by).agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum(weight) / WEIGHT)).cast("int").alias("parts"))
+    dealt = members.join(parts, by).withColumn("block", F.pmod(F.xxhash64("head"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    return dealt.withColumn("one", F.least("block", "other")).withColumn("two", F.greatest("block", "other")).drop("parts", "block", "other")
+
+
 def across(entries: DataFrame, percent: int, k: int) -> DataFrame:
-    """Pairs (a, b) of one list, from different components, that pass the estimate.
+    """Forests (u, v) of the pairs in a list that pass the estimate. entries: key, one, two, head, root, n, sketch."""
+
+    def run(group: pa.Table) -> pa.Table:
+        head, root, n = (group.column(c).to_numpy() for c in ("head", "root", "n"))
+        sizes, hits = overlaps(group.column("sketch").combine_chunks())
+        # what both sketches share is at least what the union's k least values share
+        may = hits >= (percent / 100 - MARGIN) * np.minimum(k, sizes[:, None] + sizes[None, :] - hits)
+        may &= 100 * np.minimum(n[:, None], n[None, :]) >= percent * np.maximum(n[:, None], n[None, :])
+        return edges(head, forest(may, root))
+
+    return entries.select("key", "one", "two", "head", "root", "n", "sketch").groupBy("key", "one", "two").applyInArrow(run, "u long, v long").distinct()
 
-    entries: key, part (of the two blocks), side, head, root, n, sketch.
-    """
+
+def inside(entries: DataFrame, percent: int) -> DataFrame:
+    """Forests (u, v) of the true links in a cluster. entries: cluster, one, two, head, root, shingles."""
 
     def run(group: pa.Table) -> pa.Table:
-        head, root, n, side = (group.column(c).to_numpy() for c in ("head", "root", "n", "side"))
-        listed = group.column("sketch").combine_chunks()
-        sizes, flat = listed.value_lengths().to_numpy(), listed.flatten().to_numpy()
-        owner = np.repeat(np.arange(len(head)), sizes)
-        _, code, held = np.unique(flat, return_inverse=True, return_counts=True)
-        common = held[code] > 1
-        code, owner = np.unique(code[common], return_inverse=True)[1], owner[common]
-        left = np.arange(len(head)) if group.column("alone")[0].as_py() else np.flatnonzero(side == side.min())
-        right = left if len(left) == len(head) else np.flatnonzero(side != side.min())
-        least = percent / 100 - MARGIN
-        ends = np.concatenate(([0], np.cumsum(sizes)))
-        out: list[tuple[int, int]] = []
-        if len(left) and len(right) and len(code):
-            hits = np.zeros((len(left), len(right)), np.float32)
-            for at in range(0, int(code.max()) + 1, 2048):  # some values at a time
-                some = (code >= at) & (code < at + 2048)
-                held_by = np.zeros((len(head), 2048), np.float32)
-                held_by[owner[some], code[some] - at] = 1
-                hits += held_by[left] @ held_by[right].T
-            may = (root[left][:, None] != root[right][None, :]) & (100 * np.minimum(n[left][:, None], n[right][None, :]) >= percent * np.maximum(n[left][:, None], n[right][None, :]))
-            may &= hits >= least * np.minimum(k, sizes[left][:, None] + sizes[right][None, :] - hits)
-            for i, j in zip(*np.nonzero(may)):
-                x, y = left[i], right[j]
-                if x < y or left is not right:
-                    s, t = set(flat[ends[x] : ends[x + 1]].tolist()), set(flat[ends[y] : ends[y + 1]].tolist())
-                    union = sorted(s | t)[:k]
-                    if len((s & t).intersection(union)) >= least * len(union):
-                        out.append((int(head[x]), int(head[y])))
-        return pa.table({"a": pa.array([min(p) for p in out], pa.int64()), "b": pa.array([max(p) for p in out], pa.int64())})
-
-    return entries.groupBy("key", "one", "two").applyInArrow(run, "a long, b long").distinct()
+        head, root = (group.column(c).to_numpy() for c in ("head", "root"))
+        sizes, hits = overlaps(group.column("shingles").combine_chunks())
+        return edges(head, forest(100 * hits.astype(np.float64) >= percent * (sizes[:, None] + sizes[None, :] - hits), root))
+
+    return entries.select("cluster", "one", "two", "head", "root", "shingles").groupBy("cluster", "one", "two").applyInArrow(run, "u long, v long").distinct()
+
+
+def edges(head: np.ndarray, pairs: list[tuple[int, int]]) -> pa.Table:
+    return pa.table({"u": pa.array([int(head[i]) for i, _ in pairs], pa.int64()), "v": pa.array([int(head[j]) for _, j in pairs], pa.int64())})
+
+
+def whole_clusters(clusters: DataFrame, roots: DataFrame) -> DataFrame:
+    """cluster, head, root of all classes to decide: forests join components, so clusters take in their classes.
+
+    A forest links one class of a component for all of them; the pairs behind it
+    may be others, so every class of a component in a forest joins its cluster.
+    """
+    own = clusters.join(roots, "head", "left").withColumn("root", F.coalesce("root", "head"))
+    joined = own.select(F.col("cluster").alias("u"), F.col("root").alias("v"))
+    # clusters and components that touch are one; numbers of both kinds are ids of classes
+    same = components(own.select(F.col("head").alias("u"), F.col("cluster").alias("v")).unionByName(own.select(F.col("head").alias("u"), F.col("root").alias("v"))).unionByName(joined))
+    touched = own.select("root").distinct()
+    all_ = roots.join(touched, "root", "left_semi").select("head", "root").unionByName(own.select("head", "root")).distinct()
+    return keep(all_.join(same.select(F.col("node").alias("root"), F.col("root").alias("cluster")), "root"), "clusters")
 
 
 def classes(docs: DataFrame, size: int, percent: int, k: int = K, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -211,23 +274,26 @@ def classes(docs: DataFrame, size: int, percent: int, k: int = K, doc_id: str =
     heads = linked.groupBy("name").agg(F.min("doc_id").alias("head"))
     members = keep(linked.join(heads, "name").select("doc_id", "n", "head", F.when(F.col("doc_id") == F.col("head"), F.col("sketch")).alias("sketch")), "members")
     heads = members.where("sketch is not null").select("head", "n", "sketch")
-    listed = postings(heads, SMALL)
-    shared = keep(listed.groupBy("key").agg(F.min("head").alias("a"), F.max("head").alias("most"), F.min_by("n", "head").alias("n_a")).where("a < most").drop("most"), "lists")
-    entries = keep(listed.join(shared, "key").select("key", "a", "n_a", F.col("head").alias("b"), F.col("n").alias("n_b")), "entries")
-    stars = entries.where(F.col("a") != F.col("b")).where(may_fit(percent)).select("a", "b").distinct()
+    listed = postings(heads, SMALL).repartition("key")  # one exchange for both uses
+    shared = listed.groupBy("key").agg(F.min("head").alias("a"), F.max("head").alias("most")).where("a < most").drop("most")
+    entries = keep(listed.join(shared, "key").select("key", "a", F.col("head").alias("b")), "entries")
+    size_of = lambda x: heads.groupBy(F.col("head").alias(x)).agg(F.min("n").alias(f"n_{x}"))
+    stars = entries.where("a <> b").select("a", "b").distinct().join(size_of("a"), "a").join(size_of("b"), "b").where(may_fit(percent)).select("a", "b")
     stars = keep(estimated(stars, heads, percent, k), "stars")
     links = keep(verified(stars, rows, size, percent), "links")
-    roots = keep(components(links), "roots")
+    roots = keep(components(links), "roots").withColumnRenamed("node", "head")
     # lists whose classes are still in different components
-    rooted = entries.select("key", F.col("b").alias("head"), F.col("n_b").alias("n")).join(roots.withColumnRenamed("node", "head"), "head", "left").withColumn("root", F.coalesce("root", "head"))
-    rooted = keep(rooted.distinct(), "rooted")
-    mixed = rooted.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("m")).where("x < y").select("key", F.ceil(F.col("m") / BLOCK).cast("int").alias("parts"))
-    spread = rooted.join(mixed, "key").withColumn("block", F.pmod(F.xxhash64("head"), F.col("parts")).cast("int"))
-    spread = spread.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    spread = spread.select("key", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), F.col("block").alias("side"), "head", "root", "n").withColumn("alone", F.col("one") == F.col("two"))
-    spread = spread.join(heads.select("head", "sketch").dropDuplicates(["head"]), "head")
-    more = keep(across(spread, percent, k), "across")
-    found = verified(more, rows, size, percent)
+    rooted = entries.select("key", F.col("b").alias("head")).distinct().join(roots, "head", "left").withColumn("root", F.coalesce("root", "head"))
+    rooted = keep(rooted, "rooted")
+    mixed = rooted.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("key")
+    sketch_of = heads.dropDuplicates(["head"]).select("head", "n", "sketch")
+    spread = in_blocks(rooted.join(mixed, "key", "left_semi").withColumn("w", F.lit(0)), "key", "w").join(sketch_of, "head")
+    clusters = keep(components(keep(across(spread, percent, k), "across")), "clusters").select(F.col("node").alias("head"), F.col("root").alias("cluster"))
+    # a root's classes that stand in no forest are held by the root's other classes
+    clusters = whole_clusters(clusters, roots)
+    sets = full_sets(clusters.select(F.col("head").alias("doc_id")), rows, size).withColumnRenamed("doc_id", "head").dropDuplicates(["head"])
+    met = keep(clusters.join(sets, "head").withColumn("w", F.size("shingles")), "clustered")
+    found = inside(in_blocks(met, "cluster", "w"), percent)
     roots = keep(components(links.unionByName(found)), "roots")
     label = members.select("doc_id", F.col("n").alias("n_shingles"), "head").join(roots.withColumnRenamed("node", "head"), "head", "left")
     done = label.select("doc_id", "n_shingles", F.coalesce("root", "head").alias("component_id"))
