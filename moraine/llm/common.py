@@ -59,6 +59,35 @@ def ascii_lower(col) -> F.Column:
     return F.translate(col, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+#: Bits of an id bitmap, whatever the input.
+BITS = 1 << 26
+
+
+def bit_of(column: str) -> F.Column:
+    """The bit that stands for an id in a bitmap of ids."""
+    return F.pmod(F.xxhash64(column), F.lit(BITS))
+
+
+def id_bitmap(ids: DataFrame, column: str) -> np.ndarray:
+    """BITS bits in which those of the ids are set: what has its bit unset is none of them.
+
+    Rows of 4 KB are gathered, BITS / 32768 at most.
+    """
+    bits = np.zeros(BITS // 8, np.uint8)
+    # bitmap positions count from 1, in buckets of 32768 from 1
+    rows = ids.select((bit_of(column) + 1).alias("p")).groupBy(F.expr("bitmap_bucket_number(p)").alias("k")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(p))").alias("bits"))
+    for r in rows.toLocalIterator():
+        part = np.frombuffer(bytes(r["bits"]), np.uint8)
+        at = (r["k"] - 1) * 4096
+        bits[at : at + len(part)] |= part[: len(bits) - at]
+    return bits
+
+
+def has_bit(bits: np.ndarray, place: pa.Array) -> np.ndarray:
+    p = place.to_numpy(zero_copy_only=False)
+    return (bits[p // 8] >> (p % 8).astype(np.uint8)) & 1 == 1
+
+
 def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut a batch so that column has about limit bytes in each part, a row at least."""
     col = batch.column(batch.schema.get_field_index(column))

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import keep, ready, slices, table
+from .common import bit_of, has_bit, id_bitmap, keep, ready, slices, table
 
 LEAST_WORDS = 8
 
@@ -136,11 +136,33 @@ def cut(text: str | None, runs: list[dict] | None) -> tuple[str | None, int, int
     return "\n".join(x for i, x in enumerate(lines) if i not in gone), len(places), len(gone)
 
 
+def split_by_runs(rows: DataFrame, runs: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """rows that surely have no runs, with _runs null, where they lie; and the others, joined with their runs.
+
+    Only documents that may lose lines are shuffled. Runs compress well, so that
+    their files' size says little about them: they are never broadcast.
+    """
+    names = rows.columns
+    bits = rows.sparkSession.sparkContext.broadcast(id_bitmap(runs, key))
+    placed = rows.withColumn("_bit", bit_of(key))
+
+    def part(want: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            flags = bits.value
+            for batch in batches:
+                hit = has_bit(flags, batch.column(len(names)))
+                yield batch.select(names).filter(pa.array(hit if want else ~hit))
+
+        return placed.mapInArrow(run, rows.schema)
+
+    return part(False).withColumn("_runs", F.lit(None).cast("array<struct<p:int,w:int>>")), part(True).join(runs.hint("merge"), key, "left")
+
+
 def dedup_lines(docs: DataFrame, least_words: int = LEAST_WORDS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_lines, n_deleted, deleted (first and last line of each run, from 0 among lines with words), text."""
     ready(docs.sparkSession)
     rows, key = keyed(docs.selectExpr(f"cast(`{doc_id}` as bigint) doc_id", f"cast(`{text}` as string) text"), "doc_id")
-    runs = keep(deleted(rows, key, "text", least_words), "deleted").withColumnRenamed("d", key)
+    runs = keep(deleted(rows, key, "text", least_words), "deleted").withColumnRenamed("d", key).withColumnRenamed("runs", "_runs")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         span = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))
@@ -159,8 +181,8 @@ def dedup_lines(docs: DataFrame, least_words: int = LEAST_WORDS, doc_id: str = "
                 kinds = (pa.int64(), pa.int64(), span, pa.string())
                 yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(zip(*out), kinds))], ["doc_id", "n_lines", "n_deleted", "deleted", "text"])
 
-    both = rows.join(runs, key, "left").select("doc_id", "text", "runs")
-    return both.mapInArrow(run, "doc_id long, n_lines long, n_deleted long, deleted array<struct<first:int,last:int>>, text string")
+    parts = [x.select("doc_id", "text", "_runs").mapInArrow(run, "doc_id long, n_lines long, n_deleted long, deleted array<struct<first:int,last:int>>, text string") for x in split_by_runs(rows, runs, key)]
+    return parts[0].unionByName(parts[1])
 
 
 def keep_first_lines(docs: DataFrame, least_words: int = LEAST_WORDS, doc_id: str = "doc_id", text: str = "text", n_chars: str = "n_chars") -> DataFrame:
@@ -169,7 +191,6 @@ def keep_first_lines(docs: DataFrame, least_words: int = LEAST_WORDS, doc_id: st
     rows, key = keyed(docs, doc_id)
     runs = keep(deleted(rows, key, text, least_words), "deleted").withColumnRenamed("d", key).withColumnRenamed("runs", "_runs")
     place, names = docs.columns.index(text), docs.columns
-    both = rows.join(runs, key, "left").select(*names, "_runs")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for big in batches:
@@ -183,7 +204,8 @@ def keep_first_lines(docs: DataFrame, least_words: int = LEAST_WORDS, doc_id: st
                     columns[at] = pa.array(size, columns[at].type)
                 yield pa.RecordBatch.from_arrays(columns, names).filter(pa.array([not gone or gone < n for _, n, gone in found], pa.bool_()))
 
-    return both.mapInArrow(run, docs.schema)
+    whole, some = split_by_runs(rows, runs, key)
+    return whole.select(*names).unionByName(some.select(*names, "_runs").mapInArrow(run, docs.schema))
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

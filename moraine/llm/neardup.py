@@ -38,10 +38,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, keep, mix64, ready, slices, span_hashes, table, text_bytes, word_spans
+from .common import LOWER, bit_of, has_bit, id_bitmap, keep, mix64, ready, slices, span_hashes, table, text_bytes, word_spans
 from .components import components
 
-K, RUN, SMALL, BLOCK, BITS = 48, 3, 20, 1024, 1 << 26
+K, RUN, SMALL, BLOCK = 48, 3, 20, 1024
 #: Shingles in a block of a cluster.
 WEIGHT = 1_000_000
 MARGIN = 0.3
@@ -139,26 +139,17 @@ def estimated(pairs: DataFrame, heads: DataFrame, percent: int, k: int) -> DataF
 
 def full_sets(ids: DataFrame, rows: DataFrame, size: int) -> DataFrame:
     """doc_id, shingles of the documents with these ids (doc_id)."""
-    sc = rows.sparkSession.sparkContext
-    place = F.pmod(F.xxhash64("doc_id"), F.lit(BITS))
-    # bitmap positions count from 1, in buckets of 32768 from 1; BITS / 32768 rows of 4 KB at most
-    bits = np.zeros(BITS // 8, np.uint8)
-    for r in ids.select((place + 1).alias("p")).groupBy(F.expr("bitmap_bucket_number(p)").alias("k")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(p))").alias("bits")).toLocalIterator():
-        part = np.frombuffer(bytes(r["bits"]), np.uint8)
-        at = (r["k"] - 1) * 4096
-        bits[at : at + len(part)] |= part[: len(bits) - at]
-    wanted = sc.broadcast(bits)
+    wanted = rows.sparkSession.sparkContext.broadcast(id_bitmap(ids, "doc_id"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         flags = wanted.value
         for big in batches:
-            p = big.column(2).to_numpy(zero_copy_only=False)
-            some = big.filter(pa.array((flags[p // 8 % len(flags)] >> (p % 8).astype(np.uint8)) & 1 == 1))
+            some = big.filter(pa.array(has_bit(flags, big.column(2))))
             for batch in slices(some, "text") if some.num_rows else ():
                 value, off = shingle_sets(batch.column(1), size)
                 yield pa.RecordBatch.from_arrays([batch.column(0), lists(value, off)], ["doc_id", "shingles"])
 
-    placed = rows.where("doc_id is not null").select("doc_id", "text", place.alias("p"))
+    placed = rows.where("doc_id is not null").select("doc_id", "text", bit_of("doc_id").alias("p"))
     return placed.mapInArrow(run, "doc_id long, shingles array<long>").join(ids, "doc_id", "left_semi")
 
 
@@ -304,7 +295,22 @@ def classes(docs: DataFrame, size: int, percent: int, k: int = K, doc_id: str =
 def keep_one(docs: DataFrame, size: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of docs without the documents of a group but its first."""
     gone = keep(classes(docs, size, percent, doc_id=doc_id, text=text).where("not kept").select(F.col("doc_id").alias("_gone")), "gone")
-    return docs.join(gone, docs[doc_id] == gone["_gone"], "left_anti")
+    # only documents that may go are shuffled
+    bits = docs.sparkSession.sparkContext.broadcast(id_bitmap(gone, "_gone"))
+    names, schema = docs.columns, docs.schema
+    placed = docs.withColumn("_key", F.col(doc_id).cast("long")).withColumn("_bit", bit_of("_key")).select(*names, "_bit")
+
+    def part(want: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            flags = bits.value
+            for batch in batches:
+                hit = has_bit(flags, batch.column(len(names)))
+                yield batch.select(names).filter(pa.array(hit if want else ~hit))
+
+        return placed.mapInArrow(run, schema)
+
+    some = part(True)
+    return part(False).unionByName(some.join(gone.hint("merge"), some[doc_id] == gone["_gone"], "left_anti"))
 
 
 def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
