@@ -29,7 +29,7 @@ def ready(spark: SparkSession) -> SparkSession:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share: spark.checkpoint.dir. Only a local session may lack it."""
     sc = spark.sparkContext
-    at = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("moraine.shared.dir", None)
+    at = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("moraine.shared.dir", None)
     if not at:
         if not sc.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
