@@ -87,3 +87,45 @@ def json_escaped(text: Column) -> Column:
         short = {8: "\\b", 9: "\\t", 10: "\\n", 12: "\\f", 13: "\\r"}.get(code, f"\\u{code:04x}")
         out = F.replace(out, F.lit(chr(code)), F.lit(short))
     return out
+
+
+def prelude_json(patterns: Column) -> Column:
+    """The prelude of an archive: its exclude patterns, one a line, as JSON."""
+    return F.concat(F.lit('{"exclude-patterns":"'), json_escaped(patterns), F.lit('"}'))
+
+
+def sized(data: Column, size: Column) -> Column:
+    """Bytes cut or filled up with zeros to a declared size."""
+    return F.rpad(data, size.cast("int"), F.lit(b"\0"))
+
+
+def size_warning(actual: Column, size: Column) -> Column:
+    """What to tell about content that differs from its declared size; a longer one is probed by one byte only."""
+    return F.when(actual < size, F.concat(F.lit("size-changed "), actual)).when(actual > size, F.concat(F.lit("size-changed "), size + 1))
+
+
+def snapshot_path(kind: Column, name: Column, seconds: Column) -> Column:
+    """type/id/time of a snapshot, the time in UTC to the second."""
+    at = F.expr("timestamp_ntz'1970-01-01 00:00:00'") + F.make_dt_interval(secs=seconds)
+    return F.concat(kind, F.lit("/"), name, F.lit("/"), F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss'Z'"))
+
+
+def comment(notes: Column) -> Column:
+    """The first line of a snapshot's notes."""
+    return F.split(notes, "\n")[0]
+
+
+def blob_name(name: Column) -> Column:
+    """A blob's completed name; null if it cannot be one: empty, with a slash or NUL, or reserved."""
+    full = F.when(F.endswith(name, F.lit(".blob")), name).otherwise(F.concat(name, F.lit(".blob")))
+    return F.when(name_valid(name) & ~full.isin("index.json.blob", "rsa-encrypted.key.blob"), full)
+
+
+def colon_hex(digest: Column) -> Column:
+    """A digest's hex digits in pairs with colons between."""
+    return F.regexp_replace(F.regexp_replace(digest, "(..)", "$1:"), ":$", "")
+
+
+def reserved_child(path: Column) -> Column:
+    """Whether a node is the root's child whose name the archive keeps for itself."""
+    return path == ".pxarexclude-cli"

@@ -199,4 +199,16 @@ def build() -> dict[str, str]:
     out["dangling_chunks"] = f"with {chunks()} select stream_id, seq, digest from c1 where starts_with(digest, '7')"
     out["tampered_chunks"] = f"""with {docs(1)}, x as (select case when doc_id % 8 = 0 then sha256('other') else sha256(text) end as digest, case when doc_id % 9 = 0 then 'size' when doc_id % 8 = 0 then 'digest' end as problem from d1)
       select digest, problem, count(*) as n from x where problem is not null group by 1, 2"""
+    esc = "replace(replace(text, chr(92), chr(92) || chr(92)), '\"', chr(92) || '\"')"
+    for code in range(32):
+        short = {8: "b", 9: "t", 10: "n", 12: "f", 13: "r"}.get(code, f"u{code:04x}")
+        if code:
+            esc = f"replace({esc}, chr({code}), chr(92) || '{short}')"
+    out["preludes"] = f"""with {docs(1)} select doc_id, sha256('{{"exclude-patterns":"' || {esc} || '"}}') as digest from d1 where doc_id % 3 = 0"""
+    out["declared_sizes"] = f"""with {docs(1)}, x as (select doc_id, doc_id % 40 * 50 as size, strlen(text) as actual, hex(encode(text)) as h from d1)
+      select doc_id, size, size as written, sha256(rpad(substring(h, 1, (2 * size)::int), (2 * size)::int, '0')) as digest, case when actual < size then 'size-changed ' || actual when actual > size then 'size-changed ' || (size + 1) end as warning from x"""
+    out["snapshot_paths"] = f"with {SNAPS} select event_id, type || '/' || id || '/' || strftime(make_timestamp(time * 1000000), '%Y-%m-%dT%H:%M:%SZ') as path, ns as comment from s"
+    out["blob_names"] = "select p_partkey, case p_partkey % 5 when 3 then p_name || '.blob' when 4 then p_name || '.blob' end as blob_name from part"
+    out["fingerprints"] = f"with {docs(1)} select doc_id, regexp_replace(regexp_replace(sha256(sha256(path) || 'key'), '(..)', '\\1:', 'g'), ':$', '') as fingerprint, sha256(text || 'key') as keyed_digest from d1"
+    out["reserved_children"] = f"with {docs(1)} select case when doc_id % 9 = 1 then dir || '/.pxarexclude-cli' else path end as path, count(*) as n from d1 where doc_id % 9 <> 0 group by 1"
     return out

@@ -368,7 +368,39 @@ def tampered_chunks(spark: SparkSession, sf: str) -> DataFrame:
     return verify.tampered(store).groupBy("digest", "problem").agg(F.count("*").alias("n"))
 
 
+def preludes(spark: SparkSession, sf: str) -> DataFrame:
+    return m.documents(spark, sf).where("doc_id % 3 = 0").select("doc_id", F.sha2(names.prelude_json(F.col("text")), 256).alias("digest"))
+
+
+def declared_sizes(spark: SparkSession, sf: str) -> DataFrame:
+    """Contents cut or filled up to a declared size, with what is to be told about it."""
+    size, actual = (F.col("doc_id") % 40) * 50, F.octet_length("text").cast("long")
+    d = m.documents(spark, sf).select("doc_id", size.alias("size"), actual.alias("actual"), F.hex(names.sized(F.encode("text", "utf-8"), size)).alias("h"))
+    return d.select("doc_id", "size", (F.length("h") / 2).cast("long").alias("written"), F.sha2("h", 256).alias("digest"), names.size_warning(F.col("actual"), F.col("size")).alias("warning"))
+
+
+def snapshot_paths(spark: SparkSession, sf: str) -> DataFrame:
+    s = m.snapshots(spark, sf)
+    return s.select("event_id", names.snapshot_path(F.col("type"), F.col("id"), F.col("time")).alias("path"), names.comment(F.concat("ns", F.lit("\nmore"))).alias("comment"))
+
+
+def blob_names(spark: SparkSession, sf: str) -> DataFrame:
+    n = m.table(spark, sf, "part").select("p_partkey", F.element_at(F.array(F.lit(""), F.lit("index.json"), F.lit("a/b"), F.col("p_name"), F.concat("p_name", F.lit(".blob"))), (F.col("p_partkey") % 5 + 1).cast("int")).alias("n"))
+    return n.select("p_partkey", names.blob_name(F.col("n")).alias("blob_name"))
+
+
+def fingerprints(spark: SparkSession, sf: str) -> DataFrame:
+    return m.documents(spark, sf).select("doc_id", names.colon_hex(F.sha2(F.concat(F.sha2("path", 256), F.lit("key")), 256)).alias("fingerprint"), F.sha2(F.concat("text", F.lit("key")), 256).alias("keyed_digest"))
+
+
+def reserved_children(spark: SparkSession, sf: str) -> DataFrame:
+    """The tree without the reserved child of its root; deeper ones stay."""
+    p = m.documents(spark, sf).select(F.when(F.col("doc_id") % 9 == 0, ".pxarexclude-cli").when(F.col("doc_id") % 9 == 1, F.concat("dir", F.lit("/.pxarexclude-cli"))).otherwise(F.col("path")).alias("path"))
+    return p.where(~names.reserved_child(F.col("path"))).groupBy("path").agg(F.count("*").alias("n"))
+
+
 NAMED = (
+    preludes, declared_sizes, snapshot_paths, blob_names, fingerprints, reserved_children,
     tree_nodes, tree_ancestors, tree_totals, virtual_root, hardlink_targets, duplicate_names, prune_subtree, on_exclude_audit, scoped_exclude, labelled_out, covered_paths, valid_names, index_names,
     metadata_sizes, estimate_v1, estimate_v2, v1_offsets, v2_payload_refs, dir_spans, hardlink_offsets, subtree_sizes, wide_tree,
     cdc_chunks, cdc_bounds_check, cdc_size_histogram, cdc_new_bytes, fixed_chunks, dedup_intra, dedup_previous, upload_stats, index_entries, index_checksum, index_batches, progress_running, stored_chunks, known_set, common_chunks, inject_frames,
