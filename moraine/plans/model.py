@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import names
 from ..operators import layout, tree
+from ..sources.staging import staged
 
 BLOCK = 512
 T0 = 1_700_000_000
@@ -30,8 +31,8 @@ def documents(spark: SparkSession, sf_dir: str, snapshot: int = 1) -> DataFrame:
 
 
 def nodes(spark: SparkSession, sf_dir: str, snapshot: int = 1) -> DataFrame:
-    """The documents as a tree: exact copies are hardlinks of one inode."""
-    d = documents(spark, sf_dir, snapshot).withColumn("h", F.sha2("text", 256))
+    """The documents as a tree: exact copies are hardlinks of one inode. A node table is written once and then used."""
+    d = documents(spark, sf_dir, snapshot).withColumn("h", F.sha2("text", 256)).withColumn("text", F.octet_length("text").cast("long"))
     inode = d.groupBy("h").agg(F.min("doc_id").alias("ino"), F.count("*").alias("nlink"))
     none = F.lit(None)
     xattrs = F.when(F.col("doc_id") % 7 == 0, F.array(F.struct(F.lit("user.lang").alias("name"), F.encode("lang", "utf-8").alias("value"))))
@@ -40,12 +41,13 @@ def nodes(spark: SparkSession, sf_dir: str, snapshot: int = 1) -> DataFrame:
     acl = F.when(F.col("doc_id") % 11 == 0, F.struct(ids.alias("users"), no_ids.alias("groups"), F.lit(4).cast("long").alias("group_obj"), none.cast("bigint").alias("default"), no_ids.alias("default_users"), no_ids.alias("default_groups")))
     files = d.join(inode, "h").select(
         "path", F.lit("file").alias("kind"), F.when(F.col("doc_id") % 5 == 0, 33152).otherwise(33188).cast("long").alias("mode"), (F.col("doc_id") % 3).alias("uid"), (F.col("doc_id") % 4).alias("gid"),
-        "mtime_secs", F.octet_length("text").cast("long").alias("size"), F.lit(1).cast("long").alias("dev"), "ino", "nlink",
+        "mtime_secs", F.col("text").alias("size"), F.lit(1).cast("long").alias("dev"), "ino", "nlink",
         names.metadata_size(xattrs, acl, none.cast("binary"), F.lit(0)).cast("long").alias("meta_size"),
     )
+    files = staged(files, "files")
     long = lambda x: F.lit(x).cast("long")
     folders = tree.with_directories(files).select("path", "kind", long(16877).alias("mode"), long(0).alias("uid"), long(0).alias("gid"), long(T0).alias("mtime_secs"), long(0).alias("size"), long(1).alias("dev"), long(-1).alias("ino"), long(1).alias("nlink"), long(names.ENTRY).alias("meta_size"))
-    return tree.hardlink_targets(files.unionByName(folders))
+    return staged(tree.hardlink_targets(files.unionByName(folders)), "nodes")
 
 
 def page_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:

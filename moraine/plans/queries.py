@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import chunking, names, patterns
 from ..operators import browse, dedup, layout, reuse, snapshots, tree, verify
+from ..sources.staging import staged
 from . import model as m
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -27,22 +28,23 @@ PATTERN_LISTS = {
 PRUNE = ["de/", "!src1/de", "/src2", "!/src2/en/*", "d*3.txt", "!d*13.txt"]
 
 
-def prev_chunks(spark: SparkSession, sf: str) -> DataFrame:
-    """The first snapshot's payload in chunks of SPAN bytes."""
-    end = m.payload(m.nodes(spark, sf)).agg(F.max(F.col("payload_offset") + 16 + F.col("size")).alias("n"))
+def prev_chunks(prev: DataFrame) -> DataFrame:
+    """The previous snapshot's payload in chunks of SPAN bytes."""
+    end = prev.agg(F.max(F.col("payload_offset") + 16 + F.col("size")).alias("n"))
     return end.where("n is not null").select(F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / SPAN))).alias("seq"), "n").select("seq", (F.col("seq") * SPAN).alias("start_offset"), F.least(F.col("n"), (F.col("seq") + 1) * SPAN).alias("end_offset"))
 
 
-def run_rows(spark: SparkSession, sf: str) -> DataFrame:
-    prev = m.payload(m.nodes(spark, sf))
+def run_rows(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """The second snapshot's files in runs, and the first one's payload."""
+    prev = staged(m.payload(m.nodes(spark, sf)), "payload")
     cur = m.payload(m.nodes(spark, sf, 2)).drop("payload_offset")
     cur = cur.withColumn("seq", F.row_number().over(Window.partitionBy("dir").orderBy("path")).cast("long"))
-    return reuse.runs(reuse.changed_files(cur, prev), "dir")
+    return staged(reuse.runs(reuse.changed_files(cur, prev), "dir"), "runs"), prev
 
 
 def covered_runs(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    rows = run_rows(spark, sf)
-    return rows, reuse.coverage(rows, prev_chunks(spark, sf), "dir", SPAN)
+    rows, prev = run_rows(spark, sf)
+    return rows, staged(reuse.coverage(rows, prev_chunks(prev), "dir", SPAN), "coverage")
 
 
 def pattern_query(texts: list[str], spark: SparkSession, sf: str) -> DataFrame:
@@ -284,11 +286,11 @@ def namespaces(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def changed_files(spark: SparkSession, sf: str) -> DataFrame:
-    return run_rows(spark, sf).select("path", "unchanged", "payload_offset")
+    return run_rows(spark, sf)[0].select("path", "unchanged", "payload_offset")
 
 
 def reuse_runs(spark: SparkSession, sf: str) -> DataFrame:
-    return run_rows(spark, sf).select("dir", "path", "seq", "unchanged", "run_id")
+    return run_rows(spark, sf)[0].select("dir", "path", "seq", "unchanged", "run_id")
 
 
 def run_coverage(spark: SparkSession, sf: str) -> DataFrame:
