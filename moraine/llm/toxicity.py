@@ -67,7 +67,7 @@ class Letters:
         p3 = (n3 + 5 * p2) / (n3.sum(2, keepdims=True) + 5)
         self.cost = (-np.log(p3)).ravel().tolist()
 
-    def restore(self, token: str, beam: int = 64) -> str:
+    def restore(self, token: str, beam: int = 24) -> str:
         """The likeliest word behind a token."""
         states = {(0, 0): (0.0, "")}
         for run in re.finditer(r"(.)\1*", token):
@@ -101,17 +101,50 @@ class Letters:
         return min((cost + self.cost[((a if b else 0) * WIDTH + b) * WIDTH], text) for (a, b), (cost, text) in states.items())[1]
 
 
+def _canonical() -> dict[int, str]:
+    """One letter for each class of characters that may stand for each other; '' for what restoring drops."""
+    kind = {c: c for c in _LETTERS}
+    for sign, letters in LEET.items():
+        one = kind[letters[0]]
+        for c in letters[1:]:
+            kind = {k: one if v == kind[c] else v for k, v in kind.items()}
+        kind[sign] = one
+    return {ord(k): v for k, v in kind.items()}
+
+
+_STARS = re.compile(r"^\*{2,}|\*{2,}$")
+_CANON = _canonical()
+_DROPPED = re.compile("[^" + re.escape("".join(CODE) + "".join(LEET)) + "]")
+_TWICE = re.compile(r"(.)\1+")
+
+
+def skeleton(text: str) -> str:
+    """What all readings of a token have in common: classes of its characters, runs as one."""
+    return _TWICE.sub(r"\1", _DROPPED.sub("", text).translate(_CANON))
+
+
 def suspicious(word: str) -> bool:
     """Whether a word has signs among letters, a star, or a letter three times over."""
     return not word.isalpha() and any(c.isalpha() for c in word) or "***" in word or re.search(r"(.)\1\1", word) is not None or any(c in "@$!*" for c in word)
 
 
-def readings(word: str, letters: Letters) -> list[str]:
-    """What a lower-case word may say: itself, and what it is restored to."""
-    bare = word.strip(_STRIP)
+def readings(word: str, letters: Letters, able: tuple[frozenset[str], tuple[int, ...], frozenset[str]] | None = None) -> list[str]:
+    """What a lower-case word may say: itself, and what it is restored to.
+
+    able: skeletons (and their lengths) that matter; a word that begins with
+    none of them is not restored, since no reading would. Up to the first star
+    that is exact as well; what begins with a star is taken only with three
+    letters behind it.
+    """
+    bare = _STARS.sub("", word.strip(_STRIP))
     out = [bare] if bare else []
-    if bare and len(bare) <= 40 and suspicious(bare):
-        for x in {bare, bare.rstrip("!(|+")}:
+    if bare and len(bare) <= 24 and suspicious(bare) and sum(map(str.isalpha, bare)) + 2 * bare.count("*") >= 2:
+        if able is not None:
+            head, star, _ = bare.partition("*")
+            bones = skeleton(head)
+            if not any(bones[:k] in able[0] for k in able[1]) and not (star and (bones in able[2] if bones else bare[1:4].isalpha() and len(bare) > 3)):
+                return out
+        for x in dict.fromkeys((bare, bare.rstrip("!(|+"))):
             if x:
                 out.append(letters.restore(x))
     return out
@@ -157,11 +190,13 @@ class Scorer:
 
     def __init__(self, letters: Letters, lexicon: dict[str, float], weights: tuple[float, float, float] | None = None):
         self.letters, self.lexicon, self.weights = letters, lexicon, weights
+        bones = frozenset(skeleton(f[1:]) for f in lexicon)
+        self.able = bones, tuple(sorted({len(x) for x in bones})), frozenset(x[:k] for x in bones for k in range(1, len(x) + 1))
         self.young: dict[str, float] = {}
         self.old: dict[str, float] = {}
 
     def weigh(self, word: str) -> float:
-        return max((self.lexicon.get(f, 0.0) for r in readings(word, self.letters) for f in features(r)), default=0.0)
+        return max((self.lexicon.get(f, 0.0) for r in readings(word, self.letters, self.able) for f in features(r)), default=0.0)
 
     def strength(self, word: str) -> float:
         found = self.young.get(word)
