@@ -69,3 +69,12 @@ def test_held_out_bits_per_byte(spark):
 
 def test_empty(docs):
     assert ppm.score_texts(docs([])).collect() == []
+
+
+def test_no_context_is_dropped(docs):
+    rng = random.Random(5)
+    words = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=8)) for _ in range(25000)]
+    rows = [(i, " ".join(words[i * 100 : i * 100 + 100])) for i in range(250)]
+    assert len({w[max(0, j - k) : j] for w in (f" {w} " for w in words) for j in range(1, 10) for k in range(6)}) > 150_000
+    got = {r.doc_id: r.score for r in ppm.score_texts(docs(rows), head_grams=50).collect()}
+    assert got == {x[0]: pytest.approx(x[6], rel=1e-9) for x in brute(rows, ppm.ORDER)}
