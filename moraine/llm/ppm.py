@@ -1,9 +1,10 @@
-"""Language-model scores: prediction by partial matching over bytes of words.
+"""Language-model scores: prediction by partial matching over bytes of texts.
 
 A text is its words (A-Z lower-cased) and an end. The model codes each word
 byte by byte and then a blank; the end is one symbol where a word would start.
-A context is up to `order` bytes, back to the blank before the word at most, so
-that the code length of a word depends on the word alone. A symbol not seen in a context costs an escape
+A context is up to `order` bytes, back to the blank before the text: blanks and
+earlier words count, so that the order of words matters. With across=False it
+ends at the blank before the word, and each word is coded on its own. A symbol not seen in a context costs an escape
 (distinct / (total + distinct)) and is looked for in the context less its
 oldest byte, among the symbols not yet excluded; below the empty context all
 remaining symbols are equally likely. Probabilities of all texts sum to one.
@@ -115,13 +116,16 @@ def coded_bytes(words: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(parts), np.uint8), off
 
 
-def grams_of(buf: np.ndarray, off: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
-    """The gram of each coded byte, and its place: length of the context, then its bytes, then the symbol."""
+def grams_of(buf: np.ndarray, off: np.ndarray, order: int, across: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """The gram of each coded byte, and its place: length of the context, then its bytes, then the symbol.
+
+    across: contexts reach back to the text's first blank, not just to the word's.
+    """
     first = np.zeros(len(buf), bool)
     first[off[:-1]] = True
     place = np.arange(len(buf))
     start = np.zeros(len(buf), np.int64)
-    start[1:] = np.maximum.accumulate(np.where(buf == BLANK, place, 0))[:-1]
+    start[1:] = np.maximum.accumulate(np.where(first if across else buf == BLANK, place, 0))[:-1]
     length = np.minimum(place - start, order)
     gram = buf.astype(np.int64)
     for k in range(1, order + 1):
@@ -140,7 +144,7 @@ def summed(key: np.ndarray, *counts: np.ndarray) -> tuple[np.ndarray, ...]:
     return key[at], *(np.add.reduceat(c[order], at) for c in counts)
 
 
-def count_grams(rows: DataFrame, order: int) -> DataFrame:
+def count_grams(rows: DataFrame, order: int, across: bool) -> DataFrame:
     """gram, c (in training texts), c_all: of all texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -151,7 +155,7 @@ def count_grams(rows: DataFrame, order: int) -> DataFrame:
                 for out in (True, False):
                     own = [ws for ws, h in zip(words, held) if h == out]
                     if own:
-                        gram, n = np.unique(grams_of(*coded_bytes(own), order)[0], return_counts=True)
+                        gram, n = np.unique(grams_of(*coded_bytes(own), order, across)[0], return_counts=True)
                         seen = [np.concatenate(x) for x in zip(seen, (gram, n * (not out), n))]
                 if len(seen[0]) > 2_000_000:
                     seen = list(summed(*seen))
@@ -283,7 +287,7 @@ def least_grade(scored: DataFrame, grade: F.Column, head: int) -> int:
     return 0
 
 
-def score_texts(docs: DataFrame, order: int = ORDER, head: int = HEAD, head_grams: int = HEAD_GRAMS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def score_texts(docs: DataFrame, order: int = ORDER, head: int = HEAD, head_grams: int = HEAD_GRAMS, across: bool = False, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score. order: 2 to 6."""
     sc = ready(docs.sparkSession).sparkContext
     rows = docs.selectExpr(f"cast(`{doc_id}` as bigint) doc_id", f"cast(`{text}` as string) text")
@@ -291,7 +295,7 @@ def score_texts(docs: DataFrame, order: int = ORDER, head: int = HEAD, head_gram
     words = keep(count_words(rows), "words")
     sums = words.agg(F.sum("c").alias("n"), F.sum((F.col("c") > 0).cast("long")).alias("v")).first()
     n, v = sums["n"] or 0, sums["v"] or 0
-    coded = keep(score_grams(keep(count_grams(rows, order), "grams"), order), "coded")
+    coded = keep(score_grams(keep(count_grams(rows, order, across), "grams"), order), "coded")
     base = F.log10((F.col("c") + 0.5) / F.lit(n + 0.5 * (v + 1)))
     scored = words.select("word", "c_all", (F.col("c") > 0).alias("known"), base.alias("base"))
     # the most frequent words and grams, `head` and `head_grams` of them at most
@@ -312,7 +316,7 @@ def score_texts(docs: DataFrame, order: int = ORDER, head: int = HEAD, head_gram
             for batch in slices(big, "text"):
                 texts, out = [words_of(x.as_py()) for x in batch.column(2)], []
                 buf, off = coded_bytes(texts)
-                gram, place = grams_of(buf, off, order)
+                gram, place = grams_of(buf, off, order, across)
                 i = look_up(gram, keys, slots, bits)
                 lps = np.zeros(len(buf))
                 lps[place] = lp_of[i]
@@ -343,4 +347,4 @@ def score_texts(docs: DataFrame, order: int = ORDER, head: int = HEAD, head_gram
 
 
 def op9_ppm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return score_texts(table(spark, sf_dir, "documents"))
+    return score_texts(table(spark, sf_dir, "documents"), across=True)

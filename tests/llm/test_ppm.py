@@ -78,3 +78,27 @@ def test_no_context_is_dropped(docs):
     assert len({w[max(0, j - k) : j] for w in (f" {w} " for w in words) for j in range(1, 10) for k in range(6)}) > 150_000
     got = {r.doc_id: r.score for r in ppm.score_texts(docs(rows), head_grams=50).collect()}
     assert got == {x[0]: pytest.approx(x[6], rel=1e-9) for x in brute(rows, ppm.ORDER)}
+
+
+@pytest.mark.parametrize("head_grams", [5, 100000])
+def test_contexts_cross_blanks(docs, head_grams):
+    rng = random.Random(9)
+    words = ["".join(rng.choices("abcé", k=rng.randint(1, 4))) for _ in range(30)]
+    rows = [(i, " ".join(rng.choices(words, k=rng.randint(0, 30)))) for i in range(40)] + [(40, None), (41, "one two three"), (42, "three two one"), (43, "zq\nzq")]
+    coded = {i: b"".join(b" " + w.encode() for w in (t or "").split()) + b" \n" for i, t in rows}
+    trie: dict[bytes, Counter] = {}
+    for i, s in coded.items():
+        if zlib.crc32(str(i).encode()) % 5 != 1:
+            for j in range(1, len(s)):
+                for a in range(max(0, j - ppm.ORDER), j + 1):
+                    trie.setdefault(s[a:j], Counter())[s[j]] += 1
+    plain = {k: (dict(v), sum(v.values())) for k, v in trie.items()}
+    got = {r.doc_id: r.score for r in ppm.score_texts(docs(rows), head_grams=head_grams, across=True).collect()}
+    assert got == {i: pytest.approx(ppm.symbols_log10(s, plain), rel=1e-9) for i, s in coded.items()}
+
+
+def test_order_of_words_matters(spark, docs, tmp_path):
+    rows = [(i, "the old man went home") for i in range(20)] + [(20, "home went man old the")]
+    docs(rows).write.mode("overwrite").parquet(f"file://{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.score for r in ppm.op9_ppm_score(spark, f"file://{tmp_path}").collect()}
+    assert got[20] < got[0] - 1
