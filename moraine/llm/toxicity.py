@@ -12,7 +12,11 @@ Words that may hide something (digits or signs among letters, letters three
 times over, stars, letters set apart by blanks or dots) are also decoded: their
 characters span a lattice (a sign stands for the letters it resembles, a run
 for one or two letters, a star for any letter, a dot for nothing), and Viterbi
-finds the likeliest word under the trigrams. A word counts by what it says or by
+finds the likeliest word under the trigrams, over all pairs of last letters. A
+run costs what one letter costs, so words of any length are decoded; stars
+at a word's ends are tried as letters and as marks; a run of stars stands for
+six letters at most. Words are left undecoded only if no reading of their characters'
+classes begins with an entry of the lexicon, which changes no score. A word counts by what it says or by
 what it is restored to, whichever is stronger.
 
 Null texts are empty and get a score like any other; null labels and labels of
@@ -66,39 +70,63 @@ class Letters:
         p2 = (n2 + 5 * p1) / (n2.sum(1, keepdims=True) + 5)
         p3 = (n3 + 5 * p2) / (n3.sum(2, keepdims=True) + 5)
         self.cost = (-np.log(p3)).ravel().tolist()
+        self.table: np.ndarray | None = None
 
-    def restore(self, token: str, beam: int = 24) -> str:
+    def restore(self, token: str) -> str:
         """The likeliest word behind a token."""
-        states = {(0, 0): (0.0, "")}
+        # the best cost and way to each two last letters; a way is its last step and the way before
+        states: dict[tuple[int, int], tuple[float, tuple]] = {(0, 0): (0.0, ())}
         for run in re.finditer(r"(.)\1*", token):
             c, k = run[1], len(run[0])
             if c in APART or c.isspace():
                 continue
             if c == "*":
-                options = [("", 6.0)] if k > 1 else []
-                steps = [[(x, 1.5) for x in _LETTERS[:26]] + options] * min(k, 6)
-            else:
-                steps = []
-                for x in LEET.get(c, "") + (c if c in CODE else ""):
-                    paid = 0.0 if x == c else 0.7
-                    steps += [(x, paid + (0 if k == 1 else 1.0 if k == 2 else 0.0))]
-                    if k > 1:
-                        steps += [(x * 2, paid + (0.0 if k == 2 else 0.3))]
-                steps = [steps or [("", 4.0)]]
-            for options in steps:
-                after: dict[tuple[int, int], tuple[float, str]] = {}
-                for (a, b), (cost, text) in states.items():
-                    for add, paid in options:
-                        p, q, total = a, b, cost + paid
-                        for x in add:
-                            z = CODE[x]
-                            total += self.cost[((p if q else 0) * WIDTH + q) * WIDTH + z]
-                            p, q = q, z
-                        old = after.get((p, q))
-                        if old is None or total < old[0]:
-                            after[p, q] = (total, text + add)
-                states = after if len(after) <= beam else dict(sorted(after.items(), key=lambda s: s[1])[:beam])
-        return min((cost + self.cost[((a if b else 0) * WIDTH + b) * WIDTH], text) for (a, b), (cost, text) in states.items())[1]
+                for _ in range(min(k, 6)):
+                    states = self.any_letter(states, k > 1)
+                continue
+            options = []
+            for x in LEET.get(c, "") + (c if c in CODE else ""):
+                paid = 0.0 if x == c else 0.7
+                options += [(x, paid + (0 if k == 1 else 1.0 if k == 2 else 0.0))]
+                if k > 1:
+                    options += [(x * 2, paid + (0.0 if k == 2 else 0.3))]
+            after: dict[tuple[int, int], tuple[float, tuple]] = {}
+            for (a, b), (cost, way) in states.items():
+                for add, paid in options or [("", 4.0)]:
+                    p, q, total = a, b, cost + paid
+                    for x in add:
+                        z = CODE[x]
+                        total += self.cost[((p if q else 0) * WIDTH + q) * WIDTH + z]
+                        p, q = q, z
+                    old = after.get((p, q))
+                    if old is None or total < old[0]:
+                        after[p, q] = (total, (add, way))
+            states = after
+        way = min(((cost + self.cost[((a if b else 0) * WIDTH + b) * WIDTH], i, way) for i, ((a, b), (cost, way)) in enumerate(states.items())))[2]
+        found = []
+        while way:
+            found.append(way[0])
+            way = way[1]
+        return "".join(reversed(found))
+
+    def any_letter(self, states: dict[tuple[int, int], tuple[float, tuple]], none: bool) -> dict[tuple[int, int], tuple[float, tuple]]:
+        """The states after a star: one more letter of a to z, or none at a cost."""
+        if self.table is None:
+            self.table = np.array(self.cost).reshape(WIDTH, WIDTH, WIDTH)
+        after: dict[tuple[int, int], tuple[float, tuple]] = {}
+        ended: dict[int, list[tuple[int, float, tuple]]] = {}
+        for (a, b), (cost, way) in states.items():
+            ended.setdefault(b, []).append((a if b else 0, cost, way))
+        for b, own in ended.items():
+            total = np.array([x[1] for x in own])[:, None] + self.table[[x[0] for x in own], b, 1:27] + 1.5
+            best = total.argmin(0)
+            for z, i in enumerate(best.tolist(), 1):
+                after[b, z] = (float(total[i, z - 1]), (_LETTERS[z - 1], own[i][2]))
+        if none:
+            for at, (cost, way) in states.items():
+                if at not in after or cost + 6.0 < after[at][0]:
+                    after[at] = (cost + 6.0, way)
+        return after
 
 
 def _canonical() -> dict[int, str]:
@@ -112,7 +140,6 @@ def _canonical() -> dict[int, str]:
     return {ord(k): v for k, v in kind.items()}
 
 
-_STARS = re.compile(r"^\*{2,}|\*{2,}$")
 _CANON = _canonical()
 _DROPPED = re.compile("[^" + re.escape("".join(CODE) + "".join(LEET)) + "]")
 _TWICE = re.compile(r"(.)\1+")
@@ -128,25 +155,53 @@ def suspicious(word: str) -> bool:
     return not word.isalpha() and any(c.isalpha() for c in word) or "***" in word or re.search(r"(.)\1\1", word) is not None or any(c in "@$!*" for c in word)
 
 
-def readings(word: str, letters: Letters, able: tuple[frozenset[str], tuple[int, ...], frozenset[str]] | None = None) -> list[str]:
-    """What a lower-case word may say: itself, and what it is restored to.
+class Able:
+    """Skeletons of a lexicon's entries, to tell the words that no reading of leads to an entry."""
+
+    def __init__(self, lexicon: dict[str, float]):
+        # restoring gives letters of CODE only
+        self.bones = frozenset(skeleton(f[1:]) for f in lexicon if f[1:] and CODE.keys() >= set(f[1:]))
+        self.sizes = tuple(sorted({len(x) for x in self.bones}))
+        follow: dict[str, set[str]] = {}
+        for x in self.bones:
+            for k in range(len(x)):
+                follow.setdefault(x[:k], set()).add(x[k])
+        self.follow = {k: frozenset(v) for k, v in follow.items()}
+
+    def __contains__(self, token: str) -> bool:
+        """Whether some reading of the token may begin with an entry; a star is any letter, or merges with its neighbour."""
+        if "*" not in token:
+            bones = skeleton(token)
+            return any(bones[:k] in self.bones for k in self.sizes)
+        at = {""}
+        for part in re.findall(r"\*+|[^*]+", token):
+            if part[0] == "*":
+                for _ in range(min(len(part), 6)):
+                    at |= {x + c for x in at for c in self.follow.get(x, ())}
+                    if not self.bones.isdisjoint(at):
+                        return True
+            else:
+                for i, c in enumerate(skeleton(part)):
+                    # what a run across the star has in common with its neighbour is said once
+                    at = {x + c for x in at if c in self.follow.get(x, ())} | ({x for x in at if x[-1:] == c} if i == 0 else set())
+                    if not self.bones.isdisjoint(at):
+                        return True
+            if not at:
+                return False
+        return False
+
+
+def readings(word: str, letters: Letters, able: Able | None = None) -> list[str]:
+    """What a lower-case word may say: itself, and what it is restored to, with and without the stars and signs around it.
 
-    able: skeletons (and their lengths) that matter; a word that begins with
-    none of them is not restored, since no reading would. Up to the first star
-    that is exact as well; what begins with a star is taken only with three
-    letters behind it.
+    able: what may matter; other words are not restored, since no reading would.
     """
-    bare = _STARS.sub("", word.strip(_STRIP))
-    out = [bare] if bare else []
-    if bare and len(bare) <= 24 and suspicious(bare) and sum(map(str.isalpha, bare)) + 2 * bare.count("*") >= 2:
-        if able is not None:
-            head, star, _ = bare.partition("*")
-            bones = skeleton(head)
-            if not any(bones[:k] in able[0] for k in able[1]) and not (star and (bones in able[2] if bones else bare[1:4].isalpha() and len(bare) > 3)):
-                return out
-        for x in dict.fromkeys((bare, bare.rstrip("!(|+"))):
-            if x:
-                out.append(letters.restore(x))
+    bare = word.strip(_STRIP)
+    plain = bare.strip("*")
+    out = [plain] if plain else []
+    for x in dict.fromkeys((bare, bare.rstrip("!(|+"), plain, plain.rstrip("!(|+"))):
+        if x.strip("*") and suspicious(x) and (able is None or x in able):
+            out.append(letters.restore(x))
     return out
 
 
@@ -190,8 +245,7 @@ class Scorer:
 
     def __init__(self, letters: Letters, lexicon: dict[str, float], weights: tuple[float, float, float] | None = None):
         self.letters, self.lexicon, self.weights = letters, lexicon, weights
-        bones = frozenset(skeleton(f[1:]) for f in lexicon)
-        self.able = bones, tuple(sorted({len(x) for x in bones})), frozenset(x[:k] for x in bones for k in range(1, len(x) + 1))
+        self.able = Able(lexicon)
         self.young: dict[str, float] = {}
         self.old: dict[str, float] = {}
 

@@ -1,3 +1,4 @@
+import random
 import zlib
 
 from moraine.llm import toxicity
@@ -45,3 +46,31 @@ def test_held_out_accuracy(spark):
     sf = "/root/testdata/sf0.01"
     got = toxicity.op7_toxicity(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").where("held_out").collect()
     assert sum(r.predicted == r.toxic for r in got) >= 0.95 * len(got)
+
+
+LEXICON = {"=idiot": 5.0, "^idio": 4.0, "=ass": 3.0, "=stupid": 4.0, "^stupi": 4.0}
+
+
+def scorer(docs):
+    words = "the meeting went on with many kind words about gardens and houses idiot idiot ass ass stupid stupid".split()
+    letters = toxicity.Letters(toxicity.letter_counts(docs([(i, " ".join(words)) for i in range(50)]).select("doc_id", "text")))
+    return toxicity.Scorer(letters, LEXICON)
+
+
+def test_every_hidden_word_is_decoded(docs):
+    s = scorer(docs)
+    for w in ("st" + "u" * 40 + "pid", "i" + "d" * 40 + "10t", "a55", "a$$", "idi**", "idio**", "**iot", "*d!ot", "*diot", "**idiot**", "idiot", "!d!0t", "st*p!d", "xxx" * 20):
+        assert (s.weigh(w) > 0) == (w != "xxx" * 20), w
+
+
+def test_words_left_undecoded_say_nothing(docs):
+    s, rng = scorer(docs), random.Random(2)
+    hits = 0
+    for _ in range(4000):
+        w = "".join(rng.choices("idot10*!s$a5tup.", k=rng.randint(2, 7)))
+        if rng.random() < 0.5:
+            w = "".join(rng.choice((c, c, c * 3, "*")) for c in rng.choice(("idiot", "ass", "stupid", "1d10t")))
+        want = max((LEXICON.get(f, 0.0) for r in toxicity.readings(w, s.letters) for f in toxicity.features(r)), default=0.0)
+        assert s.weigh(w) == want, w
+        hits += want > 0
+    assert hits > 100
