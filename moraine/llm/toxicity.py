@@ -16,7 +16,9 @@ finds the likeliest word under the trigrams, over all pairs of last letters. A
 run costs what one letter costs, so words of any length are decoded; stars
 at a word's ends are tried as letters and as marks; a run of stars stands for
 six letters at most. Words are left undecoded only if no reading of their characters'
-classes begins with an entry of the lexicon, which changes no score. A word counts by what it says or by
+classes begins with an entry of the lexicon, which changes no score. In a run of
+three or more letters set apart, words may begin and end anywhere: entries of
+three letters and more are looked for from each letter on. A word counts by what it says or by
 what it is restored to, whichever is stronger.
 
 Null texts are empty and get a score like any other; null labels and labels of
@@ -56,7 +58,11 @@ CODE = {c: i + 1 for i, c in enumerate(_LETTERS)}
 _TABLE = np.zeros(0x250, np.int64)
 for _c, _i in CODE.items():
     _TABLE[ord(_c)] = _i
-_SPACED = re.compile(r"(?<!\S)(?:[a-z0-9@$!+|*(](?:[ \t]+|[._-])){3,}[a-z0-9@$!+|*(](?![^\s.,;:!?])")
+_ONE = "[" + re.escape(_LETTERS + "".join(LEET) + "*") + "]"
+_SPACED = re.compile(rf"(?<!\S)(?:{_ONE}(?:[ \t]+|[._-])){{2,}}{_ONE}(?![^\s.,;:!?])")
+_MANY = re.compile(r"([^*])\1{3,}|(\*)\*{6,}")
+#: Letters of the least entry that is looked for inside a run of letters set apart.
+LEAST_SPACED = 3
 _STRIP = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum() and c not in "@$!+|*(") + "«»“”„¿¡…–—"
 
 
@@ -246,18 +252,34 @@ class Scorer:
     def __init__(self, letters: Letters, lexicon: dict[str, float], weights: tuple[float, float, float] | None = None):
         self.letters, self.lexicon, self.weights = letters, lexicon, weights
         self.able = Able(lexicon)
+        self.inside = tuple(sorted({len(f) - 1 for f in lexicon if len(f) > LEAST_SPACED}))
         self.young: dict[str, float] = {}
         self.old: dict[str, float] = {}
 
     def weigh(self, word: str) -> float:
         return max((self.lexicon.get(f, 0.0) for r in readings(word, self.letters, self.able) for f in features(r)), default=0.0)
 
+    def spaced(self, run: str) -> float:
+        """The strongest entry in a run of letters set apart, whose words may begin and end anywhere.
+
+        From each letter on, what comes next is read as a word; longer repeats of
+        a sign than restoring tells apart are shortened first.
+        """
+        run = _MANY.sub(lambda m: m[1] * 3 if m[1] else "*" * 6, "".join(c for c in run if c not in APART))
+        reach = 3 * max(self.inside, default=0)
+        most = 0.0
+        for i in range(len(run) - LEAST_SPACED + 1):
+            for r in readings(run[i : i + reach], self.letters, self.able):
+                most = max(most, *(self.lexicon.get(kind + r[:k], 0.0) for k in self.inside if k <= len(r) for kind in "=^"), 0.0)
+        return most
+
     def strength(self, word: str) -> float:
+        """Of a word, or of a run of letters set apart, which begins with a blank."""
         found = self.young.get(word)
         if found is None:
             found = self.old.get(word)
             if found is None:
-                found = self.weigh(word)
+                found = self.spaced(word[1:]) if word[0] == " " else self.weigh(word)
                 if len(word) > 64:
                     return found
             if len(self.young) >= CACHE_ENTRIES:
@@ -270,7 +292,7 @@ class Scorer:
         text = lower(text)
         get, words = self.young.get, text.split()
         found = [self.strength(w) if (x := get(w)) is None else x for w in words]
-        found += map(self.strength, apart(text))
+        found += [self.strength(" " + x) for x in apart(text)]
         hits = sum(1 for x in found if x)
         return math.log1p(hits), max(found, default=0.0)
 

@@ -74,3 +74,18 @@ def test_words_left_undecoded_say_nothing(docs):
         assert s.weigh(w) == want, w
         hits += want > 0
     assert hits > 100
+
+
+def test_words_inside_spaced_runs(docs):
+    s = scorer(docs)
+    for x in ("you are a s t u p i d man", "what a i d i o t", "y o u a r e a n i d i o t", "y o u 1 d 1 0 t", "a s s", "you a $ $", "é t u i d i o t", "a i.d.i.o.t", "s t * p i d y o u"):
+        assert s.measure(x)[1] > 0, x
+    for x in ("a b c", "1 2 3 4 5 6", "k i n d w o r d s", "| " * 5000, "* " * 5000, "plan a i d"):
+        assert s.measure(x)[1] == 0, x
+
+
+def test_spaced_insults_are_predicted(docs, spark):
+    docs, rows, labels = corpus(docs, spark)
+    odd = [(1000, "kind words about a i d i o t"), (1001, "y o u a r e a m o r o n")]
+    got = {r.doc_id: r.predicted for r in toxicity.scored(docs(rows + odd), spark.createDataFrame(labels, LABELS)).collect()}
+    assert got[1000] == got[1001] == 1
