@@ -26,7 +26,9 @@ Null texts and texts without words have an empty set, n_shingles 0, and are
 linked with nothing. A null doc_id is linked with nothing and is its own
 component (null, kept). A document shorter than a shingle is one shingle.
 Repeated rows are copies of each other. An empty table gives no rows; other
-columns are not read, or pass through keep_one.
+columns are not read, or pass through keep_one. There every row counts, whatever
+its id: rows get a unique key in the order of doc_id, nulls first, if doc_id is
+none, and the first row of a group stays.
 """
 
 from __future__ import annotations
@@ -40,6 +42,7 @@ from pyspark.sql import functions as F
 
 from .common import LOWER, bit_of, has_bit, id_bitmap, keep, mix64, ready, slices, span_hashes, table, text_bytes, word_spans
 from .components import components
+from .linedup import keyed
 
 K, RUN, SMALL, BLOCK = 48, 3, 20, 1024
 #: Shingles in a block of a cluster.
@@ -293,12 +296,14 @@ def classes(docs: DataFrame, size: int, percent: int, k: int = K, doc_id: str =
 
 
 def keep_one(docs: DataFrame, size: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of docs without the documents of a group but its first."""
-    gone = keep(classes(docs, size, percent, doc_id=doc_id, text=text).where("not kept").select(F.col("doc_id").alias("_gone")), "gone")
+    """The rows of docs without the rows of a group but its first."""
+    rows, key = keyed(docs, doc_id)
+    gone = keep(classes(rows, size, percent, doc_id=key, text=text).where("not kept").select(F.col("doc_id").alias("_gone")), "gone")
     # only documents that may go are shuffled
     bits = docs.sparkSession.sparkContext.broadcast(id_bitmap(gone, "_gone"))
-    names, schema = docs.columns, docs.schema
-    placed = docs.withColumn("_key", F.col(doc_id).cast("long")).withColumn("_bit", bit_of("_key")).select(*names, "_bit")
+    names = [*docs.columns, key]
+    placed = rows.withColumn("_bit", bit_of(key)).select(*names, "_bit")
+    schema = placed.drop("_bit").schema
 
     def part(want: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -310,7 +315,7 @@ def keep_one(docs: DataFrame, size: int = 5, percent: int = 80, doc_id: str = "d
         return placed.mapInArrow(run, schema)
 
     some = part(True)
-    return part(False).unionByName(some.join(gone.hint("merge"), some[doc_id] == gone["_gone"], "left_anti"))
+    return part(False).unionByName(some.join(gone.hint("merge"), some[key] == gone["_gone"], "left_anti")).drop(key)
 
 
 def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -86,6 +86,14 @@ def test_keep_one(docs):
     assert sorted((r.doc_id for r in kept.collect()), key=str) == [1, 3, 4, None]
 
 
+def test_keep_one_of_rows_without_own_ids(docs):
+    a, b, c, d = "a b c d e f g h", "i j k l m n o p", "q r s t u v w x", "short one"
+    df = docs([(1, a), (1, a), (1, b), (2, b), (None, c), (None, c), (3, c), (3, d), (3, d), (3, None), (3, None)])
+    got = neardup.keep_one(df)
+    assert got.columns == df.columns
+    assert Counter(r.text for r in got.collect()) == {a: 1, b: 1, c: 1, d: 1, None: 2}
+
+
 def test_empty(docs):
     assert neardup.classes(docs([]), 3, 85).collect() == []
 
