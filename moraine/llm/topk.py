@@ -9,7 +9,8 @@ exceeds the bound, the score of a vector made of the values the lists have
 reached. Ties go to the smaller id, so a bound equal to the kth score goes on.
 Shards' results, k rows for a query each, are merged by rank.
 
-Components are floor(scale * x). Vectors that are null, hold null or non-finite
+Components are floor(scale * x). Components and scores beyond the range of a
+long stand at its ends (scores are exact up to there). Vectors that are null, hold null or non-finite
 components, or have a null id take no part; shorter ones are filled up with
 zeros; an empty one scores 0. Repeated rows of an id are one query, and each is
 a candidate for others; no row with the query's id is a candidate. No queries
@@ -53,8 +54,14 @@ def threshold_search(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray
     order = np.argsort(ids, kind="stable")
     ids, vectors = ids[order], vectors[order]
     n, width = vectors.shape
-    big = int(np.abs(vectors).max(initial=0)) * int(np.abs(queries).max(initial=0)) * max(1, width) * max(1, n)
-    kind = np.float64 if big < 1 << 52 else np.int64  # both exact
+    most = lambda x: max(int(x.max(initial=0)), -int(x.min(initial=0)))
+    big = most(vectors) * most(queries) * max(1, width) * max(1, n)
+    kind = np.float64 if big < 1 << 52 else np.int64 if big < 1 << 62 else object  # all exact
+    ends = np.iinfo(np.int64)
+
+    def as_long(x: np.ndarray) -> np.ndarray:
+        return np.minimum(np.maximum(x, ends.min + 1), ends.max).astype(np.int64) if kind is object else x.astype(np.int64)
+
     values, asked = vectors.astype(kind), queries.astype(kind)
     by = np.argsort(vectors, axis=0, kind="stable")  # each dimension's list, ascending
     place = np.empty_like(by)
@@ -62,7 +69,7 @@ def threshold_search(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray
     place = place.astype(np.int32)
     listed = np.take_along_axis(values, by, axis=0)
     up, down = (queries > 0).astype(np.float32), (queries < 0).astype(np.float32)
-    nothing = np.iinfo(np.int64).min
+    nothing = ends.min
     active = np.arange(len(queries))
     seen_at = min(n, depth)
     out: list[tuple[int, int, int]] = []
@@ -73,10 +80,10 @@ def threshold_search(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray
             met[:] = True  # also for a query of zeros
         union = np.flatnonzero(met.any(axis=0))
         scores = np.full(met.shape, nothing, np.int64)
-        scores[:, union] = (asked[active] @ values[union].T).astype(np.int64)
+        scores[:, union] = as_long(asked[active] @ values[union].T)
         scores[~met] = nothing
         scores[query_ids[active][:, None] == ids[None, :]] = nothing
-        bound = (np.maximum(asked[active], 0) @ listed[n - seen_at] + np.minimum(asked[active], 0) @ listed[seen_at - 1]).astype(np.int64)
+        bound = as_long(np.maximum(asked[active], 0) @ listed[n - seen_at] + np.minimum(asked[active], 0) @ listed[seen_at - 1])
         if n > k:
             kth = np.partition(scores, n - k, axis=1)[:, n - k]
             done = (kth != nothing) & (kth > bound) | (seen_at == n)

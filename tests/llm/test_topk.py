@@ -48,3 +48,16 @@ def test_stops_early():
 
 def test_query_equals_sql(spark, same):
     same(topk.op2_threshold_topk(spark, "/root/testdata/sf0.001"), topk.ORACLE)
+
+
+def test_huge_components(spark):
+    big = [[1e300, 1.0], [-1e300, 1.0], [1e17, 1e17], [3e15, 2.0], [1.0, 1e300]]
+    rows = [(20 * i if i < 3 else i, v) for i, v in enumerate(big)] + [(7, [0.5, 0.5]), (9, [1.0, -1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    lo, hi = -(1 << 63), (1 << 63) - 1
+    held = {i: [min(max(math.floor(64 * x), lo), hi) for x in v] for i, v in rows}
+    want = []
+    for q in (i for i in held if i % 20 == 0):
+        s = sorted((-min(max(sum(a * b for a, b in zip(held[q], held[i])), lo + 1), hi), i) for i in held if i != q)
+        want += [(q, r + 1, i, -x) for r, (x, i) in enumerate(s[:4])]
+    assert sorted(map(tuple, topk.top_k(df, lambda i: i % 20 == 0, 4).collect())) == sorted(want)
