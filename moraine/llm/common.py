@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
@@ -17,8 +18,15 @@ from pyspark.sql import functions as F
 SLICE_BYTES = 2 << 20
 
 
+#: Arrow batches of texts are held by the JVM and by the worker at once: their size, where the session has Spark's own.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "2000"), "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", "8m")}
+
+
 def ready(spark: SparkSession) -> SparkSession:
-    """Let Python workers on this machine import the package; a cluster has it installed."""
+    """Let Python workers on this machine import the package (a cluster has it installed); set BATCH."""
+    for name, (usual, ours) in BATCH.items():
+        if spark.conf.get(name, usual) == usual:
+            spark.conf.set(name, ours)
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     env = spark.sparkContext.environment
     if root not in env.get("PYTHONPATH", "").split(os.pathsep):
@@ -38,12 +46,65 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
+def path_of(spark: SparkSession, at: str):
+    """The file system and path of a name."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(at)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()), path
+
+
+_own: dict[str, SparkSession] = {}
+
+
+def clear() -> None:
+    """Delete what keep() of this process has written and drop() has not deleted."""
+    for at, spark in _own.items():
+        try:
+            fs, path = path_of(spark, at)
+            fs.delete(path, True)
+        except Exception:  # noqa: BLE001 - the session has ended: the folder bears the application's id
+            continue
+    _own.clear()
+
+
+atexit.register(clear)
+
+
 def keep(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage: write df as Parquet in the shared folder and read it back."""
+    """Cut the lineage: write df as Parquet in the shared folder and read it back.
+
+    A folder for each application holds its tables; it goes when the process ends.
+    """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/moraine/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    home = f"{shared_dir(spark)}/moraine/{spark.sparkContext.applicationId}"
+    _own[home] = spark
+    path = f"{home}/{name}-{uuid.uuid4().hex}"
+    df.write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(path)
+    made = spark.read.schema(df.schema).parquet(path)
+    made.kept_at = path
+    return made
+
+
+def drop(df: DataFrame) -> None:
+    """Delete a table of keep() that nothing reads any more."""
+    fs, path = path_of(df.sparkSession, df.kept_at)
+    fs.delete(path, True)
+
+
+def loose(df: DataFrame) -> DataFrame:
+    """df as if dealt at random, so that a join deals it anew and Spark can split the other side's hot keys."""
+    return df.coalesce(1 << 20)
+
+
+def fresh(base: str, taken: list[str]) -> str:
+    """A column name that is not taken, in any case of letters."""
+    have = {x.lower() for x in taken}
+    while base.lower() in have:
+        base += "_"
+    return base
+
+
+def quoted(names: list[str]) -> list[str]:
+    return ["`" + x.replace("`", "``") + "`" for x in names]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

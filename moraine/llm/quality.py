@@ -9,9 +9,10 @@ exceeds `most` is rejected with all its documents. A document that breaks a
 base rule goes in any case; a document that breaks only a soft rule stays
 unless its host goes.
 
-Null texts have no words (and so fail); null hosts form one host of their own;
-a null doc_id is passed through; repeated rows count as often as they occur. An
-empty table gives no rows. Other columns are not read, or pass through keep_good.
+Null texts have no words (and so fail); null hosts form one host of their own,
+the empty name another; a null doc_id is passed through; repeated rows count as
+often as they occur; texts are measured whole, however long; a host whose rate
+equals the bound stays. An empty table gives no rows. Other columns are not read, or pass through keep_good.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import keep, ready, slices, table, text_bytes
+from .common import fresh, keep, ready, slices, table, text_bytes
 
 LEAST_WORDS = 10
 MOST_REPEAT_PERCENT = 20
@@ -95,7 +96,7 @@ def measured(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", host:
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(x, pa.int64()) for x in found)], ["doc_id", "host", *NUMBERS])
 
     ready(docs.sparkSession)
-    rows = docs.selectExpr(f"cast(`{doc_id}` as bigint) doc_id", f"coalesce(cast(`{host}` as string), '') host", f"cast(`{text}` as string) text")
+    rows = docs.selectExpr(f"cast(`{doc_id}` as bigint) doc_id", f"cast(`{host}` as string) host", f"cast(`{text}` as string) text")
     return rows.mapInArrow(run, "doc_id long, host string, " + ", ".join(f"{x} long" for x in NUMBERS))
 
 
@@ -117,13 +118,14 @@ def host_verdicts(found: DataFrame, most: float = MOST_FAILED) -> DataFrame:
 def judge(docs: DataFrame, most: float = MOST_FAILED, **names: str) -> DataFrame:
     """NUMBERS, base_failed, the host's rate and kept for every document."""
     found = keep(measured(docs, **names), "measured")
-    bad = host_verdicts(found, most)
-    return found.join(bad.select("host", "rate", "bad"), "host").select("doc_id", *NUMBERS, base_failed().alias("base_failed"), F.col("rate").alias("host_rate"), (~base_failed() & ~F.col("bad")).alias("kept"))
+    bad = host_verdicts(found, most).select(F.col("host").alias("of"), "rate", "bad")
+    return found.join(bad, F.col("host").eqNullSafe(F.col("of"))).select("doc_id", *NUMBERS, base_failed().alias("base_failed"), F.col("rate").alias("host_rate"), (~base_failed() & ~F.col("bad")).alias("kept"))
 
 
 def keep_good(docs: DataFrame, most: float = MOST_FAILED, doc_id: str = "doc_id", text: str = "text", host: str = "source") -> DataFrame:
     """The rows of docs that pass, unchanged. Texts are measured again where they lie, not shuffled."""
-    bad = host_verdicts(keep(measured(docs, doc_id, text, host), "measured"), most).where("bad").select(F.col("host").alias("_bad_host"))
+    own = fresh("_bad_host", docs.columns)
+    bad = host_verdicts(keep(measured(docs, doc_id, text, host), "measured"), most).where("bad").select(F.col("host").alias(own))
     place, schema = docs.columns.index(text), docs.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -133,7 +135,7 @@ def keep_good(docs: DataFrame, most: float = MOST_FAILED, doc_id: str = "doc_id"
                 yield batch.filter(pa.array(fine, pa.bool_()))
 
     kept = docs.mapInArrow(run, schema)
-    return kept.join(bad, F.coalesce(kept[host], F.lit("")) == bad["_bad_host"], "left_anti")
+    return kept.join(bad, kept[host].cast("string").eqNullSafe(bad[own]), "left_anti")
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -141,7 +143,7 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLE = rf"""
-with d as materialized (select row_number() over () as r, doc_id, coalesce(source, '') as host, coalesce(text, '') as t from documents),
+with d as materialized (select row_number() over () as r, doc_id, source as host, coalesce(text, '') as t from documents),
 w as (select r, regexp_extract_all(t, '[^\x20\x09-\x0D]+') as ws, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) as ls from d),
 e as (select r, ws, unnest(generate_series(1, len(ws) - 4)) as p from w where len(ws) >= 5),
 g as (select r, p, count(*) over (partition by r, array_to_string(ws[p : p + 4], ' ')) as c from e),
@@ -159,5 +161,5 @@ a as (select *, base_failed or 100 * n_symbols > {MOST_SYMBOL_PERCENT} * n_words
 h as (select host, count(*)::double as n, count(*) filter (failed)::double as f from a group by host),
 s as (select sum(f) / sum(n) as mean, sum(f * f / n) / sum(n) - (sum(f) / sum(n)) ** 2 - (sum(f) / sum(n)) * (1 - sum(f) / sum(n)) * count(*) / sum(n) as spread from h),
 v as (select host, (f + mean * st) / (n + st) > {MOST_FAILED} as bad from h, (select mean, case when spread <= 0 then 1e6 else least(1e6, greatest(2.0, mean * (1 - mean) / spread - 1)) end as st from s))
-select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and not bad as kept from a join v using (host)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and not bad as kept from a join v on a.host is not distinct from v.host
 """

@@ -42,3 +42,13 @@ def test_empty(docs):
 
 def test_query_equals_sql(spark, same):
     same(quality.op4_quality_rules(spark, "/root/testdata/sf0.001"), quality.ORACLE)
+
+
+def test_null_host_is_not_the_empty_name(docs):
+    good = [(i, f"plain words number {i} go here with a few more of them {i * 7}") for i in range(30)]
+    junk = [(100 + i, "buy buy " * 30) for i in range(30)] + [(200, good[0][1])]
+    both = docs(good, lambda i: None).unionByName(docs(junk, lambda i: ""))
+    got = {r.doc_id: r.kept for r in quality.judge(both).collect()}
+    assert all(got[i] for i, _ in good) and not got[200]
+    clash = both.withColumnRenamed("task", "_bad_host")
+    assert sorted(r.doc_id for r in quality.keep_good(clash).collect()) == [i for i, _ in good]

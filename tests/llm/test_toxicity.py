@@ -1,4 +1,6 @@
+import itertools
 import random
+import re
 import zlib
 
 from moraine.llm import toxicity
@@ -89,3 +91,39 @@ def test_spaced_insults_are_predicted(docs, spark):
     odd = [(1000, "kind words about a i d i o t"), (1001, "y o u a r e a m o r o n")]
     got = {r.doc_id: r.predicted for r in toxicity.scored(docs(rows + odd), spark.createDataFrame(labels, LABELS)).collect()}
     assert got[1000] == got[1001] == 1
+
+
+def likeliest(letters, token):
+    """The cheapest word of a token's lattice, by trying every way through it."""
+    steps = []
+    for run in re.finditer(r"(.)\1*", token):
+        c, k = run[1], len(run[0])
+        if c in toxicity.APART or c.isspace():
+            continue
+        if c == "*":
+            steps += [[(x, 1.5) for x in "abcdefghijklmnopqrstuvwxyz"] + [("", 6.0)] * (k > 1)] * min(k, 6)
+            continue
+        ways = []
+        for x in toxicity.LEET.get(c, "") + (c if c in toxicity.CODE else ""):
+            paid = 0.0 if x == c else 0.7
+            ways.append((x, paid + (1.0 if k == 2 else 0.0)))
+            ways += [(x * 2, paid + (0.0 if k == 2 else 0.3))] * (k > 1)
+        steps.append(ways or [("", 4.0)])
+    best = None
+    for way in itertools.product(*steps):
+        word, cost, older, before = "".join(x for x, _ in way), sum(p for _, p in way), 0, 0
+        for z in [*map(toxicity.CODE.get, word), 0]:
+            cost += letters.cost[((older if before else 0) * toxicity.WIDTH + before) * toxicity.WIDTH + z]
+            older, before = before, z
+        best = min(best or (cost, word), (cost, word))
+    return best[1]
+
+
+def test_viterbi_equals_every_way_through_the_lattice(docs):
+    letters, rng = scorer(docs).letters, random.Random(7)
+    for _ in range(400):
+        token = "".join(rng.choices("idot10!s$a5tup.|gé", k=rng.randint(1, 5)))
+        token = "".join(rng.choice((c, c, c * 2, c * 3)) for c in token)
+        if rng.random() < 0.4:
+            token += rng.choice(("*", "**", "*d", "*!"))
+        assert letters.restore(token) == likeliest(letters, token), token
