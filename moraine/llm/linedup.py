@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bit_of, has_bit, id_bitmap, keep, ready, slices, table
+from .common import bit_of, drop, fresh, has_bit, id_bitmap, keep, loose, quoted, ready, slices, table
 
 LEAST_WORDS = 8
 
@@ -67,12 +67,12 @@ def least_runs(sizes: list[int], least_words: int) -> list[list[int]]:
 
 
 def keyed(docs: DataFrame, doc_id: str) -> tuple[DataFrame, str]:
-    """docs with a unique key in the order of doc_id; doc_id itself if it is one."""
-    id_ = F.col(doc_id).cast("long")
+    """docs with a unique key in the order of doc_id (doc_id itself if it is one), and the key's name."""
+    id_, name = F.col(quoted([doc_id])[0]).cast("long"), fresh("_key", docs.columns)
     if docs.groupBy(id_.alias("i")).agg(F.count("*").alias("n")).where("n > 1 or i is null").limit(1).count() == 0:
-        return docs.withColumn("_key", id_), "_key"
+        return docs.withColumn(name, id_), name
     spread = docs.repartitionByRange(id_, F.xxhash64(F.monotonically_increasing_id())).sortWithinPartitions(id_)
-    return keep(spread.withColumn("_key", F.monotonically_increasing_id()), "keyed"), "_key"
+    return keep(spread.withColumn(name, F.monotonically_increasing_id()), "keyed"), name
 
 
 def in_rank(names: DataFrame, *columns: str) -> DataFrame:
@@ -91,7 +91,8 @@ def repeated_runs(lines: DataFrame, least_words: int) -> DataFrame:
         last = level.select("d", (F.col("p")).alias("q"), F.col("r").alias("s"))
         runs = asked.withColumn("q", F.col("p") + F.col("w") - span).join(last, ["d", "q"]).select("d", "p", "w", "r", "s") if span > 1 else asked.withColumn("s", F.col("r"))
         runs = keep(runs, "runs")
-        first = runs.groupBy("w", "r", "s").agg(F.min(F.struct("d", "p")).alias("at"), F.count("*").alias("n")).where("n > 1").select("w", "r", "s", "at")
+        # a run's first place is one row, dealt apart from the runs, whose hot keys can then be split
+        first = loose(runs.groupBy("w", "r", "s").agg(F.min(F.struct("d", "p")).alias("at"), F.count("*").alias("n")).where("n > 1").select("w", "r", "s", "at"))
         found.append(runs.join(first, ["w", "r", "s"]).where(F.struct("d", "p") != F.col("at")).select("d", "p", "w"))
         if 2 * span > least_words:
             break
@@ -99,7 +100,9 @@ def repeated_runs(lines: DataFrame, least_words: int) -> DataFrame:
         longer = F.filter("ws", lambda w: w >= 2 * span)
         pairs = keep(level.withColumnRenamed("r", "x").join(follow, ["d", "p"]).select("d", "p", "x", "y", longer.alias("ws")), "pairs")
         names = in_rank(pairs.groupBy("x", "y").agg(F.count("*").alias("n")).where("n > 1").select("x", "y"), "x", "y")
+        drop(level)
         level = keep(pairs.join(names, ["x", "y"]).select("d", "p", "r", "ws"), "level")
+        drop(pairs)
         span *= 2
     out = found[0]
     for more in found[1:]:
@@ -122,7 +125,7 @@ def deleted(docs: DataFrame, key: str, text: str, least_words: int) -> DataFrame
                     kinds = (pa.int64(), pa.int32(), pa.binary(), pa.list_(pa.int32()))
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], ["d", "p", "line", "ws"])
 
-    rows = docs.select(F.col(key).alias("d"), F.col(text).cast("string").alias("text"))
+    rows = docs.select(F.col(key).alias("d"), F.col(quoted([text])[0]).cast("string").alias("text"))
     lines = keep(rows.mapInArrow(run, "d long, p int, line binary, ws array<int>"), "lines")
     return repeated_runs(lines, least_words).groupBy("d").agg(F.collect_list(F.struct("p", "w")).alias("runs"))
 
@@ -137,14 +140,14 @@ def cut(text: str | None, runs: list[dict] | None) -> tuple[str | None, int, int
 
 
 def split_by_runs(rows: DataFrame, runs: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
-    """rows that surely have no runs, with _runs null, where they lie; and the others, joined with their runs.
+    """rows that surely have no runs, where they lie, their runs null; and the others, joined with their runs.
 
     Only documents that may lose lines are shuffled. Runs compress well, so that
     their files' size says little about them: they are never broadcast.
     """
     names = rows.columns
     bits = rows.sparkSession.sparkContext.broadcast(id_bitmap(runs, key))
-    placed = rows.withColumn("_bit", bit_of(key))
+    placed = rows.withColumn(fresh("_bit", names), bit_of(key))
 
     def part(want: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -155,7 +158,8 @@ def split_by_runs(rows: DataFrame, runs: DataFrame, key: str) -> tuple[DataFrame
 
         return placed.mapInArrow(run, rows.schema)
 
-    return part(False).withColumn("_runs", F.lit(None).cast("array<struct<p:int,w:int>>")), part(True).join(runs.hint("merge"), key, "left")
+    own = next(x for x in runs.columns if x != key)
+    return part(False).withColumn(own, F.lit(None).cast("array<struct<p:int,w:int>>")), part(True).join(runs.hint("merge"), key, "left")
 
 
 def dedup_lines(docs: DataFrame, least_words: int = LEAST_WORDS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -189,7 +193,8 @@ def keep_first_lines(docs: DataFrame, least_words: int = LEAST_WORDS, doc_id: st
     """docs with their later copies cut out; a document that loses its last words goes."""
     ready(docs.sparkSession)
     rows, key = keyed(docs, doc_id)
-    runs = keep(deleted(rows, key, text, least_words), "deleted").withColumnRenamed("d", key).withColumnRenamed("runs", "_runs")
+    own_runs = fresh("_runs", rows.columns)
+    runs = keep(deleted(rows, key, text, least_words), "deleted").withColumnRenamed("d", key).withColumnRenamed("runs", own_runs)
     place, names = docs.columns.index(text), docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -205,7 +210,7 @@ def keep_first_lines(docs: DataFrame, least_words: int = LEAST_WORDS, doc_id: st
                 yield pa.RecordBatch.from_arrays(columns, names).filter(pa.array([not gone or gone < n for _, n, gone in found], pa.bool_()))
 
     whole, some = split_by_runs(rows, runs, key)
-    return whole.select(*names).unionByName(some.select(*names, "_runs").mapInArrow(run, docs.schema))
+    return whole.select(*quoted(names)).union(some.select(*quoted(names), own_runs).mapInArrow(run, docs.schema))
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

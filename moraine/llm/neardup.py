@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, bit_of, has_bit, id_bitmap, keep, mix64, ready, slices, span_hashes, table, text_bytes, word_spans
+from .common import LOWER, bit_of, fresh, has_bit, id_bitmap, keep, loose, mix64, quoted, ready, slices, span_hashes, table, text_bytes, word_spans
 from .components import components
 from .linedup import keyed
 
@@ -266,10 +266,11 @@ def classes(docs: DataFrame, size: int, percent: int, k: int = K, doc_id: str =
     made = keep(sketches(rows, size, k), "sketches")
     linked = made.where("name is not null and doc_id is not null")
     heads = linked.groupBy("name").agg(F.min("doc_id").alias("head"))
-    members = keep(linked.join(heads, "name").select("doc_id", "n", "head", F.when(F.col("doc_id") == F.col("head"), F.col("sketch")).alias("sketch")), "members")
+    members = keep(linked.join(loose(heads), "name").select("doc_id", "n", "head", F.when(F.col("doc_id") == F.col("head"), F.col("sketch")).alias("sketch")), "members")
     heads = members.where("sketch is not null").select("head", "n", "sketch")
-    listed = postings(heads, SMALL).repartition("key")  # one exchange for both uses
-    shared = listed.groupBy("key").agg(F.min("head").alias("a"), F.max("head").alias("most")).where("a < most").drop("most")
+    listed = postings(heads, SMALL)
+    # least and largest class are summed up before the shuffle, and a list of any length is joined in parts
+    shared = keep(listed.groupBy("key").agg(F.min("head").alias("a"), F.max("head").alias("most")).where("a < most").drop("most"), "shared")
     entries = keep(listed.join(shared, "key").select("key", "a", F.col("head").alias("b")), "entries")
     size_of = lambda x: heads.groupBy(F.col("head").alias(x)).agg(F.min("n").alias(f"n_{x}"))
     stars = entries.where("a <> b").select("a", "b").distinct().join(size_of("a"), "a").join(size_of("b"), "b").where(may_fit(percent)).select("a", "b")
@@ -282,7 +283,7 @@ def classes(docs: DataFrame, size: int, percent: int, k: int = K, doc_id: str =
     mixed = rooted.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("key")
     sketch_of = heads.dropDuplicates(["head"]).select("head", "n", "sketch")
     spread = in_blocks(rooted.join(mixed, "key", "left_semi").withColumn("w", F.lit(0)), "key", "w").join(sketch_of, "head")
-    clusters = keep(components(keep(across(spread, percent, k), "across")), "clusters").select(F.col("node").alias("head"), F.col("root").alias("cluster"))
+    clusters = keep(components(across(spread, percent, k)), "clusters").select(F.col("node").alias("head"), F.col("root").alias("cluster"))
     # a root's classes that stand in no forest are held by the root's other classes
     clusters = whole_clusters(clusters, roots)
     sets = full_sets(clusters.select(F.col("head").alias("doc_id")), rows, size).withColumnRenamed("doc_id", "head").dropDuplicates(["head"])
@@ -298,12 +299,14 @@ def classes(docs: DataFrame, size: int, percent: int, k: int = K, doc_id: str =
 def keep_one(docs: DataFrame, size: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of docs without the rows of a group but its first."""
     rows, key = keyed(docs, doc_id)
-    gone = keep(classes(rows, size, percent, doc_id=key, text=text).where("not kept").select(F.col("doc_id").alias("_gone")), "gone")
+    lost = fresh("_gone", rows.columns)
+    gone = keep(classes(rows, size, percent, doc_id=key, text=text).where("not kept").select(F.col("doc_id").alias(lost)), "gone")
     # only documents that may go are shuffled
-    bits = docs.sparkSession.sparkContext.broadcast(id_bitmap(gone, "_gone"))
+    bits = docs.sparkSession.sparkContext.broadcast(id_bitmap(gone, lost))
     names = [*docs.columns, key]
-    placed = rows.withColumn("_bit", bit_of(key)).select(*names, "_bit")
-    schema = placed.drop("_bit").schema
+    bit = fresh("_bit", names)
+    placed = rows.withColumn(bit, bit_of(key)).select(*quoted(names), bit)
+    schema = placed.drop(bit).schema
 
     def part(want: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -315,7 +318,7 @@ def keep_one(docs: DataFrame, size: int = 5, percent: int = 80, doc_id: str = "d
         return placed.mapInArrow(run, schema)
 
     some = part(True)
-    return part(False).unionByName(some.join(gone.hint("merge"), some[key] == gone["_gone"], "left_anti")).drop(key)
+    return part(False).unionByName(some.join(gone.hint("merge"), some[key] == gone[lost], "left_anti")).drop(key)
 
 
 def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

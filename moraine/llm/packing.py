@@ -9,7 +9,8 @@ pieces numbered first..last of a length go to consecutive sequences, at one
 offset. Pieces are numbered within a length by their task and their order in
 it, so neither the pieces nor a class of them meet in one place.
 
-A null text is the empty text: its document is one piece, the end id alone. A
+Pieces of equal length are interchangeable; which of them goes where depends on
+the tasks. A null text is the empty text: its document is one piece, the end id alone. A
 null doc_id is passed through. Repeated rows are packed as often as they occur.
 An empty table gives no rows. Other columns are not read.
 """
@@ -212,7 +213,8 @@ def pack_documents(docs: DataFrame, path: str, capacity: int = 2048, end_id: int
             yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in names), pa.array(sequence), pa.array(offset)], [*names, "sequence_id", "offset"])
 
     numbered = pieces.join(base, ["task", "length"]).withColumn("number", F.col("base") + F.col("nth"))
-    return numbered.select("doc_id", "piece", "start", "length", "ids_crc32", "number").mapInArrow(place, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    placed = numbered.select("doc_id", "piece", "start", "length", "ids_crc32", "number")
+    return placed.mapInArrow(place, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
 
 
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

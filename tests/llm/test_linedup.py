@@ -58,3 +58,13 @@ def test_very_long_and_empty(docs):
     got = {r.doc_id: r.n_deleted for r in linedup.dedup_lines(docs(rows)).collect()}
     assert got == {1: 0, 2: 1}
     assert linedup.dedup_lines(docs([])).collect() == []
+
+
+def test_clashing_names(docs):
+    line = "one two three four five six seven eight nine"
+    df = docs([(1, line), (2, line), (3, line + "\nmore"), (3, "x")])
+    for names in (("_key", "_bit"), ("_runs", "_KEY"), ("key", "d")):
+        own = df.withColumnRenamed("task", names[0]).withColumnRenamed("rank", names[1])
+        got = linedup.keep_first_lines(own)
+        assert got.columns == own.columns
+        assert sorted((r.text, r[5], r[6]) for r in got.collect()) == [("more", "extra", 7), (line, "extra", 7), ("x", "extra", 7)]

@@ -114,3 +114,13 @@ def test_components(spark):
             a, b = find(a), find(b)
             root[max(a, b)] = min(a, b)
     assert got == {x: find(x) for x in root}
+
+
+def test_clashing_names(docs):
+    a = "a b c d e f g h"
+    df = docs([(1, a), (2, a), (3, "else entirely here"), (None, a)])
+    for names in (("_key", "_bit"), ("_gone", "_KEY"), ("key", "_runs")):
+        own = df.withColumnRenamed("task", names[0]).withColumnRenamed("rank", names[1])
+        got = neardup.keep_one(own)
+        assert got.columns == own.columns
+        assert sorted((r.text, r[5], r[6]) for r in got.collect()) == [(a, "extra", 7), ("else entirely here", "extra", 7)]
