@@ -90,6 +90,16 @@ def drop(df: DataFrame) -> None:
     fs.delete(path, True)
 
 
+def few(df: DataFrame) -> DataFrame:
+    """Rows of a shuffle in fewer tasks, for tables of short rows: small files cost opens and calls.
+
+    At most eight partitions of the shuffle make a task, and only as long as
+    every core has two.
+    """
+    spark = df.sparkSession
+    return df.coalesce(max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")) // 8))
+
+
 def loose(df: DataFrame) -> DataFrame:
     """df as if dealt at random, so that a join deals it anew and Spark can split the other side's hot keys."""
     return df.coalesce(1 << 20)

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bit_of, drop, fresh, has_bit, id_bitmap, keep, loose, quoted, ready, slices, table
+from .common import bit_of, drop, few, fresh, has_bit, id_bitmap, keep, loose, quoted, ready, slices, table
 
 LEAST_WORDS = 8
 
@@ -77,20 +77,20 @@ def keyed(docs: DataFrame, doc_id: str) -> tuple[DataFrame, str]:
 
 def in_rank(names: DataFrame, *columns: str) -> DataFrame:
     """Distinct names with an ascending number each."""
-    return keep(names.repartitionByRange(*columns).sortWithinPartitions(*columns).withColumn("r", F.monotonically_increasing_id()), "ranks")
+    return keep(few(names.repartitionByRange(*columns).sortWithinPartitions(*columns).withColumn("r", F.monotonically_increasing_id())), "ranks")
 
 
 def repeated_runs(lines: DataFrame, least_words: int) -> DataFrame:
     """d, p, w: runs that have an earlier copy. lines: d, p, line (its hash), ws (lengths asked for)."""
     names = in_rank(lines.groupBy("line").agg(F.count("*").alias("n")).where("n > 1").select("line"), "line")
-    level = keep(lines.join(names, "line").select("d", "p", "r", "ws"), "level")
+    level = keep(few(lines.join(names, "line").select("d", "p", "r", "ws")), "level")
     found: list[DataFrame] = []
     span = 1
     while True:
         asked = level.select("d", "p", "r", F.explode(F.filter("ws", lambda w: (w >= span) & (w < 2 * span))).alias("w"))
         last = level.select("d", (F.col("p")).alias("q"), F.col("r").alias("s"))
         runs = asked.withColumn("q", F.col("p") + F.col("w") - span).join(last, ["d", "q"]).select("d", "p", "w", "r", "s") if span > 1 else asked.withColumn("s", F.col("r"))
-        runs = keep(runs, "runs")
+        runs = keep(few(runs), "runs")
         # a run's first place is one row, dealt apart from the runs, whose hot keys can then be split
         first = loose(runs.groupBy("w", "r", "s").agg(F.min(F.struct("d", "p")).alias("at"), F.count("*").alias("n")).where("n > 1").select("w", "r", "s", "at"))
         found.append(runs.join(first, ["w", "r", "s"]).where(F.struct("d", "p") != F.col("at")).select("d", "p", "w"))
@@ -98,10 +98,10 @@ def repeated_runs(lines: DataFrame, least_words: int) -> DataFrame:
             break
         follow = level.select("d", (F.col("p") - span).alias("p"), F.col("r").alias("y"))
         longer = F.filter("ws", lambda w: w >= 2 * span)
-        pairs = keep(level.withColumnRenamed("r", "x").join(follow, ["d", "p"]).select("d", "p", "x", "y", longer.alias("ws")), "pairs")
+        pairs = keep(few(level.withColumnRenamed("r", "x").join(follow, ["d", "p"]).select("d", "p", "x", "y", longer.alias("ws"))), "pairs")
         names = in_rank(pairs.groupBy("x", "y").agg(F.count("*").alias("n")).where("n > 1").select("x", "y"), "x", "y")
         drop(level)
-        level = keep(pairs.join(names, ["x", "y"]).select("d", "p", "r", "ws"), "level")
+        level = keep(few(pairs.join(names, ["x", "y"]).select("d", "p", "r", "ws")), "level")
         drop(pairs)
         span *= 2
     out = found[0]

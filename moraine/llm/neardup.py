@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, bit_of, fresh, has_bit, id_bitmap, keep, loose, mix64, quoted, ready, slices, span_hashes, table, text_bytes, word_spans
+from .common import LOWER, bit_of, few, fresh, has_bit, id_bitmap, keep, loose, mix64, quoted, ready, slices, span_hashes, table, text_bytes, word_spans
 from .components import components
 from .linedup import keyed
 
@@ -256,7 +256,7 @@ def whole_clusters(clusters: DataFrame, roots: DataFrame) -> DataFrame:
     same = components(own.select(F.col("head").alias("u"), F.col("cluster").alias("v")).unionByName(own.select(F.col("head").alias("u"), F.col("root").alias("v"))).unionByName(joined))
     touched = own.select("root").distinct()
     all_ = roots.join(touched, "root", "left_semi").select("head", "root").unionByName(own.select("head", "root")).distinct()
-    return keep(all_.join(same.select(F.col("node").alias("root"), F.col("root").alias("cluster")), "root"), "clusters")
+    return keep(few(all_.join(same.select(F.col("node").alias("root"), F.col("root").alias("cluster")), "root")), "clusters")
 
 
 def classes(docs: DataFrame, size: int, percent: int, k: int = K, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -270,26 +270,26 @@ def classes(docs: DataFrame, size: int, percent: int, k: int = K, doc_id: str =
     heads = members.where("sketch is not null").select("head", "n", "sketch")
     listed = postings(heads, SMALL)
     # least and largest class are summed up before the shuffle, and a list of any length is joined in parts
-    shared = keep(listed.groupBy("key").agg(F.min("head").alias("a"), F.max("head").alias("most")).where("a < most").drop("most"), "shared")
-    entries = keep(listed.join(shared, "key").select("key", "a", F.col("head").alias("b")), "entries")
+    shared = keep(few(listed.groupBy("key").agg(F.min("head").alias("a"), F.max("head").alias("most")).where("a < most").drop("most")), "shared")
+    entries = keep(few(listed.join(shared, "key").select("key", "a", F.col("head").alias("b"))), "entries")
     size_of = lambda x: heads.groupBy(F.col("head").alias(x)).agg(F.min("n").alias(f"n_{x}"))
     stars = entries.where("a <> b").select("a", "b").distinct().join(size_of("a"), "a").join(size_of("b"), "b").where(may_fit(percent)).select("a", "b")
-    stars = keep(estimated(stars, heads, percent, k), "stars")
-    links = keep(verified(stars, rows, size, percent), "links")
-    roots = keep(components(links), "roots").withColumnRenamed("node", "head")
+    stars = keep(few(estimated(stars, heads, percent, k)), "stars")
+    links = keep(few(verified(stars, rows, size, percent)), "links")
+    roots = keep(few(components(links)), "roots").withColumnRenamed("node", "head")
     # lists whose classes are still in different components
     rooted = entries.select("key", F.col("b").alias("head")).distinct().join(roots, "head", "left").withColumn("root", F.coalesce("root", "head"))
-    rooted = keep(rooted, "rooted")
+    rooted = keep(few(rooted), "rooted")
     mixed = rooted.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("key")
     sketch_of = heads.dropDuplicates(["head"]).select("head", "n", "sketch")
     spread = in_blocks(rooted.join(mixed, "key", "left_semi").withColumn("w", F.lit(0)), "key", "w").join(sketch_of, "head")
-    clusters = keep(components(across(spread, percent, k)), "clusters").select(F.col("node").alias("head"), F.col("root").alias("cluster"))
+    clusters = keep(few(components(across(spread, percent, k))), "clusters").select(F.col("node").alias("head"), F.col("root").alias("cluster"))
     # a root's classes that stand in no forest are held by the root's other classes
     clusters = whole_clusters(clusters, roots)
     sets = full_sets(clusters.select(F.col("head").alias("doc_id")), rows, size).withColumnRenamed("doc_id", "head").dropDuplicates(["head"])
     met = keep(clusters.join(sets, "head").withColumn("w", F.size("shingles")), "clustered")
     found = inside(in_blocks(met, "cluster", "w"), percent)
-    roots = keep(components(links.unionByName(found)), "roots")
+    roots = keep(few(components(links.unionByName(found))), "roots")
     label = members.select("doc_id", F.col("n").alias("n_shingles"), "head").join(roots.withColumnRenamed("node", "head"), "head", "left")
     done = label.select("doc_id", "n_shingles", F.coalesce("root", "head").alias("component_id"))
     rest = made.where("name is null or doc_id is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
@@ -300,7 +300,7 @@ def keep_one(docs: DataFrame, size: int = 5, percent: int = 80, doc_id: str = "d
     """The rows of docs without the rows of a group but its first."""
     rows, key = keyed(docs, doc_id)
     lost = fresh("_gone", rows.columns)
-    gone = keep(classes(rows, size, percent, doc_id=key, text=text).where("not kept").select(F.col("doc_id").alias(lost)), "gone")
+    gone = keep(few(classes(rows, size, percent, doc_id=key, text=text).where("not kept").select(F.col("doc_id").alias(lost))), "gone")
     # only documents that may go are shuffled
     bits = docs.sparkSession.sparkContext.broadcast(id_bitmap(gone, lost))
     names = [*docs.columns, key]

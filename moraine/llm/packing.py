@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .bpe import default_path, word_bpe
-from .common import keep, ready, slices, table
+from .common import few, keep, ready, slices, table
 
 Bin = tuple[tuple[int, int], ...]  # (length, how often) in the order of offsets
 
@@ -214,7 +214,7 @@ def pack_documents(docs: DataFrame, path: str, capacity: int = 2048, end_id: int
 
     numbered = pieces.join(base, ["task", "length"]).withColumn("number", F.col("base") + F.col("nth"))
     placed = numbered.select("doc_id", "piece", "start", "length", "ids_crc32", "number")
-    return placed.mapInArrow(place, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    return few(placed).mapInArrow(place, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
 
 
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

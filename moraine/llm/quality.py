@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh, keep, ready, slices, table, text_bytes
+from .common import few, fresh, keep, ready, slices, table, text_bytes
 
 LEAST_WORDS = 10
 MOST_REPEAT_PERCENT = 20
@@ -103,7 +103,7 @@ def measured(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", host:
 def host_verdicts(found: DataFrame, most: float = MOST_FAILED) -> DataFrame:
     """Per host: n, failed, its shrunk failure rate, and whether it is bad."""
     hosts = found.groupBy("host").agg(F.count("*").alias("n"), F.sum(any_failed().cast("long")).alias("failed"))
-    hosts = keep(hosts, "hosts")
+    hosts = keep(few(hosts), "hosts")
     all_ = hosts.agg(F.sum("n").alias("n"), F.sum("failed").alias("f"), F.count("*").alias("h"), F.sum(F.col("failed") * F.col("failed") / F.col("n")).alias("ff")).first()
     if not all_["n"]:
         return hosts.select("host", "n", "failed", F.lit(0.0).alias("rate"), F.lit(False).alias("bad"))

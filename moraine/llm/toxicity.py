@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bucket5, keep, ready, slices, table
+from .common import bucket5, few, keep, ready, slices, table
 
 SAMPLE, LEXICON = 6000, 5000
 LEAST_LLR, LEAST_LOG_ODDS, LEAST_DOCS = 12.0, 2.0, 5
@@ -312,7 +312,7 @@ def labelled_sample(rows: DataFrame, labels: DataFrame, per_label: int) -> DataF
     ids = ids.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     # at most 2 * per_label ids
     found = rows.join(F.broadcast(ids), "doc_id").select(F.coalesce("text", F.lit("")).alias("text"), "toxic")
-    return keep(found.groupBy("text").agg(F.max("toxic").alias("toxic")), "labelled")
+    return keep(few(found.groupBy("text").agg(F.max("toxic").alias("toxic"))), "labelled")
 
 
 def learn_lexicon(sample: DataFrame, letters: Letters, size: int = LEXICON) -> dict[str, float]:
@@ -335,7 +335,7 @@ def learn_lexicon(sample: DataFrame, letters: Letters, size: int = LEXICON) -> d
                     seen = {0: Counter(), 1: Counter()}
         yield out()
 
-    counts = keep(sample.mapInArrow(run, "feature string, t long, c long").groupBy("feature").agg(F.sum("t").alias("t"), F.sum("c").alias("c")), "features")
+    counts = keep(few(sample.mapInArrow(run, "feature string, t long, c long").groupBy("feature").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))), "features")
     sums = counts.where("feature = '#'").first()
     if sums is None or not sums["t"] or not sums["c"]:
         return {}
