@@ -212,7 +212,8 @@ def in_blocks(members: DataFrame, by: str, weight: str) -> DataFrame:
     """Rows of groups of any size dealt to pairs of blocks (by, one, two): each two rows of a group meet."""
     parts = members.groupBy(by).agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum(weight) / WEIGHT)).cast("int").alias("parts"))
     dealt = members.join(parts, by).withColumn("block", F.pmod(F.xxhash64("head"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    return dealt.withColumn("one", F.least("block", "other")).withColumn("two", F.greatest("block", "other")).drop("parts", "block", "other")
+    met = dealt.withColumn("one", F.least("block", "other")).withColumn("two", F.greatest("block", "other")).drop("parts", "block", "other")
+    return met.repartition(by, "one", "two")  # else all blocks of a group stay where the join has put them
 
 
 def across(entries: DataFrame, percent: int, k: int) -> DataFrame:
