@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import ready, slices, table
 
 #: Distinct whitespace-free pieces whose ids a worker keeps, at most twice over.
-CACHE_ENTRIES = 300_000
+CACHE_ENTRIES = 100_000
 _END = 0x10000
 _ODD_SPACE = regex.compile("[\x1c-\x1f]")
 _SPLIT = regex.compile("[\t-\r \x85\xa0  -     　]+")
@@ -152,37 +152,46 @@ class WordBpe:
         pairs = self.pairs
         out: list[int] = []
         last = -1
-        for _, (_, token) in self.trie.iter_long(word):  # the longest at each place, often right as it is
+        for end, (size, token) in self.trie.iter_long(word):  # the longest at each place, often right as it is
             if last >= 0:
                 fit = pairs.get(last << 32 | token)
                 if not (fit or fit is None and self.fits(last, token)):
-                    return self.backtrack(word)
+                    return self.backtrack(word, out, end + 1 - size)
             out.append(token)
             last = token
         return out
 
-    def backtrack(self, word: str) -> list[int]:
+    def backtrack(self, word: str, out: list[int], pos: int) -> list[int]:
+        """Go on at pos, where the longest token does not fit the longest ones before it, in out."""
         n = len(word)
         at: list[list[tuple[int, int]]] = [[] for _ in range(n)]
         for last, (size, token) in self.trie.iter(word):
             at[last + 1 - size].append((last + 1, token))
-        out: list[int] = []
         taken: list[tuple[int, int]] = []
+        place = 0
+        for _ in out:
+            options = at[place]
+            taken.append((place, len(options) - 1))
+            place = options[-1][0]
         dead: set[int] = set()
         pairs = self.pairs
-        pos, i = 0, len(at[0]) - 1
+        i = len(at[pos]) - 2
         while pos < n:
             options = at[pos]
-            while i >= 0:
-                end, token = options[i]
-                if end not in dead:
-                    if not out:
-                        break
-                    fit = pairs.get(out[-1] << 32 | token)
-                    if fit or fit is None and self.fits(out[-1], token):
-                        break
-                i -= 1
+            if out:
+                before = out[-1] << 32
+                while i >= 0:
+                    end, token = options[i]
+                    if end not in dead:
+                        fit = pairs.get(before | token)
+                        if fit or fit is None and self.fits(out[-1], token):
+                            break
+                    i -= 1
+            else:
+                while i >= 0 and options[i][0] in dead:
+                    i -= 1
             if i >= 0:
+                end, token = options[i]
                 out.append(token)
                 taken.append((pos, i))
                 pos = end
@@ -197,17 +206,18 @@ class WordBpe:
     def piece_ids(self, piece: str) -> bytes:
         """Ids of text without white space and special tokens."""
         if piece.isascii():
-            piece = piece.lower()
-            if piece.isalpha():
-                return self.known[piece]
-            if piece[:-1].isalpha() and not piece[-1].isdigit():
-                return self.known[piece[:-1]] + self.known[piece[-1]]
+            lower = piece.lower()
+            if lower.isalpha():
+                return self.word_bytes(lower) if lower == piece else self.pieces[lower]
+            if lower[:-1].isalpha() and not lower[-1].isdigit():
+                return self.pieces[lower[:-1]] + self.known[lower[-1]]
+            piece = lower
         else:
             piece = unicodedata.normalize("NFC", piece).replace("Σ", "σ").lower()
         return b"".join(map(self.known.__getitem__, self.words.findall(piece)))
 
     def word_bytes(self, word: str) -> bytes:
-        marks = word.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.code)
+        marks = word if word.isascii() and word.isalpha() else word.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.code)
         ids = self.word_ids(marks[:-1] + self.last[marks[-1]])
         return struct.pack(f"<{len(ids)}I", *ids)
 
