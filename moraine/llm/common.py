@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that a kernel takes at a time; bounds its NumPy temporaries.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 
 
 #: Arrow batches of texts are held by the JVM and by the worker at once: their size, where the session has Spark's own.

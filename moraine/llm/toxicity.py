@@ -46,8 +46,8 @@ from .common import bucket5, few, keep, ready, slices, table
 SAMPLE, LEXICON = 6000, 5000
 LEAST_LLR, LEAST_LOG_ODDS, LEAST_DOCS = 12.0, 2.0, 5
 PREFIXES = (4, 5, 6, 7)
-FLUSH = 400_000
-CACHE_ENTRIES = 200_000
+FLUSH = 200_000
+CACHE_ENTRIES = 100_000
 
 # Signs and the letters they stand for.
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "il", "+": "t", "|": "li", "(": "c", "€": "e", "£": "l"}
