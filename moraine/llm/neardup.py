@@ -45,6 +45,8 @@ from .components import components
 from .linedup import keyed
 
 K, RUN, SMALL, BLOCK = 48, 3, 20, 1024
+#: Parts of a list.
+PARTS = 64
 #: Shingles in a block of a cluster.
 WEIGHT = 1_000_000
 MARGIN = 0.3
@@ -270,8 +272,10 @@ def classes(docs: DataFrame, size: int, percent: int, k: int = K, doc_id: str =
     members = keep(linked.join(loose(heads), "name").select("doc_id", "n", "head", F.when(F.col("doc_id") == F.col("head"), F.col("sketch")).alias("sketch")), "members")
     heads = members.where("sketch is not null").select("head", "n", "sketch")
     listed = postings(heads, SMALL)
-    # least and largest class are summed up before the shuffle, and a list of any length is joined in parts
-    shared = keep(few(listed.groupBy("key").agg(F.min("head").alias("a"), F.max("head").alias("most")).where("a < most").drop("most")), "shared")
+    # A list is summed up in parts of its own before it meets in one row, and joined in parts. Most lists hold
+    # one class: dealt before they are summed up, they take little memory.
+    dealt = listed.repartition("key", F.pmod(F.xxhash64("head"), F.lit(PARTS)))
+    shared = keep(few(dealt.groupBy("key").agg(F.min("head").alias("a"), F.max("head").alias("most")).where("a < most").drop("most")), "shared")
     entries = keep(few(listed.join(shared, "key").select("key", "a", F.col("head").alias("b"))), "entries")
     size_of = lambda x: heads.groupBy(F.col("head").alias(x)).agg(F.min("n").alias(f"n_{x}"))
     stars = entries.where("a <> b").select("a", "b").distinct().join(size_of("a"), "a").join(size_of("b"), "b").where(may_fit(percent)).select("a", "b")
