@@ -321,7 +321,7 @@ def learn_lexicon(sample: DataFrame, letters: Letters, size: int = LEXICON) -> d
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out() -> pa.RecordBatch:
             every = seen[0] | seen[1]
-            return pa.RecordBatch.from_arrays([pa.array(list(every)), *(pa.array([seen[k][f] for f in every], pa.int64()) for k in (1, 0))], ["feature", "t", "c"])
+            return pa.RecordBatch.from_arrays([pa.array(list(every), pa.string()), *(pa.array([seen[k][f] for f in every], pa.int64()) for k in (1, 0))], ["feature", "t", "c"])
 
         seen = {0: Counter(), 1: Counter()}
         for batch in batches:

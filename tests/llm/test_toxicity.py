@@ -127,3 +127,10 @@ def test_viterbi_equals_every_way_through_the_lattice(docs):
         if rng.random() < 0.4:
             token += rng.choice(("*", "**", "*d", "*!"))
         assert letters.restore(token) == likeliest(letters, token), token
+
+
+def test_counts_handed_on_after_the_last_text(docs, spark, monkeypatch):
+    _, rows, labels = corpus(docs, spark, 100)
+    whole = [r.score for r in toxicity.scored(docs(rows), spark.createDataFrame(labels, LABELS)).orderBy("doc_id").collect()]
+    monkeypatch.setattr(toxicity, "FLUSH", 1)
+    assert [r.score for r in toxicity.scored(docs(rows), spark.createDataFrame(labels, LABELS)).orderBy("doc_id").collect()] == whole
