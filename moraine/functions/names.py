@@ -129,3 +129,16 @@ def colon_hex(digest: Column) -> Column:
 def reserved_child(path: Column) -> Column:
     """Whether a node is the root's child whose name the archive keeps for itself."""
     return path == ".pxarexclude-cli"
+
+
+def metadata_key(mode: Column, uid: Column, gid: Column, secs: Column, nanos: Column, xattrs: Column, acl: Column, fcaps: Column, quota: Column) -> Column:
+    """A digest of all of a node's metadata, values and not sizes: equal if and only if nothing has changed."""
+    x = F.array_join(F.transform(F.array_sort(xattrs), lambda a: F.concat(a["name"], F.lit("="), F.hex(a["value"]))), ",")
+
+    def entries(field: str, mark: str) -> Column:
+        return F.transform(acl[field], lambda e: F.concat(F.lit(mark), e["id"].cast("string"), F.lit(":"), e["perm"].cast("string")))
+
+    one = F.array(F.concat(F.lit("o"), acl["group_obj"].cast("string")), F.concat(F.lit("d"), acl["default"].cast("string")))
+    a = F.array_join(F.concat(entries("users", "u"), entries("groups", "g"), entries("default_users", "U"), entries("default_groups", "G"), one), ";")
+    parts = [F.coalesce(c.cast("string"), F.lit("")) for c in (mode, uid, gid, secs, nanos, x, a, F.hex(fcaps), quota)]
+    return F.sha2(F.concat_ws("|", *parts), 256)

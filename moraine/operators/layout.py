@@ -40,15 +40,9 @@ def events(nodes: DataFrame, version: int) -> DataFrame:
     return opened.unionByName(closed)
 
 
-def bucket(levels: int = 2, chars: int = 4) -> Column:
-    """A coarse key that ascends with key: the first levels and the start of the next."""
-    head = F.slice("key", 1, levels)
-    return F.concat(head, F.transform(F.slice("key", levels + 1, 1), lambda c: F.substring(c, 1, chars)))
-
-
 def positions(nodes: DataFrame, version: int = 1) -> DataFrame:
     """path, phase, start, bytes of every event; version 2 begins with a version record."""
-    placed = numbered(events(nodes, version), F.col("key"), bucket(), F.col("bytes"), "start")
+    placed = numbered(events(nodes, version), F.col("key"), F.col("bytes"), "start")
     lead = names.FORMAT_VERSION if version == 2 else 0
     return placed.select("path", "kind", "size", "link_target", "phase", (F.col("start") + lead).alias("start"), "bytes")
 
@@ -68,9 +62,9 @@ def hardlink_offsets(nodes: DataFrame, version: int = 1) -> DataFrame:
     return at.where("kind = 'hardlink'").join(target, "link_target", "left").select("path", "link_target", F.when(back > 0, back).alias("distance"))
 
 
-def payload_offsets(files: DataFrame, key: Column, bucket_: Column) -> DataFrame:
+def payload_offsets(files: DataFrame, key: Column) -> DataFrame:
     """Adds payload_offset: 16 + the headers and contents of earlier files."""
-    placed = numbered(files, key, bucket_, names.HEADER + F.col("size"), "payload_offset")
+    placed = numbered(files, key, names.HEADER + F.col("size"), "payload_offset")
     return placed.withColumn("payload_offset", F.col("payload_offset") + names.MARKER)
 
 
@@ -89,3 +83,20 @@ def subtree_sizes(nodes: DataFrame) -> DataFrame:
 
     up = nodes.where("kind = 'file'").select("size", F.explode(F.concat(F.array(F.lit("")), ancestors(F.col("path")))).alias("path"))
     return up.groupBy("path").agg(F.count("*").alias("n_files"), F.sum("size").alias("bytes"))
+
+
+def directory_items(nodes: DataFrame, version: int = 1) -> DataFrame:
+    """path, name, start, length: what each directory's table says of its children, start from the directory's own."""
+    at = spans(nodes, version)
+    own = at.select(F.col("path").alias("up"), F.col("start").alias("dir_start"))
+    below = at.where("path <> ''").withColumn("up", names.parent(F.col("path")))
+    return below.join(own, "up").select(F.col("up").alias("path"), names.basename(F.col("path")).alias("name"), (F.col("start") - F.col("dir_start")).alias("start"), "length")
+
+
+def inside(nodes: DataFrame) -> DataFrame:
+    """path, n_children, ok of each directory with children: whether all of them lie inside it."""
+    at = spans(nodes, 1)
+    own = at.select(F.col("path").alias("up"), F.col("start").alias("a"), (F.col("start") + F.col("length")).alias("b"))
+    met = at.where("path <> ''").withColumn("up", names.parent(F.col("path"))).join(own, "up")
+    fits = (F.col("start") > F.col("a")) & (F.col("start") + F.col("length") < F.col("b"))
+    return met.groupBy(F.col("up").alias("path")).agg(F.count("*").alias("n_children"), F.bool_and(fits).alias("ok"))

@@ -1,14 +1,18 @@
 """Which unchanged files can be taken from the previous snapshot's payload.
 
-cur: path, seq (walk order), meta (fingerprint), size; prev: path, meta, size,
-payload_offset; chunks: seq, start_offset, end_offset of the previous payload.
+cur: path, meta (digest of all metadata), size, in walk order (tree.in_order);
+prev: path, meta, size, payload_offset; chunks: seq, start_offset, end_offset of
+the previous payload. Runs and offsets go over the whole walk, whatever the
+directories.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .tree import before, running
+
 HEADER = 16
 THRESHOLD = 0.1
 
@@ -21,33 +25,30 @@ def changed_files(cur: DataFrame, prev: DataFrame) -> DataFrame:
     return both.withColumn("unchanged", same).withColumn("payload_offset", F.when(same, F.col("payload_offset"))).drop("_meta", "_size")
 
 
-def runs(files: DataFrame, group: str) -> DataFrame:
-    """Adds run_id within group: consecutive unchanged files at ascending offsets.
-
-    group splits the walk (a directory, say): runs never cross it, which keeps
-    the order inside one task small.
-    """
-    w = Window.partitionBy(group).orderBy("seq")
-    before, offset = F.lag("unchanged").over(w), F.lag("payload_offset").over(w)
-    brk = ~F.col("unchanged") | before.isNull() | ~before | (F.col("payload_offset") <= offset)
-    return files.withColumn("run_id", F.sum(F.coalesce(brk, F.lit(True)).cast("long")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+def runs(files: DataFrame) -> DataFrame:
+    """Adds seq (place in the walk) and run_id: consecutive unchanged files at ascending offsets."""
+    rows = before(files, ["unchanged", "payload_offset"], "_b")
+    brk = ~F.col("unchanged") | F.col("_b").isNull() | ~F.col("_b.unchanged") | (F.col("payload_offset") <= F.col("_b.payload_offset"))
+    rows = rows.withColumn("_brk", F.coalesce(brk, F.lit(True)).cast("long"))
+    rows = running(rows, F.col("_brk"), "run_id").withColumn("run_id", F.col("run_id") + F.col("_brk"))
+    return running(rows, F.lit(1), "seq").drop("_b", "_brk")
 
 
-def coverage(run_rows: DataFrame, chunks: DataFrame, group: str, span: int) -> DataFrame:
+def coverage(run_rows: DataFrame, chunks: DataFrame, span: int) -> DataFrame:
     """Per run of unchanged files: its span, its bytes, and the chunks that cover it.
 
     Runs meet chunks by an equality join on offset div span, both ends and all
     between, then by the exact interval.
     """
-    r = run_rows.where("unchanged").groupBy(group, "run_id").agg(
-        F.min("payload_offset").alias("run_start"), F.max(F.col("payload_offset") + HEADER + F.col("size")).alias("run_end"), F.sum(HEADER + F.col("size")).alias("used"), F.count("*").alias("n_files")
+    r = run_rows.where("unchanged").groupBy("run_id").agg(
+        F.max("seq").alias("last_seq"), F.min("payload_offset").alias("run_start"), F.max(F.col("payload_offset") + HEADER + F.col("size")).alias("run_end"), F.sum(HEADER + F.col("size")).alias("used"), F.count("*").alias("n_files")
     )
     cell = lambda a, b: F.explode(F.sequence(F.floor(F.col(a) / span), F.floor((F.col(b) - 1) / span)))
     left = r.withColumn("cell", cell("run_start", "run_end"))
     right = chunks.select("start_offset", "end_offset").withColumn("cell", cell("start_offset", "end_offset"))
     met = left.join(right, "cell").where("start_offset < run_end and end_offset > run_start")
-    cover = met.groupBy(group, "run_id").agg(F.min("start_offset").alias("c_start"), F.max("end_offset").alias("c_end"), F.count_distinct("start_offset").alias("n_chunks"))
-    return r.join(cover, [group, "run_id"], "left").withColumn("total", F.col("c_end") - F.col("c_start"))
+    cover = met.groupBy("run_id").agg(F.min("start_offset").alias("c_start"), F.max("end_offset").alias("c_end"), F.count_distinct("start_offset").alias("n_chunks"))
+    return r.join(cover, "run_id", "left").withColumn("total", F.col("c_end") - F.col("c_start"))
 
 
 def decide(covered: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -61,20 +62,19 @@ def decide(covered: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     return covered.withColumn("reuse", inside & F.coalesce(fits, F.lit(False))).withColumn("rejected", inside & ~F.coalesce(fits, F.lit(False)))
 
 
-def plan(run_rows: DataFrame, decided: DataFrame, group: str) -> DataFrame:
+def plan(run_rows: DataFrame, decided: DataFrame) -> DataFrame:
     """Per file: whether it is reused, its place in its run's chunks, the run's total on its last file."""
-    both = run_rows.join(decided.select(group, "run_id", "c_start", "total", "reuse"), [group, "run_id"], "left")
+    both = run_rows.join(decided.select("run_id", "c_start", "total", "reuse", "last_seq"), "run_id", "left")
     reuse = F.coalesce("reuse", F.lit(False)) & F.col("unchanged")
-    last = F.lead("seq").over(Window.partitionBy(group, "run_id").orderBy("seq")).isNull()
-    return both.select(group, "path", "seq", "size", "run_id", reuse.alias("reuse"), F.when(reuse, F.col("payload_offset") - F.col("c_start")).alias("rel"), F.when(reuse & last, F.col("total")).alias("run_total"))
+    last = F.col("seq") == F.col("last_seq")
+    return both.select("part", "at", "path", "seq", "size", "run_id", reuse.alias("reuse"), F.when(reuse, F.col("payload_offset") - F.col("c_start")).alias("rel"), F.when(reuse & last, F.col("total")).alias("run_total"))
 
 
-def offsets(planned: DataFrame, group: str) -> DataFrame:
-    """New payload offset of every file within its group: reads add header and content, a run its chunks at its end."""
+def offsets(planned: DataFrame) -> DataFrame:
+    """New payload offset of every file: reads add header and content, a run its chunks at its end."""
     step = F.when(~F.col("reuse"), HEADER + F.col("size")).otherwise(F.coalesce("run_total", F.lit(0)))
-    w = Window.partitionBy(group).orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    base = HEADER + F.coalesce(F.sum(step).over(w), F.lit(0))
-    return planned.select(group, "path", "seq", "reuse", (base + F.coalesce("rel", F.lit(0))).alias("payload_offset"))
+    rows = running(planned, step, "_sum")
+    return rows.select("path", "seq", "reuse", (HEADER + F.col("_sum") + F.coalesce("rel", F.lit(0))).alias("payload_offset"))
 
 
 def stats(planned: DataFrame, decided: DataFrame) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import names, patterns
+from ..sources.staging import staged
 
 
 def walk_key(path: Column) -> Column:
@@ -50,9 +51,11 @@ def hardlink_targets(nodes: DataFrame) -> DataFrame:
     """
     multi = nodes.where("kind = 'file' and nlink > 1")
     first = multi.groupBy("dev", "ino").agg(F.min_by("path", walk_key(F.col("path"))).alias("_first"))
-    linked = nodes.join(first, ["dev", "ino"], "left")
-    is_link = (F.col("kind") == "file") & (F.col("nlink") > 1) & (F.col("_first") != F.col("path"))
-    return linked.withColumn("link_target", F.when(is_link, F.col("_first"))).withColumn("kind", F.when(is_link, F.lit("hardlink")).otherwise(F.col("kind"))).drop("_first")
+    linked = multi.join(first, ["dev", "ino"])  # other nodes are not shuffled
+    is_link = F.col("_first") != F.col("path")
+    linked = linked.withColumn("link_target", F.when(is_link, F.col("_first"))).withColumn("kind", F.when(is_link, F.lit("hardlink")).otherwise(F.col("kind"))).drop("_first")
+    single = nodes.where("not coalesce(kind = 'file' and nlink > 1, false)").withColumn("link_target", F.lit(None).cast("string"))
+    return single.unionByName(linked)
 
 
 def prune(nodes: DataFrame, texts: Sequence[str], veto=None) -> DataFrame:
@@ -119,14 +122,93 @@ def tree_diff(old: DataFrame, new: DataFrame) -> DataFrame:
     return both.select("path", change.alias("change")).where("change is not null")
 
 
-def numbered(df: DataFrame, key: Column, bucket: Column, value: Column, name: str) -> DataFrame:
-    """Adds the exclusive running sum of value in the order of key, in two levels.
+def in_order(df: DataFrame, key: Column) -> DataFrame:
+    """df written once in the order of key, dealt to ranges: adds part (the range) and at (ascends with key)."""
+    dealt = df.withColumn("_key", key).repartitionByRange("_key").sortWithinPartitions("_key").drop("_key")
+    return staged(dealt.withColumn("part", F.spark_partition_id()).withColumn("at", F.monotonically_increasing_id()), "ordered")
 
-    bucket must ascend with key. Sums by bucket are summed up among themselves
-    (one small row each), then inside each bucket, so no task sees all rows.
+
+def running(rows: DataFrame, value: Column, name: str) -> DataFrame:
+    """Adds the sum of value over all earlier rows of in_order.
+
+    The sums of the ranges (a row each) are summed up among themselves, then
+    each range inside: no task sees more than a range, however the keys lie.
     """
-    rows = df.withColumn("_b", bucket).withColumn("_v", value.cast("long"))
-    over = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    base = rows.groupBy("_b").agg(F.sum("_v").alias("_s")).select("_b", F.coalesce(F.sum("_s").over(over), F.lit(0)).alias("_base"))
-    inside = Window.partitionBy("_b").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
-    return rows.join(base, "_b").withColumn(name, F.col("_base") + F.coalesce(F.sum("_v").over(inside), F.lit(0))).drop("_b", "_v", "_base")
+    rows = rows.withColumn("_v", value.cast("long"))
+    over = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    base = rows.groupBy("part").agg(F.sum("_v").alias("_s")).select("part", F.coalesce(F.sum("_s").over(over), F.lit(0)).alias("_from"))
+    inside = Window.partitionBy("part").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    return rows.join(base, "part").withColumn(name, F.col("_from") + F.coalesce(F.sum("_v").over(inside), F.lit(0))).drop("_v", "_from")
+
+
+def before(rows: DataFrame, columns: Sequence[str], name: str) -> DataFrame:
+    """Adds a struct of the columns' values in the row before, in the order of in_order; null in the first row."""
+    own = F.struct(*columns)
+    last = rows.groupBy("part").agg(F.max_by(own, "at").alias("_l"))
+    edge = last.select("part", F.lag("_l").over(Window.orderBy("part")).alias("_edge"))  # a row for each range
+    inside = F.lag(own).over(Window.partitionBy("part").orderBy("at"))
+    return rows.join(edge, "part").withColumn(name, F.coalesce(inside, F.col("_edge"))).drop("_edge")
+
+
+def numbered(df: DataFrame, key: Column, value: Column, name: str) -> DataFrame:
+    """Adds the exclusive running sum of value in the order of key."""
+    return running(in_order(df, key), value, name).drop("part", "at")
+
+
+def stream_nodes(streams: DataFrame) -> DataFrame:
+    """Nodes of contents that no file system holds (name, size): files of mode 0644 that belong to user 0."""
+    long = lambda x: F.lit(x).cast("long")
+    return streams.select(F.col("name").alias("path"), F.lit("file").alias("kind"), long(0o100644).alias("mode"), long(0).alias("uid"), long(0).alias("gid"), F.col("size").cast("long").alias("size"))
+
+
+class Archive:
+    """Collects trees and streams, then makes them one tree.
+
+    One directory alone becomes the root itself; anything else goes under a
+    virtual root, each part by its own name.
+    """
+
+    def __init__(self) -> None:
+        self.parts: list[tuple[str, DataFrame, bool]] = []
+
+    def add_directory(self, nodes: DataFrame, name: str = "") -> "Archive":
+        """nodes: a tree with its root ''; name: what it is called under a virtual root."""
+        self.parts.append((name, nodes, True))
+        return self
+
+    def add_directories(self, named: dict[str, DataFrame]) -> "Archive":
+        for name in sorted(named, key=str.encode):
+            self.add_directory(named[name], name)
+        return self
+
+    def add_files(self, nodes: DataFrame) -> "Archive":
+        """Files or links, each called by its path."""
+        self.parts.append(("", nodes, False))
+        return self
+
+    def add_streams(self, streams: DataFrame) -> "Archive":
+        return self.add_files(stream_nodes(streams))
+
+    def compose(self, *columns: str) -> DataFrame:
+        """path, kind and the columns of the whole tree (null where a part has none); names must differ."""
+        if len(self.parts) == 1 and self.parts[0][2] and not self.parts[0][0]:
+            return self.parts[0][1].select("path", "kind", *columns)
+        names_ = [n for n, _, is_dir in self.parts if is_dir]
+        if "" in names_ or len(set(names_)) < len(names_) or any("/" in n or n in (".", "..") for n in names_):
+            raise ValueError("directories under a virtual root need names of their own")
+        out: DataFrame | None = None
+        for name, nodes, is_dir in self.parts:
+            path = F.when(F.col("path") == "", F.lit(name)).otherwise(F.concat(F.lit(name + "/"), "path")) if is_dir else F.col("path")
+            part = nodes.select(path.alias("path"), *(c for c in ("kind", *columns) if c in nodes.columns))
+            out = part if out is None else out.unionByName(part, allowMissingColumns=True)
+        if out is None:
+            raise ValueError("an archive needs a part")
+        return out
+
+
+def unreadable(nodes: DataFrame) -> DataFrame:
+    """path, warning of nodes that an archive can't hold as they are: names that are no names, kinds that are none."""
+    name = names.basename(F.col("path"))
+    kinds = ("directory", "file", "symlink", "hardlink", "block", "char", "fifo", "socket")
+    warning = F.when(~F.col("kind").isin(*kinds), F.concat(F.lit("unsupported kind "), "kind")).when((F.col("path") != "") & ~names.name_valid(name), "bad name").when(F.octet_length(name) > 255, "long name")
+    return nodes.select("path", warning.alias("warning")).where("warning is not null")

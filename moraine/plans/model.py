@@ -35,18 +35,24 @@ def nodes(spark: SparkSession, sf_dir: str, snapshot: int = 1) -> DataFrame:
     d = documents(spark, sf_dir, snapshot).withColumn("h", F.sha2("text", 256)).withColumn("text", F.octet_length("text").cast("long"))
     inode = d.groupBy("h").agg(F.min("doc_id").alias("ino"), F.count("*").alias("nlink"))
     none = F.lit(None)
-    xattrs = F.when(F.col("doc_id") % 7 == 0, F.array(F.struct(F.lit("user.lang").alias("name"), F.encode("lang", "utf-8").alias("value"))))
-    ids = F.array(F.struct(F.lit(1).cast("long").alias("id"), F.lit(4).cast("long").alias("perm")))
+    # the second snapshot has changes that leave every size as it was
+    later = lambda k, old, new: F.when(F.lit(snapshot == 2) & (F.col("doc_id") % k == 0), new).otherwise(old)
+    value = later(35, F.col("lang"), F.upper("lang"))
+    xattrs = F.when(F.col("doc_id") % 7 == 0, F.array(F.struct(F.lit("user.lang").alias("name"), F.encode(value, "utf-8").alias("value"))))
+    nanos = later(31, F.lit(0), F.lit(5))
+    ids = F.array(F.struct(F.lit(1).cast("long").alias("id"), later(33, F.lit(4), F.lit(6)).cast("long").alias("perm")))
     no_ids = F.array().cast("array<struct<id:bigint,perm:bigint>>")
     acl = F.when(F.col("doc_id") % 11 == 0, F.struct(ids.alias("users"), no_ids.alias("groups"), F.lit(4).cast("long").alias("group_obj"), none.cast("bigint").alias("default"), no_ids.alias("default_users"), no_ids.alias("default_groups")))
+    mode, uid, gid = F.when(F.col("doc_id") % 5 == 0, 33152).otherwise(33188).cast("long"), F.col("doc_id") % 3, F.col("doc_id") % 4
     files = d.join(inode, "h").select(
-        "path", F.lit("file").alias("kind"), F.when(F.col("doc_id") % 5 == 0, 33152).otherwise(33188).cast("long").alias("mode"), (F.col("doc_id") % 3).alias("uid"), (F.col("doc_id") % 4).alias("gid"),
+        "path", F.lit("file").alias("kind"), mode.alias("mode"), uid.alias("uid"), gid.alias("gid"),
+        names.metadata_key(mode, uid, gid, F.col("mtime_secs"), nanos, xattrs, acl, none.cast("binary"), F.lit(0)).alias("meta"),
         "mtime_secs", F.col("text").alias("size"), F.lit(1).cast("long").alias("dev"), "ino", "nlink",
         names.metadata_size(xattrs, acl, none.cast("binary"), F.lit(0)).cast("long").alias("meta_size"),
     )
     files = staged(files, "files")
     long = lambda x: F.lit(x).cast("long")
-    folders = tree.with_directories(files).select("path", "kind", long(16877).alias("mode"), long(0).alias("uid"), long(0).alias("gid"), long(T0).alias("mtime_secs"), long(0).alias("size"), long(1).alias("dev"), long(-1).alias("ino"), long(1).alias("nlink"), long(names.ENTRY).alias("meta_size"))
+    folders = tree.with_directories(files).select("path", "kind", long(16877).alias("mode"), long(0).alias("uid"), long(0).alias("gid"), long(T0).alias("mtime_secs"), long(0).alias("size"), long(1).alias("dev"), long(-1).alias("ino"), long(1).alias("nlink"), long(names.ENTRY).alias("meta_size"), none.cast("string").alias("meta"))
     return staged(tree.hardlink_targets(files.unionByName(folders)), "nodes")
 
 
@@ -57,12 +63,12 @@ def page_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def chunks(spark: SparkSession, sf_dir: str, snapshot: int = 1) -> DataFrame:
-    """The documents cut into blocks of BLOCK characters; one stream each."""
-    d = documents(spark, sf_dir, snapshot).where("text <> ''").select(F.concat(F.lit("d"), "doc_id").alias("stream_id"), "text", F.length("text").cast("long").alias("n"))
+    """The documents' UTF-8 bytes cut into blocks of BLOCK; one stream each."""
+    d = documents(spark, sf_dir, snapshot).where("text <> ''").select(F.concat(F.lit("d"), "doc_id").alias("stream_id"), F.encode("text", "utf-8").alias("data"), F.octet_length("text").cast("long").alias("n"))
     rows = d.withColumn("seq", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / BLOCK))))
     offset = F.col("seq") * BLOCK
     end = F.least(F.col("n"), offset + BLOCK)
-    return rows.select("stream_id", "seq", offset.alias("offset"), end.alias("end_offset"), (end - offset).alias("size"), F.sha2(F.substring("text", (offset + 1).cast("int"), F.lit(BLOCK)), 256).alias("digest"))
+    return rows.select("stream_id", "seq", offset.alias("offset"), end.alias("end_offset"), (end - offset).alias("size"), F.sha2(F.substring("data", (offset + 1).cast("int"), F.lit(BLOCK)), 256).alias("digest"))
 
 
 def snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,7 +90,5 @@ def manifest_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def payload(files: DataFrame) -> DataFrame:
     """path, dir, meta, size, payload_offset of a tree's files in walk order."""
-    rows = files.where("kind = 'file'").withColumn("key", F.split("path", "/"))
-    placed = layout.payload_offsets(rows, F.col("key"), layout.bucket())
-    meta = F.concat_ws("|", "mode", "uid", "gid", "mtime_secs", "meta_size")
-    return placed.select("path", names.parent(F.col("path")).alias("dir"), meta.alias("meta"), "size", "payload_offset")
+    placed = layout.payload_offsets(files.where("kind = 'file'"), tree.walk_key(F.col("path")))
+    return placed.select("path", "meta", "size", "payload_offset")

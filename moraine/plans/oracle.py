@@ -36,11 +36,14 @@ def nodes(k: int = 1) -> str:
     return f"""{docs(k)},
     i{k} as (select sha256(text) as h, min(doc_id) as ino, count(*) as nlink from d{k} group by 1),
     f{k} as (select path, 'file' as kind, (case when doc_id % 5 = 0 then 33152 else 33188 end)::bigint as mode, doc_id % 3 as uid, doc_id % 4 as gid, mtime_secs, strlen(text)::bigint as size, ino, nlink,
+      sha256((case when doc_id % 5 = 0 then 33152 else 33188 end) || '|' || doc_id % 3 || '|' || doc_id % 4 || '|' || mtime_secs || '|' || case when {k} = 2 and doc_id % 31 = 0 then 5 else 0 end || '|'
+        || case when doc_id % 7 = 0 then 'user.lang=' || hex(encode(case when {k} = 2 and doc_id % 35 = 0 then upper(lang) else lang end)) else '' end || '|'
+        || case when doc_id % 11 = 0 then 'u1:' || case when {k} = 2 and doc_id % 33 = 0 then 6 else 4 end || ';o4' else '' end || '||0') as meta,
       56 + case when doc_id % 7 = 0 then 16 + 9 + 1 + strlen(lang) else 0 end + case when doc_id % 11 = 0 then 32 + 24 else 0 end as meta_size from d{k} join i{k} on h = sha256(text)),
     g{k} as (select distinct unnest(list_concat([''], {up('path')})) as path from f{k}),
-    a{k} as (select * from f{k} union all select path, 'directory', 16877, 0, 0, {T0}, 0, -1, 1, 56 from g{k}),
+    a{k} as (select * from f{k} union all select path, 'directory', 16877, 0, 0, {T0}, 0, -1, 1, null, 56 from g{k}),
     t{k} as (select ino, arg_min(path, string_split(path, '/')) as target from a{k} where kind = 'file' and nlink > 1 group by ino),
-    n{k} as (select a.path, case when target <> a.path then 'hardlink' else kind end as kind, mode, uid, gid, mtime_secs, size, nlink, meta_size, case when target <> a.path then target end as link_target
+    n{k} as (select a.path, case when target <> a.path then 'hardlink' else kind end as kind, mode, uid, gid, mtime_secs, size, nlink, meta, meta_size, case when target <> a.path then target end as link_target
       from a{k} a left join t{k} on t{k}.ino = a.ino and kind = 'file' and nlink > 1)"""
 
 
@@ -64,15 +67,15 @@ def events(v: int, k: int = 1) -> str:
 
 def payload(k: int = 1) -> str:
     """CTE y<k>, after nodes(k)."""
-    return f"""y{k} as (select path, {parent('path')} as dir, mode || '|' || uid || '|' || gid || '|' || mtime_secs || '|' || meta_size as meta, size,
+    return f"""y{k} as (select path, meta, size,
       (16 + coalesce(sum(16 + size) over (order by string_split(path, '/') rows between unbounded preceding and 1 preceding), 0))::bigint as payload_offset from n{k} where kind = 'file')"""
 
 
 def chunks(k: int = 1) -> str:
     """CTEs that end with c<k>; docs(k) first."""
     return f"""{docs(k)},
-    x{k} as (select 'd' || doc_id as stream_id, text, length(text) as n, unnest(generate_series(0, (length(text) - 1) // {B})) as seq from d{k} where text <> ''),
-    c{k} as (select stream_id, seq, seq * {B} as offset, least(n, seq * {B} + {B}) as end_offset, least(n, seq * {B} + {B}) - seq * {B} as size, sha256(substring(text, (seq * {B} + 1)::int, {B})) as digest from x{k})"""
+    x{k} as (select 'd' || doc_id as stream_id, hex(encode(text)) as h, strlen(text)::bigint as n, unnest(generate_series(0, (strlen(text) - 1) // {B})) as seq from d{k} where text <> ''),
+    c{k} as (select stream_id, seq, seq * {B} as offset, least(n, seq * {B} + {B}) as end_offset, least(n, seq * {B} + {B}) - seq * {B} as size, sha256(unhex(substring(h, (2 * seq * {B} + 1)::int, 2 * {B}))) as digest from x{k})"""
 
 
 def marked(source: str, known: str | None = None) -> str:
@@ -84,23 +87,23 @@ def marked(source: str, known: str | None = None) -> str:
 SNAPS = """s as (select event_id, event_type as ns, (['host', 'vm', 'ct'])[user_id % 3 + 1] as type, 'u' || (user_id % 50) as id, epoch_us(ts) // 1000000 as time from events)"""
 FILES = f"""{SNAPS}, mf as (select ns, type, id, time // 86400 as time, (['root.pxar.didx', 'root.mpxar.didx', 'root.ppxar.didx', 'conf.blob'])[event_id % 4 + 1] as filename, case when event_id % 5 = 0 then 'encrypt' else 'none' end as crypt_mode from s)"""
 PAGES = r"""pg as (select page_id, path, case when page_id % 10 = 0 then 'directory' else 'file' end as kind from (select page_id, regexp_replace(regexp_replace(coalesce(url, ''), '^[a-z]+://', ''), '/+\z', '') as path from pages) where path <> '')"""
-ASKED = "q as (select path from d1 where doc_id % 10 = 0 union all select dir from d1 where doc_id % 40 = 1 union all select path || '.missing' from d1 where doc_id % 50 = 3)"
+ASKED = "q as (select path from d1 union all select dir from d1 where lang = 'en' union all select path || '.missing' from d1)"
 LE = "array_to_string(list_transform([15, 13, 11, 9, 7, 5, 3, 1], lambda i: substring(lpad(lower(to_hex(end_offset)), 16, '0'), i, 2)), '')"
 RUNS = f"""{nodes(1)}, {payload(1)}, {nodes(2)}, {payload(2)},
-    u as (select y2.dir, y2.path, y2.size, row_number() over (partition by y2.dir order by y2.path) as seq, coalesce(y1.meta = y2.meta and y1.size = y2.size, false) as unchanged,
+    u as (select y2.path, y2.size, row_number() over (order by string_split(y2.path, '/')) - 1 as seq, coalesce(y1.meta = y2.meta and y1.size = y2.size, false) as unchanged,
       case when y1.meta = y2.meta and y1.size = y2.size then y1.payload_offset end as payload_offset from y2 left join y1 using (path)),
-    v as (select *, lag(unchanged) over o as b, lag(payload_offset) over o as l from u window o as (partition by dir order by seq)),
-    r as (select dir, path, size, seq, unchanged, payload_offset, sum(case when not unchanged or b is null or not b or payload_offset <= l then 1 else 0 end) over (partition by dir order by seq rows unbounded preceding)::bigint as run_id from v)"""
+    v as (select *, lag(unchanged) over o as b, lag(payload_offset) over o as l from u window o as (order by seq)),
+    r as (select path, size, seq, unchanged, payload_offset, sum(case when not unchanged or b is null or not b or payload_offset <= l then 1 else 0 end) over (order by seq rows unbounded preceding)::bigint as run_id from v)"""
 COVER = f"""{RUNS},
     total as (select max(payload_offset + 16 + size) as n from y1),
     ch as (select unnest(generate_series(0, (n - 1) // {SPAN})) as k, n from total),
     pc as (select k * {SPAN} as start_offset, least(n, (k + 1) * {SPAN}) as end_offset from ch),
-    rr as (select dir, run_id, min(payload_offset) as run_start, max(payload_offset + 16 + size) as run_end, sum(16 + size)::bigint as used, count(*) as n_files from r where unchanged group by 1, 2),
+    rr as (select run_id, max(seq) as last_seq, min(payload_offset) as run_start, max(payload_offset + 16 + size) as run_end, sum(16 + size)::bigint as used, count(*) as n_files from r where unchanged group by 1),
     cv as (select rr.*, min(start_offset) as c_start, max(end_offset) as c_end, count(*) as n_chunks, max(end_offset) - min(start_offset) as total from rr join pc on start_offset < run_end and end_offset > run_start group by all),
     dc as (select *, total >= used and (total - used) / total <= 0.5 and c_end >= run_end as reuse, c_end >= run_end and not (total >= used and (total - used) / total <= 0.5) as rejected from cv)"""
 PLAN = f"""{COVER},
-    pl as (select r.dir, path, seq, size, run_id, coalesce(reuse, false) and unchanged as reuse, case when reuse and unchanged then payload_offset - c_start end as rel,
-      case when reuse and unchanged and lead(seq) over (partition by r.dir, run_id order by seq) is null then total end as run_total from r left join dc using (dir, run_id))"""
+    pl as (select path, seq, size, run_id, coalesce(reuse, false) and unchanged as reuse, case when reuse and unchanged then payload_offset - c_start end as rel,
+      case when reuse and unchanged and seq = last_seq then total end as run_total from r left join dc using (run_id))"""
 
 
 def pattern_sql(texts: list[str]) -> str:
@@ -168,7 +171,7 @@ def build() -> dict[str, str]:
     out["list_snapshots"] = f"with {SNAPS} select ns, type, count(distinct id) as n_groups, count(*) as n, max(time) as newest from s group by 1, 2"
     out["latest_snapshot"] = f"with {SNAPS} select ns, type, id, max(time) as time from s group by 1, 2, 3"
     out["previous_snapshot"] = f"with {SNAPS}, x as (select distinct ns, type, id, time from s) select ns, type, id, time, lag(time) over (partition by ns, type, id order by time) as prev_time from x"
-    out["snapshot_as_of"] = f"""with {SNAPS}, a as (select distinct ns, type, id, time + event_id % 3600 as at from s where event_id % 7 = 0), x as (select distinct ns, type, id, time from s)
+    out["snapshot_as_of"] = f"""with {SNAPS}, a as (select distinct ns, type, id, time + event_id % 3600 as at from s), x as (select distinct ns, type, id, time from s)
       select a.ns, a.type, a.id, a.at, x.time as prev_time from a asof left join x on a.ns = x.ns and a.type = x.type and a.id = x.id and a.at > x.time"""
     out["list_groups"] = f"""with {FILES}, l as (select ns, type, id, max(time) as last_backup, count(distinct time) as n_snapshots from mf group by 1, 2, 3)
       select l.ns, l.type, l.id, last_backup, n_snapshots, (select string_agg(f, ',' order by f) from (select distinct filename as f from mf where mf.ns = l.ns and mf.type = l.type and mf.id = l.id and mf.time = l.last_backup)) as files from l"""
@@ -176,10 +179,10 @@ def build() -> dict[str, str]:
     out["commit_conflicts"] = f"with {FILES} select ns, type, id, time, count(*) as n from mf group by 1, 2, 3, 4 having count(*) > 1"
     out["namespaces"] = f"with {SNAPS} select distinct 'click/' || type as ns from s where ns = 'click' union all select distinct ns from s"
     out["changed_files"] = f"with {RUNS} select path, unchanged, payload_offset from r"
-    out["reuse_runs"] = f"with {RUNS} select dir, path, seq, unchanged, run_id from r"
-    out["run_coverage"] = f"with {COVER} select dir, run_id, run_start, run_end, used, n_files, c_start, c_end, n_chunks, total from cv"
+    out["reuse_runs"] = f"with {RUNS} select path, seq, unchanged, run_id from r"
+    out["run_coverage"] = f"with {COVER} select run_id, last_seq, run_start, run_end, used, n_files, c_start, c_end, n_chunks, total from cv"
     out["reuse_plan"] = f"with {PLAN} select * from pl"
-    out["reuse_offsets"] = f"with {PLAN} select path, seq, reuse, (16 + coalesce(sum(case when not reuse then 16 + size else coalesce(run_total, 0) end) over (partition by dir order by seq rows between unbounded preceding and 1 preceding), 0) + coalesce(rel, 0))::bigint as payload_offset from pl"
+    out["reuse_offsets"] = f"with {PLAN} select path, seq, reuse, (16 + coalesce(sum(case when not reuse then 16 + size else coalesce(run_total, 0) end) over (order by seq rows between unbounded preceding and 1 preceding), 0) + coalesce(rel, 0))::bigint as payload_offset from pl"
     out["reuse_stats"] = f"with {PLAN} select count(*) as files, count(*) filter (reuse) as reused_files, coalesce(sum(size) filter (reuse), 0)::bigint as reused_bytes, coalesce(sum(run_total), 0)::bigint as injected_bytes, (select count(*) filter (rejected) from dc) as rejected_runs from pl"
     out["threshold_sweep"] = f"""with {COVER}, g as (select cv.*, t.threshold from cv, (select unnest([0.05, 0.1, 0.25, 0.5, 0.9]::double[]) as threshold) t)
       select threshold, count(*) filter (ok) as reused_runs, coalesce(sum(n_files) filter (ok), 0)::bigint as reused_files from (select *, c_end >= run_end and total >= used and (total - used) / total <= threshold as ok from g) group by 1"""
@@ -204,7 +207,7 @@ def build() -> dict[str, str]:
         short = {8: "b", 9: "t", 10: "n", 12: "f", 13: "r"}.get(code, f"u{code:04x}")
         if code:
             esc = f"replace({esc}, chr({code}), chr(92) || '{short}')"
-    out["preludes"] = f"""with {docs(1)} select doc_id, sha256('{{"exclude-patterns":"' || {esc} || '"}}') as digest from d1 where doc_id % 3 = 0"""
+    out["preludes"] = f"""with {docs(1)} select doc_id, sha256('{{"exclude-patterns":"' || {esc} || '"}}') as digest from d1"""
     out["declared_sizes"] = f"""with {docs(1)}, x as (select doc_id, doc_id % 40 * 50 as size, strlen(text) as actual, hex(encode(text)) as h from d1)
       select doc_id, size, size as written, sha256(rpad(substring(h, 1, (2 * size)::int), (2 * size)::int, '0')) as digest, case when actual < size then 'size-changed ' || actual when actual > size then 'size-changed ' || (size + 1) end as warning from x"""
     out["snapshot_paths"] = f"with {SNAPS} select event_id, type || '/' || id || '/' || strftime(make_timestamp(time * 1000000), '%Y-%m-%dT%H:%M:%SZ') as path, ns as comment from s"
