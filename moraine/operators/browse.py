@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import names, patterns
+from ..sources.staging import staged
+from .tree import numbered, walk_key
 
 MOST_HOPS = 40
 
@@ -41,23 +43,23 @@ def link_path(path: str = "path", target: str = "target") -> F.Column:
 
 
 def resolve_symlinks(nodes: DataFrame, most_hops: int = MOST_HOPS) -> DataFrame:
-    """path, resolved, kind of each symlink to a file or directory; null resolved: dangling, outside or a loop.
+    """path, resolved, kind of each symlink to a file or directory; null resolved: dangling, outside, a loop or too many hops.
 
-    Follows all links one hop a round; ends as soon as none is left.
+    Every round doubles the hops that a link is followed, so that the rounds
+    (one join and one written table each) are few whatever the chains.
     """
-    links = nodes.where("kind = 'symlink'").select("path", link_path("path", "link_target").alias("goes"))
+    links = nodes.where("kind = 'symlink'").select("path", link_path("path", "link_target").alias("goes"), F.lit(1).alias("hops"))
     known = nodes.select(F.col("path").alias("goes"), F.col("kind").alias("k"))
-    step = links.select(F.col("path").alias("goes"), F.col("goes").alias("next"))
-    now = links
-    done = None
-    for _ in range(most_hops):
-        met = now.join(known, "goes", "left")
-        over = met.where("k is null or k <> 'symlink'").select("path", F.when(F.col("k").isNotNull(), F.col("goes")).alias("resolved"), F.col("k").alias("kind"))
-        done = over if done is None else done.unionByName(over)
-        now = met.where("k = 'symlink'").select("path", "goes").join(step, "goes").select("path", F.col("next").alias("goes"))
-        if now.isEmpty():
-            return done
-    return done.unionByName(now.select("path", F.lit(None).cast("string").alias("resolved"), F.lit(None).cast("string").alias("kind")))
+    now = staged(links.join(known, "goes", "left").select("path", "goes", "k", "hops"), "links")
+    on = F.col("k") == "symlink"
+    for _ in range(most_hops.bit_length()):
+        if now.where(on).isEmpty():
+            break
+        next_ = now.select(F.col("path").alias("goes"), F.col("goes").alias("g"), F.col("k").alias("l"), F.col("hops").alias("h"))
+        both = now.join(next_, "goes", "left")
+        now = staged(both.select("path", F.when(on, F.col("g")).otherwise(F.col("goes")).alias("goes"), F.when(on, F.col("l")).otherwise(F.col("k")).alias("k"), (F.col("hops") + F.when(on, F.col("h")).otherwise(0)).alias("hops")), "links")
+    ends = F.col("k").isNotNull() & ~on & (F.col("hops") <= most_hops)
+    return now.select("path", F.when(ends, F.col("goes")).alias("resolved"), F.when(ends, F.col("k")).alias("kind"))
 
 
 def read_ranges(ranges: DataFrame, chunks: DataFrame, span: int) -> DataFrame:
@@ -80,3 +82,38 @@ def select_paths(nodes: DataFrame, asked: DataFrame) -> DataFrame:
     up = nodes.withColumn("_up", F.explode(F.concat(F.array(F.lit("")), patterns.ancestors(F.col("path")), F.when(F.col("path") == "", F.array().cast("array<string>")).otherwise(F.array("path")))))
     want = asked.select(F.when(F.col("path") == ".", "").otherwise(F.col("path")).alias("_up")).distinct()
     return up.join(want, "_up", "left_semi").drop("_up").dropDuplicates(["path"])
+
+
+def restore_steps(nodes: DataFrame) -> DataFrame:
+    """step, phase, path: everything is made in walk order, then directories get their metadata, the deepest first.
+
+    The second phase is the walk of the directories backwards, so that nothing
+    is written below a directory that is done.
+    """
+    made = numbered(nodes.select("path", "kind"), walk_order(), F.lit(1), "step").withColumn("phase", F.lit(1))
+    total = nodes.agg(F.count("*").alias("n"))  # one row
+    folders = numbered(nodes.where("kind = 'directory'").select("path", "kind"), walk_order(), F.lit(1), "at_")
+    back = folders.crossJoin(total.crossJoin(nodes.where("kind = 'directory'").agg(F.count("*").alias("d"))))
+    closed = back.select("path", "kind", (F.col("n") + F.col("d") - 1 - F.col("at_")).alias("step"), F.lit(2).alias("phase"))
+    return made.select("path", "step", "phase").unionByName(closed.select("path", "step", "phase"))
+
+
+def walk_order() -> F.Column:
+    """The root first, then the components of the path."""
+    return F.when(F.col("path") == "", F.array().cast("array<string>")).otherwise(walk_key(F.col("path")))
+
+
+def copies(nodes: DataFrame, asked: DataFrame) -> DataFrame:
+    """What a selective restore makes: path, kind, size, mode, source.
+
+    Selected nodes keep their mode; parents that were not selected get 0755;
+    a hardlink becomes a copy of its target's content.
+    """
+    own = select_paths(nodes, asked)
+    target = nodes.select(F.col("path").alias("link_target"), F.col("size").alias("_size"), F.col("mode").alias("_mode"))
+    some = own.join(target, "link_target", "left")
+    link = F.col("kind") == "hardlink"
+    kept = some.select("path", F.when(link, "file").otherwise(F.col("kind")).alias("kind"), F.when(link, F.col("_size")).otherwise(F.col("size")).alias("size"), F.when(link, F.col("_mode")).otherwise(F.col("mode")).alias("mode"), F.when(link, F.col("link_target")).alias("source"))
+    up = own.select(F.explode(patterns.ancestors(F.col("path"))).alias("path")).distinct().join(own.select("path"), "path", "left_anti")
+    long = lambda x: F.lit(x).cast("long")
+    return kept.unionByName(up.select("path", F.lit("directory").alias("kind"), long(0).alias("size"), long(0o40755).alias("mode"), F.lit(None).cast("string").alias("source")))

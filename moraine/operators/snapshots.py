@@ -19,7 +19,7 @@ def previous(snapshots: DataFrame) -> DataFrame:
     return times.withColumn("prev_time", F.lag("time").over(w))
 
 
-def as_of(requests: DataFrame, snapshots: DataFrame, span: int = 86400) -> DataFrame:
+def as_of(requests: DataFrame, snapshots: DataFrame) -> DataFrame:
     """For requests (ns, type, id, at): prev_time, the newest snapshot strictly before at.
 
     Both sides are unioned and one window per group carries the last snapshot
@@ -60,3 +60,34 @@ def namespaces(snapshots: DataFrame, parent: str = "") -> DataFrame:
     prefix = parent + "/" if parent else ""
     below = snapshots.where(F.startswith("ns", F.lit(prefix)) & (F.col("ns") != parent))
     return below.select(F.concat(F.lit(prefix), F.split(F.substring("ns", len(prefix) + 1, 1 << 20), "/")[0]).alias("ns")).distinct()
+
+
+def matching(snapshots: DataFrame, kind: str | None = None, name: str | None = None) -> DataFrame:
+    """A listing without what a server sends beside the type and id asked for; None asks for all."""
+    out = snapshots
+    for column, value in (("type", kind), ("id", name)):
+        if value is not None:
+            out = out.where(F.col(column) == value)
+    return out
+
+
+def newest_first(snapshots: DataFrame, tie: str = "time") -> DataFrame:
+    """Adds place, from 1, in the group's listing: the newest first, equal times in the order of tie."""
+    return snapshots.withColumn("place", F.row_number().over(Window.partitionBy(*KEY).orderBy(F.desc("time"), tie)))
+
+
+def in_listing_order(groups: DataFrame) -> DataFrame:
+    """Adds place, from 1, in the namespace's listing of its groups (type, id)."""
+    own = groups.select(*KEY).distinct()
+    return own.withColumn("place", F.row_number().over(Window.partitionBy("ns").orderBy("type", "id")))
+
+
+def open_at_commit(indexes: DataFrame) -> DataFrame:
+    """Snapshots that may not be committed: n indexes of theirs (closed) are still open."""
+    return indexes.groupBy(*KEY, "time").agg(F.sum((~F.col("closed")).cast("long")).alias("n")).where("n > 0")
+
+
+def authorised(wanted: DataFrame, opened: DataFrame, entries: DataFrame) -> DataFrame:
+    """Adds allowed to chunks asked for (session, digest): only chunks of indexes the session has opened (session, stream_id)."""
+    may = opened.join(entries.select("stream_id", "digest").distinct(), "stream_id").select("session", "digest").distinct().withColumn("allowed", F.lit(True))
+    return wanted.join(may, ["session", "digest"], "left").withColumn("allowed", F.coalesce("allowed", F.lit(False)))

@@ -92,3 +92,9 @@ def payload(files: DataFrame) -> DataFrame:
     """path, dir, meta, size, payload_offset of a tree's files in walk order."""
     placed = layout.payload_offsets(files.where("kind = 'file'"), tree.walk_key(F.col("path")))
     return placed.select("path", "meta", "size", "payload_offset")
+
+
+def blobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages' sources as blobs: page_id, filename, encoded."""
+    p = table(spark, sf_dir, "pages")
+    return p.select("page_id", F.concat(F.lit("page"), "page_id", F.lit(".blob")).alias("filename"), F.encode(F.coalesce("html", F.lit("")), "utf-8").alias("encoded"))

@@ -202,6 +202,45 @@ def build() -> dict[str, str]:
     out["dangling_chunks"] = f"with {chunks()} select stream_id, seq, digest from c1 where starts_with(digest, '7')"
     out["tampered_chunks"] = f"""with {docs(1)}, x as (select case when doc_id % 8 = 0 then sha256('other') else sha256(text) end as digest, case when doc_id % 9 = 0 then 'size' when doc_id % 8 = 0 then 'digest' end as problem from d1)
       select digest, problem, count(*) as n from x where problem is not null group by 1, 2"""
+    out["restore_order"] = f"""with {nodes()}, k as (select path, kind, case when path = '' then []::varchar[] else string_split(path, '/') end as key from n1)
+      select path, row_number() over (order by key) - 1 as step, 1 as phase from k
+      union all select path, (select count(*) from n1) + row_number() over (order by key desc) - 1, 2 from k where kind = 'directory'"""
+    out["restore_copies"] = f"""with {nodes()}, q as (select path from n1 where kind = 'hardlink' union select dir from d1 where lang = 'de'),
+      s as (select * from n1 where exists (select 1 from q where n1.path = q.path or starts_with(n1.path, q.path || '/'))), u as (select distinct unnest({up('path')}) as path from s)
+      select s.path, case when s.kind = 'hardlink' then 'file' else s.kind end as kind, case when s.kind = 'hardlink' then t.size else s.size end as size, case when s.kind = 'hardlink' then t.mode else s.mode end as mode, case when s.kind = 'hardlink' then s.link_target end as source
+      from s left join n1 t on t.path = s.link_target union all select path, 'directory', 0, {0o40755}, null from u where path not in (select path from s)"""
+    out["listing_filter"] = f"with {SNAPS} select event_id, ns, time from s where type = 'vm' and id = 'u7'"
+    out["newest_first"] = f"with {SNAPS} select event_id, row_number() over (partition by ns, type, id order by time desc, event_id)::int as place from s"
+    out["listing_order"] = f"with {SNAPS}, x as (select distinct ns, type, id from s) select ns, type, id, row_number() over (partition by ns order by type, id)::int as place from x"
+    out["unclosed_indexes"] = f"with {SNAPS}, x as (select s.*, e.value from s join events e using (event_id)) select ns, type, id, time, count(*) filter (value < 1) as n from x group by 1, 2, 3, 4 having count(*) filter (value < 1) > 0"
+    out["authorised_chunks"] = f"""with {chunks()}, x as (select string_split(dir, '/')[1] as session, lang, digest from d1 join c1 on stream_id = 'd' || doc_id)
+      select session, digest, bool_or(lang = 'en') as allowed from x group by 1, 2"""
+    blob = "b as (select page_id, 'page' || page_id || '.blob' as filename, strlen(coalesce(html, ''))::bigint as size, sha256(coalesce(html, '')) as csum from pages)"
+    out["blob_uploads"] = f"with {blob} select * from b"
+    out["verify_blobs"] = f"""with {blob}, x as (select page_id, filename, case when page_id % 11 = 0 and page_id % 13 = 0 then null when page_id % 13 = 0 then 'missing' when page_id % 11 = 0 then 'unlisted'
+      when page_id % 7 = 0 then 'size' when page_id % 5 = 0 then 'checksum' end as problem from b) select * from x where problem is not null"""
+    out["manifest_identity"] = f"with {SNAPS} select event_id, not (event_id % 9 = 1 and type <> 'host' or event_id % 9 in (2, 3)) as same from s"
+    canonical = """'{"backup-id":"' || id || '","backup-time":' || time || ',"backup-type":"' || type || '"}'"""
+
+    def mac(text: str, key: bytes) -> str:
+        inner, outer = ("".join(f"{b ^ x:02x}" for b in key.ljust(64, b"\0")) for x in (0x36, 0x5C))
+        return f"sha256(unhex('{outer}' || sha256(unhex('{inner}' || hex(encode({text}))))))"
+
+    out["manifest_signatures"] = f"""with {SNAPS}, x as (select event_id, event_id % 6 as k, {canonical} as c from s)
+      select event_id, case k when 0 then null when 1 then {mac('c', b'other')} when 2 then {mac("c || ' '", q.KEY)} else {mac('c', q.KEY)} end as signature,
+        case k when 0 then 'unsigned' when 1 then 'bad signature' when 2 then 'bad signature' when 3 then 'other key' else 'ok' end as verdict from x"""
+    out["chunk_content"] = f"""with {docs(1)}, x as (select 'd' || doc_id as stream_id, 0 as seq, sha256(text) as digest, text from d1)
+      select stream_id, seq, case digest[1] when '0' then 'missing' when '1' then 'size' else 'digest' end as problem from x where digest[1] in ('0', '1') or digest[1] = '2' and contains(text, 'e')"""
+    out["estimate_check"] = " union all ".join(f"select * from (with {events(v)} select {v} as version, (sum(bytes) + {24 if v == 2 else 0})::bigint as estimate, max(start + bytes)::bigint as \"end\", sum(bytes) + {24 if v == 2 else 0} = max(start + bytes) as ok from p)" for v in (1, 2))
+    places = f"{events(1)}, sp as (select path, min(start) as a, max(start + bytes) as b from p group by 1)"
+    out["children_inside"] = f"with {places} select x.path, count(*) as n_children, bool_and(y.a > x.a and y.b < x.b) as ok from sp x join sp y on y.path <> '' and {parent('y.path')} = x.path group by 1"
+    out["directory_items"] = f"with {places} select x.path, {base('y.path')} as name, (y.a - x.a)::bigint as start, (y.b - y.a)::bigint as length from sp x join sp y on y.path <> '' and {parent('y.path')} = x.path"
+    out["root_composition"] = f"""with {nodes()}, {PAGES} select case when path = '' then 'docs' else 'docs/' || path end as path, kind, size from n1 union all select 'pages/' || path, kind, null from pg
+      union all select 'item' || item_id, 'file', strlen(coalesce(text, ''))::bigint from benchmark"""
+    out["stream_nodes"] = f"select 'p' || page_id as path, 'file' as kind, {0o100644}::bigint as mode, 0::bigint as uid, 0::bigint as gid, strlen(coalesce(html, ''))::bigint as size from pages"
+    out["node_warnings"] = f"""with {PAGES}, x as (select case page_id % 9 when 0 then path || '/..' when 1 then path || repeat('x', 256) else path end as path, case when page_id % 8 = 0 then 'door' else kind end as kind from pg),
+      w as (select case when kind = 'door' then 'unsupported kind door' when {base('path')} in ('', '.', '..') or contains({base('path')}, chr(0)) then 'bad name' when strlen({base('path')}) > 255 then 'long name' end as warning from x)
+      select warning, count(*) as n from w where warning is not null group by 1"""
     esc = "replace(replace(text, chr(92), chr(92) || chr(92)), '\"', chr(92) || '\"')"
     for code in range(32):
         short = {8: "b", 9: "t", 10: "n", 12: "f", 13: "r"}.get(code, f"u{code:04x}")

@@ -15,6 +15,8 @@ from . import model as m
 
 Query = Callable[[SparkSession, str], DataFrame]
 AVG, SPAN = 1024, 4096
+#: The key of the signature queries and its name.
+KEY, KEY_NAME = b"a key for the driver's tables", "own"
 
 #: Pattern lists of the pattern queries, over the documents' paths.
 PATTERN_LISTS = {
@@ -402,7 +404,116 @@ def reserved_children(spark: SparkSession, sf: str) -> DataFrame:
     return p.where(~names.reserved_child(F.col("path"))).groupBy("path").agg(F.count("*").alias("n"))
 
 
+def restore_order(spark: SparkSession, sf: str) -> DataFrame:
+    return browse.restore_steps(m.nodes(spark, sf))
+
+
+def restore_copies(spark: SparkSession, sf: str) -> DataFrame:
+    """A restore of all hardlinks and of one language's directories."""
+    n = m.nodes(spark, sf)
+    some = n.where("kind = 'hardlink'").select("path").unionByName(m.documents(spark, sf).where("lang = 'de'").select(F.col("dir").alias("path")))
+    return browse.copies(n, some)
+
+
+def listing_filter(spark: SparkSession, sf: str) -> DataFrame:
+    return snapshots.matching(m.snapshots(spark, sf), "vm", "u7").select("event_id", "ns", "time")
+
+
+def newest_first(spark: SparkSession, sf: str) -> DataFrame:
+    return snapshots.newest_first(m.snapshots(spark, sf), "event_id").select("event_id", "place")
+
+
+def listing_order(spark: SparkSession, sf: str) -> DataFrame:
+    return snapshots.in_listing_order(m.snapshots(spark, sf))
+
+
+def unclosed_indexes(spark: SparkSession, sf: str) -> DataFrame:
+    return snapshots.open_at_commit(m.snapshots(spark, sf).withColumn("closed", F.col("value") >= 1))
+
+
+def authorised_chunks(spark: SparkSession, sf: str) -> DataFrame:
+    """A session for each source opens its English documents' indexes and asks for all chunks of all its documents."""
+    d = m.documents(spark, sf).select(F.split("dir", "/")[0].alias("session"), "lang", F.concat(F.lit("d"), "doc_id").alias("stream_id"))
+    c = staged(m.chunks(spark, sf), "chunks")
+    wanted = d.join(c, "stream_id").select("session", "digest").distinct()
+    return snapshots.authorised(wanted, d.where("lang = 'en'").select("session", "stream_id"), c)
+
+
+def blob_uploads(spark: SparkSession, sf: str) -> DataFrame:
+    return verify.blob_records(m.blobs(spark, sf))
+
+
+def verify_blobs(spark: SparkSession, sf: str) -> DataFrame:
+    """Blobs against a manifest with wrong sizes, wrong sums, missing and unlisted ones."""
+    listed = verify.blob_records(m.blobs(spark, sf)).where("page_id % 11 <> 0")
+    size = F.col("size") + F.when(F.col("page_id") % 7 == 0, 1).otherwise(0)
+    csum = F.when(F.col("page_id") % 5 == 0, F.sha2(F.lit("other"), 256)).otherwise(F.col("csum"))
+    return verify.blobs(m.blobs(spark, sf).where("page_id % 13 <> 0"), listed.withColumn("size", size).withColumn("csum", csum), "page_id", "filename")
+
+
+def manifest_identity(spark: SparkSession, sf: str) -> DataFrame:
+    s = m.snapshots(spark, sf)
+    k = F.col("event_id") % 9
+    found = s.select("event_id", "type", "id", "time", F.when(k == 1, "host").otherwise(F.col("type")).alias("m_type"), F.when(k == 2, F.lit(None)).otherwise(F.col("id")).alias("m_id"), (F.col("time") + F.when(k == 3, 1).otherwise(0)).alias("m_time"))
+    return verify.identity(found).select("event_id", "same")
+
+
+def manifest_signatures(spark: SparkSession, sf: str) -> DataFrame:
+    """Manifests signed rightly, with another key, over another text, or not."""
+    canonical = F.concat(F.lit('{"backup-id":"'), "id", F.lit('","backup-time":'), "time", F.lit(',"backup-type":"'), "type", F.lit('"}'))
+    s = m.snapshots(spark, sf).select("event_id", canonical.alias("canonical"))
+    k = F.col("event_id") % 6
+    own = verify.hmac_sha256(F.col("canonical"), KEY)
+    signed = s.withColumn("signature", F.when(k == 0, F.lit(None)).when(k == 1, verify.hmac_sha256(F.col("canonical"), b"other")).when(k == 2, verify.hmac_sha256(F.concat("canonical", F.lit(" ")), KEY)).otherwise(own))
+    signed = signed.withColumn("key_fingerprint", F.when(k == 3, F.lit("other")).when(k == 4, F.lit(None)).otherwise(F.lit(KEY_NAME)))
+    return verify.signatures(signed, KEY, KEY_NAME).select("event_id", "signature", "verdict")
+
+
+def chunk_content(spark: SparkSession, sf: str) -> DataFrame:
+    """Whole documents as chunks, against a store in which some are lost, cut or changed."""
+    d = m.documents(spark, sf).select(F.concat(F.lit("d"), "doc_id").alias("stream_id"), F.lit(0).alias("seq"), F.octet_length("text").cast("long").alias("size"), F.sha2("text", 256).alias("digest"), "text")
+    first = F.substring("digest", 1, 1)
+    data = F.when(first == "1", F.concat("text", F.lit("x"))).when(first == "2", F.translate("text", "e", "i")).otherwise(F.col("text"))
+    return verify.chunk_bytes(d.drop("text"), d.where(first != "0").select("digest", F.encode(data, "utf-8").alias("data")))
+
+
+def estimate_check(spark: SparkSession, sf: str) -> DataFrame:
+    n = m.nodes(spark, sf)
+    return verify.estimate_holds(n, 1).withColumn("version", F.lit(1)).unionByName(verify.estimate_holds(n, 2).withColumn("version", F.lit(2)))
+
+
+def children_inside(spark: SparkSession, sf: str) -> DataFrame:
+    return layout.inside(m.nodes(spark, sf))
+
+
+def directory_items(spark: SparkSession, sf: str) -> DataFrame:
+    return layout.directory_items(m.nodes(spark, sf), 1)
+
+
+def root_composition(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents and pages as named directories beside streams of the benchmark's texts."""
+    docs = m.nodes(spark, sf).select("path", "kind", "size")
+    pages = m.page_nodes(spark, sf).select("path", "kind")
+    streams = m.table(spark, sf, "benchmark").select(F.concat(F.lit("item"), "item_id").alias("name"), F.octet_length(F.coalesce("text", F.lit(""))).alias("size"))
+    return tree.Archive().add_directories({"pages": pages, "docs": docs}).add_streams(streams).compose("size")
+
+
+def stream_nodes(spark: SparkSession, sf: str) -> DataFrame:
+    p = m.table(spark, sf, "pages").select(F.concat(F.lit("p"), "page_id").alias("name"), F.octet_length(F.coalesce("html", F.lit(""))).alias("size"))
+    return tree.stream_nodes(p)
+
+
+def node_warnings(spark: SparkSession, sf: str) -> DataFrame:
+    """Warnings as rows: pages whose addresses make no names, and kinds that no archive holds."""
+    p = m.page_nodes(spark, sf)
+    kind = F.when(F.col("page_id") % 8 == 0, "door").otherwise(F.col("kind"))
+    name = F.when(F.col("page_id") % 9 == 0, F.concat("path", F.lit("/.."))).when(F.col("page_id") % 9 == 1, F.concat("path", F.repeat(F.lit("x"), 256))).otherwise(F.col("path"))
+    return tree.unreadable(p.select(name.alias("path"), kind.alias("kind"))).groupBy("warning").agg(F.count("*").alias("n"))
+
+
 NAMED = (
+    restore_order, restore_copies, listing_filter, newest_first, listing_order, unclosed_indexes, authorised_chunks, blob_uploads, verify_blobs, manifest_identity, manifest_signatures, chunk_content,
+    estimate_check, children_inside, directory_items, root_composition, stream_nodes, node_warnings,
     preludes, declared_sizes, snapshot_paths, blob_names, fingerprints, reserved_children,
     tree_nodes, tree_ancestors, tree_totals, virtual_root, hardlink_targets, duplicate_names, prune_subtree, on_exclude_audit, scoped_exclude, labelled_out, covered_paths, valid_names, index_names,
     metadata_sizes, estimate_v1, estimate_v2, v1_offsets, v2_payload_refs, dir_spans, hardlink_offsets, subtree_sizes, wide_tree,
