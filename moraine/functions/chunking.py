@@ -120,24 +120,26 @@ class Chunker:
 CHUNKS = "stream_id string, seq long, offset long, end_offset long, size long, digest string"
 
 
-def chunk_streams(streams: DataFrame, avg: int, key: bytes = b"", table: Sequence[int] | None = None) -> DataFrame:
-    """CHUNKS of streams (stream_id string, data binary). key makes digests keyed."""
+def chunk_streams(streams: DataFrame, avg: int, key: bytes = b"", table: Sequence[int] | None = None, with_data: bool = False) -> DataFrame:
+    """CHUNKS of streams (stream_id string, data binary), with_data each with its bytes. key makes digests keyed."""
     check_average(avg)
     fixed = None if table is None else list(table)
+    schema = CHUNKS + ", data binary" if with_data else CHUNKS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         values = default_table() if fixed is None else np.array(fixed, np.uint32)
-        kinds = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string())
-        names = [x.split()[0] for x in CHUNKS.split(", ")]
+        kinds = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
+        names = [x.split()[0] for x in schema.split(", ")]
         for big in batches:
             for at in range(0, big.num_rows, 256):
                 batch, rows = big.slice(at, 256), []
                 for name, x in zip(batch.column(0).to_pylist(), batch.column(1)):
                     data, start = x.as_py() or b"", 0
                     for seq, end in enumerate(ends(data, avg, values)):
-                        rows.append((name, seq, start, end, end - start, hashlib.sha256(data[start:end] + key).hexdigest()))
+                        part = data[start:end]
+                        rows.append((name, seq, start, end, end - start, hashlib.sha256(part + key).hexdigest(), *((part,) if with_data else ())))
                         start = end
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names)
 
-    return streams.select("stream_id", "data").mapInArrow(run, CHUNKS)
+    return streams.select("stream_id", "data").mapInArrow(run, schema)

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import names, patterns
@@ -99,8 +99,20 @@ def scoped_verdicts(nodes: DataFrame, scoped: DataFrame) -> DataFrame:
     return hit.groupBy("path").agg((~F.max_by("include", order)).alias("excluded"))
 
 
-def prune_scoped(nodes: DataFrame, scoped: DataFrame) -> DataFrame:
-    """Nodes without those excluded by scoped patterns, and without what lies below."""
+def outer_lines(spark: SparkSession, texts: Sequence[str]) -> DataFrame:
+    """Patterns that hold everywhere, as scoped ones before all lines of exclude files."""
+    rows = [("", k - len(texts), p.include, p.dir_only, p.regex) for k, p in enumerate(map(patterns.parse, texts))]
+    return spark.createDataFrame(rows, "scope_dir string, line_no int, include boolean, dir_only boolean, regex string")
+
+
+def prune_scoped(nodes: DataFrame, scoped: DataFrame, outer: Sequence[str] = ()) -> DataFrame:
+    """Nodes without those excluded by scoped patterns, and without what lies below.
+
+    outer patterns and the lines of exclude files are one list, outer ones
+    first: the last match decides.
+    """
+    if outer:
+        scoped = scoped.unionByName(outer_lines(nodes.sparkSession, outer))
     gone = scoped_verdicts(nodes, scoped).where("excluded").select("path")
     below = ancestry(nodes).join(gone.withColumnRenamed("path", "ancestor"), "ancestor", "left_semi").select("path").distinct()
     return nodes.join(gone, "path", "left_anti").join(below, "path", "left_anti")

@@ -117,9 +117,9 @@ def decode(meta: bytes, payload: bytes | None = None) -> Iterator[dict]:
             mode, _, uid, gid, secs, nanos, _ = struct.unpack("<QQIIqII", body)
             if mode & 0o170000 not in _KINDS:
                 raise c.FormatError(f"unknown file type in mode {mode:o}")
-            node = {"path": path(), "kind": _KINDS[mode & 0o170000], "mode": mode, "uid": uid, "gid": gid, "mtime_secs": secs, "mtime_nanos": nanos, "size": None, "link_target": None, "start": start, "payload_offset": None, "data": None}
+            node = {"path": path(), "kind": _KINDS[mode & 0o170000], "mode": mode, "uid": uid, "gid": gid, "mtime_secs": secs, "mtime_nanos": nanos, "size": None, "link_target": None, "start": start, "payload_offset": None, "data": None, "xattrs": [], "acl": None, "fcaps": None, "quota_id": None, "rdev": None}
         elif kind == c.HARDLINK:
-            yield {"path": path(), "kind": "hardlink", "mode": None, "uid": None, "gid": None, "mtime_secs": None, "mtime_nanos": None, "size": None, "link_target": _string(body[8:]), "start": start, "payload_offset": start - struct.unpack_from("<Q", body)[0], "data": None}
+            yield {"path": path(), "kind": "hardlink", "mode": None, "uid": None, "gid": None, "mtime_secs": None, "mtime_nanos": None, "size": None, "link_target": _string(body[8:]), "start": start, "payload_offset": start - struct.unpack_from("<Q", body)[0], "data": None, "xattrs": [], "acl": None, "fcaps": None, "quota_id": None, "rdev": None}
         elif kind == c.GOODBYE:
             yield from flush()
             if not stack:
@@ -138,25 +138,63 @@ def decode(meta: bytes, payload: bytes | None = None) -> Iterator[dict]:
                 node["data"] = payload[offset + 16 : offset + 16 + size]
         elif kind == c.SYMLINK:
             node["link_target"] = _string(body)
-        elif kind not in (c.DEVICE, c.XATTR, c.ACL_USER, c.ACL_GROUP, c.ACL_GROUP_OBJ, c.ACL_DEFAULT, c.ACL_DEFAULT_USER, c.ACL_DEFAULT_GROUP, c.FCAPS, c.QUOTA):
+        elif kind == c.DEVICE:
+            node["rdev"] = list(_numbers(body, 2))
+        elif kind == c.XATTR:
+            key, zero, value = body.partition(b"\0")
+            if not zero:
+                raise c.FormatError("attribute without the end of its name")
+            node["xattrs"].append({"name": key.decode("utf-8", "surrogateescape"), "value": value})
+        elif kind == c.FCAPS:
+            node["fcaps"] = body
+        elif kind == c.QUOTA:
+            node["quota_id"] = _numbers(body, 1)[0]
+        elif kind in _ACL_LISTS:
+            who, perm = _numbers(body, 2)
+            _acl(node)[_ACL_LISTS[kind]].append({"id": who, "perm": perm})
+        elif kind == c.ACL_GROUP_OBJ:
+            _acl(node)["group_obj"] = _numbers(body, 1)[0]
+        elif kind == c.ACL_DEFAULT:
+            user, group, other, mask = _numbers(body, 4)
+            _acl(node)["default"] = {"user_obj": user, "group_obj": group, "other": other, "mask": None if mask == c.NO_MASK else mask}
+        else:
             raise c.FormatError(f"unknown record type {kind:x}")
     if stack or node is not None:
         raise c.FormatError("archive ends inside a directory")
 
 
+_ACL_LISTS = {c.ACL_USER: "users", c.ACL_GROUP: "groups", c.ACL_DEFAULT_USER: "default_users", c.ACL_DEFAULT_GROUP: "default_groups"}
+
+
+def _numbers(body: bytes, n: int) -> tuple[int, ...]:
+    if len(body) != 8 * n:
+        raise c.FormatError("record of a wrong length")
+    return struct.unpack(f"<{n}Q", body)
+
+
+def _acl(node: dict) -> dict:
+    if node["acl"] is None:
+        node["acl"] = {"users": [], "groups": [], "group_obj": None, "default": None, "default_users": [], "default_groups": []}
+    return node["acl"]
+
+
 def _string(body: bytes) -> str:
     if body[-1:] != b"\0":
         raise c.FormatError("string without its end")
     return body[:-1].decode("utf-8", "surrogateescape")
 
 
-NODES = "archive string, path string, kind string, mode long, uid long, gid long, mtime_secs long, mtime_nanos long, size long, link_target string, start long, payload_offset long, data binary"
+NODES = "archive string, path string, kind string, mode long, uid long, gid long, mtime_secs long, mtime_nanos long, size long, link_target string, start long, payload_offset long, data binary, xattrs array<struct<name:string,value:binary>>, acl struct<users:array<struct<id:bigint,perm:bigint>>,groups:array<struct<id:bigint,perm:bigint>>,group_obj:bigint,default:struct<user_obj:bigint,group_obj:bigint,other:bigint,mask:bigint>,default_users:array<struct<id:bigint,perm:bigint>>,default_groups:array<struct<id:bigint,perm:bigint>>>, fcaps binary, quota_id long, rdev array<bigint>"
 
 
 def decode_many(archives: DataFrame, metadata_only: bool = False) -> DataFrame:
     """NODES of archives (archive string, meta binary, payload binary); one archive is one sequence."""
     names = [x.split()[0] for x in NODES.split(", ")]
-    kinds = [pa.string(), pa.string(), pa.string(), *[pa.int64()] * 6, pa.string(), pa.int64(), pa.int64(), pa.binary()]
+    entries = pa.list_(pa.struct([("id", pa.int64()), ("perm", pa.int64())]))
+    default = pa.struct([(x, pa.int64()) for x in ("user_obj", "group_obj", "other", "mask")])
+    acl = pa.struct([("users", entries), ("groups", entries), ("group_obj", pa.int64()), ("default", default), ("default_users", entries), ("default_groups", entries)])
+    xattrs = pa.list_(pa.struct([("name", pa.string()), ("value", pa.binary())]))
+    kinds = [pa.string(), pa.string(), pa.string(), *[pa.int64()] * 6, pa.string(), pa.int64(), pa.int64(), pa.binary(), xattrs, acl, pa.binary(), pa.int64(), pa.list_(pa.int64())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -16,8 +16,7 @@ from ..sources.store import Datastore
 
 def chunks_with_data(streams: DataFrame, avg: int) -> DataFrame:
     """Chunks of streams (stream_id, data), each with its bytes."""
-    made = chunking.chunk_streams(streams, avg)
-    return made.join(streams.withColumnRenamed("data", "_all"), "stream_id").withColumn("data", F.substring(F.col("_all"), (F.col("offset") + 1).cast("int"), F.col("size").cast("int"))).drop("_all")
+    return chunking.chunk_streams(streams, avg, with_data=True)
 
 
 def snapshot_stream(streams: DataFrame, store: Datastore, ns: str, name: str, checkpoint: str, avg: int = 4096) -> StreamingQuery:

@@ -19,3 +19,32 @@ def test_archive_of_a_tree(spark, tmp_path):
         assert set(got) == {"", "a.txt", "sub", "sub/.pxarexclude", "sub/hard"}
         assert got["a.txt"]["data"] == b"aa" and got["sub/hard"]["kind"] == "hardlink"
         assert [x[0] for x in codecs.decode_catalog((tmp_path / "c").read_bytes())] == ["a.txt", "sub", "sub/.pxarexclude", "sub/hard"]
+
+
+def build(tmp_path, src, *options):
+    assert cli.main([*options, str(tmp_path / "o"), str(src)]) == 0
+    return {r["path"]: r for r in archives.decode((tmp_path / "o").read_bytes())}
+
+
+def test_hardlinks_are_made_of_what_is_left(spark, tmp_path):
+    src = tmp_path / "src"
+    (src / "a").mkdir(parents=True)
+    (src / "b").mkdir()
+    (src / "a" / "x").write_text("data")
+    os.link(src / "a" / "x", src / "b" / "y")
+    os.link(src / "a" / "x", src / "b" / "z")
+    (src / "a" / ".pxarexclude").write_text("x\n")
+    got = build(tmp_path, src, "-pxarexclude")
+    assert "a/x" not in got and got["b/y"]["data"] == b"data" and got["b/z"]["kind"] == "hardlink" and got["b/z"]["link_target"] == "b/y"
+
+
+def test_outer_patterns_and_exclude_files_are_one_list(spark, tmp_path):
+    src = tmp_path / "src"
+    (src / "a" / "gone").mkdir(parents=True)
+    for name in ("keep.tmp", "other.tmp", "gone/f"):
+        (src / "a" / name).write_text("t")
+    (src / "top.tmp").write_text("t")
+    (src / "a" / ".pxarexclude").write_text("!keep.tmp\n/gone\n")
+    (src / "a" / "gone" / ".pxarexclude").write_text("!*\n")
+    assert set(build(tmp_path, src, "-exclude", "*.tmp", "-pxarexclude")) == {"", "a", "a/.pxarexclude", "a/keep.tmp"}
+    assert set(build(tmp_path, src, "-exclude", "*.tmp")) == {"", "a", "a/.pxarexclude", "a/gone", "a/gone/.pxarexclude", "a/gone/f"}

@@ -3,6 +3,7 @@ import os
 import pytest
 
 from moraine.functions import chunking
+from moraine.sources import archives
 from moraine.sources.fstree import FsTree
 from moraine.sources.store import Datastore
 from moraine.streaming import incremental
@@ -46,3 +47,49 @@ def test_store_and_stream(spark, tmp_path):
     assert len(live) == 1
     assert store.entries(("m", "host", "live", live[0].time)).count() == chunks.count()
     assert chunking.chunk_streams(df, 256).count() == chunks.count()
+
+
+def test_one_file_and_warnings(spark, tmp_path):
+    (tmp_path / "f.txt").write_text("hello")
+    spark.dataSource.register(FsTree)
+    one = spark.read.format("fstree").option("file", "true")
+    got = one.option("path", str(tmp_path / "f.txt")).option("as", "name.txt").load().collect()
+    assert [(r.path, r.kind, r.size, r.warning, r.quota_id) for r in got] == [("name.txt", "file", 5, None, None)]
+    with pytest.raises(Exception, match="(?i)directory"):
+        one.option("path", str(tmp_path)).load().collect()
+
+
+def test_extras_of_an_archive_come_back(spark):
+    acl = {"users": [{"id": 7, "perm": 5}], "groups": [], "group_obj": 4, "default": {"user_obj": 7, "group_obj": 5, "other": 0, "mask": None}, "default_users": [], "default_groups": [{"id": 3, "perm": 1}]}
+    stat = {"uid": 1, "gid": 2, "mtime_secs": 3, "mtime_nanos": 4}
+    nodes = [{"path": "", "kind": "directory", "mode": 0o40755, **stat}, {"path": "d", "kind": "char", "mode": 0o20600, "rdev": [5, 1], **stat}]
+    nodes.append({"path": "f", "kind": "file", "mode": 0o100644, "data": b"x", "xattrs": [{"name": "user.a", "value": b"\0b"}], "acl": acl, "fcaps": b"caps", "quota_id": 9, **stat})
+    meta, payload = archives.encode(nodes, 2)
+    got = {r.path: r for r in archives.decode_many(spark.createDataFrame([("a", meta, payload)], "archive string, meta binary, payload binary")).collect()}
+    f = got["f"].asDict(recursive=True)
+    assert f["acl"] == acl and [(x["name"], bytes(x["value"])) for x in f["xattrs"]] == [("user.a", b"\0b")] and bytes(f["fcaps"]) == b"caps" and f["quota_id"] == 9 and bytes(f["data"]) == b"x"
+    assert got["d"].rdev == [5, 1] and got["d"].acl is None
+
+
+def test_a_failed_commit_leaves_no_trace(spark, tmp_path, monkeypatch):
+    store = Datastore(spark, f"file://{tmp_path}/s'tore")
+    df = spark.createDataFrame([("s", b"some text " * 300, "m1"), ("t'", b"other text " * 300, "m2")], "stream_id string, data binary, meta string")
+    append = store.append
+
+    def fails(name, rows):
+        if name == "snapshots":
+            raise OSError("lost")
+        append(name, rows)
+
+    monkeypatch.setattr(store, "append", fails)
+    with pytest.raises(OSError):
+        store.snapshot(("n'", "host", "h", 1), df, 256)
+    monkeypatch.setattr(store, "append", append)
+    one = store.snapshot(("n'", "host", "h", 1), df, 256).collect()
+    assert sum(r.new_chunks for r in one) > 0 and len(one) == 2
+    assert store.table("manifest_files").count() == 2 and store.entries(("n'", "host", "h", 1)).count() == sum(r.chunk_count for r in one)
+    later = df.where("stream_id = 's'").unionByName(spark.createDataFrame([("t'", b"other text " * 300 + b"more", "m3")], df.schema))
+    two = {r.stream_id: r for r in store.snapshot(("n'", "host", "h", 2), later, 256).collect()}
+    assert two["s"].new_chunks == 0 and two["s"].chunk_count == {r.stream_id: r for r in one}["s"].chunk_count and 0 < two["t'"].new_chunks < two["t'"].chunk_count
+    back = b"".join(bytes(r.data) for r in store.read_stream(("n'", "host", "h", 2), "s").orderBy("seq").collect())
+    assert back == b"some text " * 300
