@@ -71,6 +71,8 @@ def threshold_search(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray
     up, down = (queries > 0).astype(np.float32), (queries < 0).astype(np.float32)
     nothing = ends.min
     active = np.arange(len(queries))
+    known = np.zeros(n, bool)  # candidates scored so far; a score is made once
+    made = np.zeros((len(queries), n), np.int64)
     seen_at = min(n, depth)
     out: list[tuple[int, int, int]] = []
     while len(active):
@@ -78,10 +80,11 @@ def threshold_search(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray
         met = up[active] @ high.T + down[active] @ low.T > 0
         if seen_at == n:
             met[:] = True  # also for a query of zeros
-        union = np.flatnonzero(met.any(axis=0))
-        scores = np.full(met.shape, nothing, np.int64)
-        scores[:, union] = as_long(asked[active] @ values[union].T)
-        scores[~met] = nothing
+        new = np.flatnonzero(met.any(axis=0) & ~known)
+        if len(new):
+            made[np.ix_(active, new)] = as_long(asked[active] @ values[new].T)
+            known[new] = True
+        scores = np.where(met, made[active], nothing)
         scores[query_ids[active][:, None] == ids[None, :]] = nothing
         bound = as_long(np.maximum(asked[active], 0) @ listed[n - seen_at] + np.minimum(asked[active], 0) @ listed[seen_at - 1])
         if n > k:
