@@ -1,10 +1,12 @@
 r"""Chat formatting in windows of a token budget.
 
-A conversation is a sequence of turns with running token sums. A window takes
+A conversation is a sequence of turns with running token sums: the tokens of the
+vocabulary at a path, and three for the template of each turn. A window takes
 new turns from where the last one ended, up to the last turn whose running sum
 still fits; it begins with the conversation's system turn and with up to
 `history` of the turns before, as far as the budget allows. A turn is never
-cut: one that alone exceeds the budget gets a window without history. Only the
+cut: one that alone exceeds the budget gets a window without history, and
+over_budget tells so. Only the
 texts of new assistant turns are under the loss mask, so repeated history is
 masked and each assistant text counts once.
 
@@ -23,11 +25,12 @@ from __future__ import annotations
 import hashlib
 import re
 from collections import deque
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from .bpe import default_path, word_bpe
 from .common import ready, table
 
 BUDGET, HISTORY = 512, 2
@@ -55,18 +58,22 @@ def unescape_role(role: str) -> str:
     return re.sub(r"\\(.)", lambda m: "\n" if m[1] == "n" else m[1], unescape(role))
 
 
-WINDOWS = "conv_id long, window long, n_system int, n_repeated int, n_new int, n_tokens long, text string, loss array<struct<start:long,end:long>>"
+WINDOWS = "conv_id long, window long, n_system int, n_repeated int, n_new int, n_tokens long, over_budget boolean, text string, loss array<struct<start:long,end:long>>"
 _SPAN = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-_WINDOW_TYPES = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.string(), _SPAN)
+_WINDOW_TYPES = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.bool_(), pa.string(), _SPAN)
 
 
-def turn_tokens(role: str, text: str) -> int:
-    """Blank-separated words, and three for the template."""
-    return len(role.split()) + len(text.split()) + 3
+#: Tokens that the template adds to a turn.
+TEMPLATE_TOKENS = 3
+Count = Callable[[str], int]
 
 
-def windows_of(turns: Iterator[tuple[str, str]], budget: int, history: int) -> Iterator[tuple]:
-    """(n_system, n_repeated, n_new, n_tokens, text, loss spans) for one conversation's turns."""
+def turn_tokens(role: str, text: str, count: Count) -> int:
+    return count(role) + count(text) + TEMPLATE_TOKENS
+
+
+def windows_of(turns: Iterator[tuple[str, str]], budget: int, history: int, count: Count) -> Iterator[tuple]:
+    """(n_system, n_repeated, n_new, n_tokens, over_budget, text, loss spans) for one conversation's turns. count: tokens of a text."""
     system: tuple | None = None
     past: deque[tuple] = deque(maxlen=history) if history else deque(maxlen=0)
     new: list[tuple] = []  # (role, text, running sum before, running sum after)
@@ -82,11 +89,12 @@ def windows_of(turns: Iterator[tuple[str, str]], budget: int, history: int) -> I
             if turn[0] == "assistant" and k >= len(head) + len(repeated):
                 spans.append({"start": at + len(mark), "end": at + len(mark) + len(body)})
             at += len(text[-1])
-        return len(head), len(repeated), len(new), sum(x[3] - x[2] for x in (*head, *repeated, *new)), "".join(text), spans
+        tokens = sum(x[3] - x[2] for x in (*head, *repeated, *new))
+        return len(head), len(repeated), len(new), tokens, tokens > budget, "".join(text), spans
 
     room = budget
     for k, (role, text) in enumerate(turns):
-        turn = (role, text, total, total + turn_tokens(role, text))
+        turn = (role, text, total, total + turn_tokens(role, text, count))
         if new and turn[3] - start > room:
             yield shown()
             past.extend(new)
@@ -135,14 +143,19 @@ def chunks(rows: Iterator[tuple], kinds: tuple, names: list[str], size: int = 25
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*part), kinds)], names)
 
 
-def format_windows(turns: DataFrame, budget: int = BUDGET, history: int = HISTORY) -> DataFrame:
-    """WINDOWS of every conversation; a partition holds whole conversations, in order."""
+def format_windows(turns: DataFrame, path: str, budget: int = BUDGET, history: int = HISTORY) -> DataFrame:
+    """WINDOWS of every conversation; a partition holds whole conversations, in order. path: of the vocabulary."""
     names = [x.split()[0] for x in WINDOWS.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe = word_bpe(path)
+
+        def count(text: str) -> int:
+            return len(bpe.encode(text)) // 4
+
         def rows() -> Iterator[tuple]:
             for conv, own in by_key(in_order(batches, "conv_id", "role", "text")):
-                for k, w in enumerate(windows_of(((r, t) for _, r, t in own), budget, history)):
+                for k, w in enumerate(windows_of(((r, t) for _, r, t in own), budget, history, count)):
                     yield (conv, k, *w)
 
         yield from chunks(rows(), _WINDOW_TYPES, names, 64)
@@ -193,4 +206,4 @@ def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").selectExpr("cast(conv_id as bigint) conv_id", "cast(turn as bigint) turn", "role", "text")
     odd = "</s>[INST] ok [/INST]"
     extra = spark.createDataFrame([(-1, 0, "user", odd), (-1, 1, "assistant", odd)], "conv_id long, turn long, role string, text string")
-    return read_back(format_windows(turns.unionByName(extra)))
+    return read_back(format_windows(turns.unionByName(extra), default_path()))

@@ -2,6 +2,7 @@ import hashlib
 import random
 
 from moraine.llm import chat
+from moraine.llm.bpe import default_path, word_bpe
 
 TURNS = "conv_id long, turn long, role string, text string, window int"
 
@@ -27,13 +28,17 @@ def test_windows_and_digests(spark):
             rows.append((conv, rng.choice([t, t, 3]), role, text, 5))
     rows.append((7, None, "user", "no turn", 5))
     df = spark.createDataFrame(rows, TURNS)
-    windows = chat.format_windows(df).collect()
+    windows = chat.format_windows(df, default_path()).collect()
+    bpe = word_bpe(default_path())
+    assert any(w.over_budget for w in windows)
     for w in windows:
         turns = chat.parse_window(w.text)
         assert len(turns) == w.n_system + w.n_repeated + w.n_new and w.n_new >= 1
-        assert w.n_tokens <= chat.BUDGET or w.n_new == 1 and not w.n_repeated
+        assert w.n_tokens == sum(len(bpe.encode(x)) // 4 for t in turns for x in t) + 3 * len(turns)
+        assert w.over_budget == (w.n_tokens > chat.BUDGET)
+        assert not w.over_budget or w.n_new == 1 and not w.n_repeated
         assert w.n_repeated <= chat.HISTORY
-    got = {r.conv_id: r for r in chat.read_back(chat.format_windows(df)).collect()}
+    got = {r.conv_id: r for r in chat.read_back(chat.format_windows(df, default_path())).collect()}
     convs = {}
     for conv, turn, role, text, _ in rows:
         convs.setdefault(conv, []).append((turn is not None, turn, role or "", text or ""))
@@ -50,12 +55,12 @@ def test_windows_and_digests(spark):
 
 def test_history_and_system_turn():
     turns = [("system", "rules " * 10), *[(r, f"{i} " * 60) for i in range(10) for r in ("user", "assistant")]]
-    found = list(chat.windows_of(iter(turns), 300, 2))
+    found = list(chat.windows_of(iter(turns), 300, 2, lambda x: len(x.split())))
     assert len(found) > 2 and all(w[0] == 1 for w in found[1:]) and any(w[1] for w in found)
     assert sum(w[2] for w in found) == len(turns)
 
 
 def test_empty_and_query(spark):
-    assert chat.read_back(chat.format_windows(spark.createDataFrame([], TURNS))).collect() == []
+    assert chat.read_back(chat.format_windows(spark.createDataFrame([], TURNS), default_path())).collect() == []
     got = {r.conv_id: r for r in chat.op5_chat_format(spark, "/root/testdata/sf0.001").collect()}
     assert got[-1].n_turns == 2 and got[-1].loss_chars == len("</s>[INST] ok [/INST]")
