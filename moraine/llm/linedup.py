@@ -81,7 +81,10 @@ def in_rank(names: DataFrame, *columns: str) -> DataFrame:
 
 
 def repeated_runs(lines: DataFrame, least_words: int) -> DataFrame:
-    """d, p, w: runs that have an earlier copy. lines: d, p, line (its hash), ws (lengths asked for)."""
+    """d, p, w, sd, sp: runs that have an earlier copy, and where their first one stands.
+
+    lines: d, p, line (its hash), ws (lengths asked for).
+    """
     names = in_rank(lines.groupBy("line").agg(F.count("*").alias("n")).where("n > 1").select("line"), "line")
     level = keep(few(lines.join(names, "line").select("d", "p", "r", "ws")), "level")
     found: list[DataFrame] = []
@@ -93,7 +96,7 @@ def repeated_runs(lines: DataFrame, least_words: int) -> DataFrame:
         runs = keep(few(runs), "runs")
         # a run's first place is one row, dealt apart from the runs, whose hot keys can then be split
         first = loose(runs.groupBy("w", "r", "s").agg(F.min(F.struct("d", "p")).alias("at"), F.count("*").alias("n")).where("n > 1").select("w", "r", "s", "at"))
-        found.append(runs.join(first, ["w", "r", "s"]).where(F.struct("d", "p") != F.col("at")).select("d", "p", "w"))
+        found.append(runs.join(first, ["w", "r", "s"]).where(F.struct("d", "p") != F.col("at")).select("d", "p", "w", F.col("at.d").alias("sd"), F.col("at.p").alias("sp")))
         if 2 * span > least_words:
             break
         follow = level.select("d", (F.col("p") - span).alias("p"), F.col("r").alias("y"))
@@ -111,7 +114,7 @@ def repeated_runs(lines: DataFrame, least_words: int) -> DataFrame:
 
 
 def deleted(docs: DataFrame, key: str, text: str, least_words: int) -> DataFrame:
-    """d and the runs to delete, (p, w) each, of the documents that have some."""
+    """d and the runs to delete, (p, w, sd, sp) each, of the documents that have some."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for big in batches:
@@ -127,7 +130,7 @@ def deleted(docs: DataFrame, key: str, text: str, least_words: int) -> DataFrame
 
     rows = docs.select(F.col(key).alias("d"), F.col(quoted([text])[0]).cast("string").alias("text"))
     lines = keep(rows.mapInArrow(run, "d long, p int, line binary, ws array<int>"), "lines")
-    return repeated_runs(lines, least_words).groupBy("d").agg(F.collect_list(F.struct("p", "w")).alias("runs"))
+    return repeated_runs(lines, least_words).groupBy("d").agg(F.collect_list(F.struct("p", "w", "sd", "sp")).alias("runs"))
 
 
 def cut(text: str | None, runs: list[dict] | None) -> tuple[str | None, int, int]:
@@ -139,6 +142,22 @@ def cut(text: str | None, runs: list[dict] | None) -> tuple[str | None, int, int
     return "\n".join(x for i, x in enumerate(lines) if i not in gone), len(places), len(gone)
 
 
+def copies_of(runs: list[dict] | None) -> list[dict]:
+    """Runs put together to maximal copies: first and last line, the source and the line there that the first one repeats.
+
+    Runs that overlap or touch and repeat the same stretch of the same source are
+    one copy, since all their lines follow each other in both places.
+    """
+    out: list[dict] = []
+    for r in sorted(runs or (), key=lambda r: (r["sd"], r["sp"] - r["p"], r["p"], r["w"])):
+        last = out[-1] if out else None
+        if last and last["source"] == r["sd"] and last["source_first"] - last["first"] == r["sp"] - r["p"] and r["p"] <= last["last"] + 1:
+            last["last"] = max(last["last"], r["p"] + r["w"] - 1)
+        else:
+            out.append({"first": r["p"], "last": r["p"] + r["w"] - 1, "source": r["sd"], "source_first": r["sp"]})
+    return sorted(out, key=lambda x: (x["first"], x["last"], x["source"]))
+
+
 def split_by_runs(rows: DataFrame, runs: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
     """rows that surely have no runs, where they lie, their runs null; and the others, joined with their runs.
 
@@ -159,17 +178,23 @@ def split_by_runs(rows: DataFrame, runs: DataFrame, key: str) -> tuple[DataFrame
         return placed.mapInArrow(run, rows.schema)
 
     own = next(x for x in runs.columns if x != key)
-    return part(False).withColumn(own, F.lit(None).cast("array<struct<p:int,w:int>>")), part(True).join(runs.hint("merge"), key, "left")
+    return part(False).withColumn(own, F.lit(None).cast(runs.schema[own].dataType)), part(True).join(runs.hint("merge"), key, "left")
 
 
 def dedup_lines(docs: DataFrame, least_words: int = LEAST_WORDS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_lines, n_deleted, deleted (first and last line of each run, from 0 among lines with words), text."""
+    """doc_id, n_lines, n_deleted, deleted (first and last line of each stretch, from 0 among lines with words), copies, text.
+
+    copies: the maximal repeated runs behind the stretches, each with its source:
+    first, last, source, source_first. source is a doc_id if those are unique and
+    not null, else the row's number in their order.
+    """
     ready(docs.sparkSession)
     rows, key = keyed(docs.selectExpr(f"cast(`{doc_id}` as bigint) doc_id", f"cast(`{text}` as string) text"), "doc_id")
     runs = keep(deleted(rows, key, "text", least_words), "deleted").withColumnRenamed("d", key).withColumnRenamed("runs", "_runs")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         span = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))
+        copy = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32()), ("source", pa.int64()), ("source_first", pa.int32())]))
         for big in batches:
             for batch in slices(big, "text"):
                 out = []
@@ -181,11 +206,11 @@ def dedup_lines(docs: DataFrame, least_words: int = LEAST_WORDS, doc_id: str = "
                             merged[-1]["last"] = max(merged[-1]["last"], e)
                         else:
                             merged.append({"first": p, "last": e})
-                    out.append((n, gone, merged, left))
-                kinds = (pa.int64(), pa.int64(), span, pa.string())
-                yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(zip(*out), kinds))], ["doc_id", "n_lines", "n_deleted", "deleted", "text"])
+                    out.append((n, gone, merged, copies_of(own), left))
+                kinds = (pa.int64(), pa.int64(), span, copy, pa.string())
+                yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(zip(*out), kinds))], ["doc_id", "n_lines", "n_deleted", "deleted", "copies", "text"])
 
-    parts = [x.select("doc_id", "text", "_runs").mapInArrow(run, "doc_id long, n_lines long, n_deleted long, deleted array<struct<first:int,last:int>>, text string") for x in split_by_runs(rows, runs, key)]
+    parts = [x.select("doc_id", "text", "_runs").mapInArrow(run, "doc_id long, n_lines long, n_deleted long, deleted array<struct<first:int,last:int>>, copies array<struct<first:int,last:int,source:bigint,source_first:int>>, text string") for x in split_by_runs(rows, runs, key)]
     return parts[0].unionByName(parts[1])
 
 

@@ -38,6 +38,24 @@ def test_equals_brute_force(docs):
         check(docs, rows, least)
 
 
+def test_copies_have_their_sources(docs):
+    rng = random.Random(5)
+    pool = [" ".join(rng.choices("a b c d e f".split(), k=rng.randint(2, 9))) for _ in range(30)]
+    rows = [(i, "\n".join(rng.choices(pool, k=rng.randint(1, 9)))) for i in range(20)]
+    rows += [(40, "\n\n".join(rows[3][1].split("\n") + ["between them"] + rows[4][1].split("\n"))), (41, rows[3][1])]
+    lines = {i: [x for x in t.split("\n") if x] for i, t in rows}
+    for r in linedup.dedup_lines(docs(rows), 8).collect():
+        covered = set()
+        for c in r.copies:
+            n = c.last - c.first + 1
+            assert (c.source, c.source_first) < (r.doc_id, c.first)
+            assert lines[c.source][c.source_first : c.source_first + n] == lines[r.doc_id][c.first : c.last + 1]
+            covered |= set(range(c.first, c.last + 1))
+        assert covered == {k for s in r.deleted for k in range(s.first, s.last + 1)}
+        if r.doc_id == 41 and sum(len(x.split()) for x in lines[3]) >= 8:
+            assert len(covered) == len(lines[3])
+
+
 def test_repeated_and_null_ids(docs):
     line = "one two three four five six seven eight nine"
     rows = [(None, line), (1, line + "\nother words are here now and they are many"), (1, line + "\nother words are here now and they are many"), (2, "tiny"), (3, "tiny")]
