@@ -30,10 +30,10 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import ready, slices, table
+from .common import lean, ready, slices, table
 
 #: Distinct whitespace-free pieces whose ids a worker keeps, at most twice over.
-CACHE_ENTRIES = 100_000
+CACHE_ENTRIES = 300_000
 _END = 0x10000
 _ODD_SPACE = regex.compile("[\x1c-\x1f]")
 _SPLIT = regex.compile("[\t-\r \x85\xa0  -     　]+")
@@ -56,9 +56,9 @@ def byte_chars() -> list[str]:
 class Pieces(dict):
     """What make gives for short strings, kept in two generations of bounded size."""
 
-    def __init__(self, make):
+    def __init__(self, make, size: int):
         super().__init__()
-        self.make = make
+        self.make, self.size = make, size
         self.old: dict[str, bytes] = {}
 
     def __missing__(self, piece: str) -> bytes:
@@ -67,7 +67,7 @@ class Pieces(dict):
             ids = self.make(piece)
             if len(piece) > 64:
                 return ids
-        if len(self) >= CACHE_ENTRIES:
+        if len(self) >= self.size:
             self.old = dict(self)
             self.clear()
         self[piece] = ids
@@ -77,7 +77,8 @@ class Pieces(dict):
 class WordBpe:
     """A BPE vocabulary with word ends, read from a tokenizers file."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, cache: int = CACHE_ENTRIES):
+        self.cache = cache
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
@@ -113,8 +114,8 @@ class WordBpe:
         self.blob = np.frombuffer(b"".join(parts), np.uint8)
         self.sizes = np.array([len(p) for p in parts], np.int64)
         self.offsets = np.cumsum(self.sizes) - self.sizes
-        self.known = Pieces(self.word_bytes)
-        self.pieces = Pieces(self.piece_ids)
+        self.known = Pieces(self.word_bytes, cache)
+        self.pieces = Pieces(self.piece_ids, cache)
         self.code = str.maketrans({chr(b): c for b, c in enumerate(self.chars)})
         self.last = {c: chr(_END + ord(c)) for c in self.chars}
 
@@ -142,7 +143,7 @@ class WordBpe:
 
     def fits(self, a: int, b: int) -> bool:
         """meets(a, b), kept in the pair table."""
-        if len(self.pairs) >= 4 * CACHE_ENTRIES:
+        if len(self.pairs) >= 4 * self.cache:
             self.pairs.clear()
         known = self.pairs[a << 32 | b] = self.meets(a, b)
         return known
@@ -245,9 +246,9 @@ class WordBpe:
 
 
 @functools.lru_cache(2)
-def word_bpe(path: str) -> WordBpe:
-    """The vocabulary, built once in each Python process."""
-    return WordBpe(path)
+def word_bpe(path: str, cache: int = CACHE_ENTRIES) -> WordBpe:
+    """The vocabulary, built once in each Python process. cache: pieces kept, at most twice over."""
+    return WordBpe(path, cache)
 
 
 def default_path() -> str:
@@ -273,7 +274,7 @@ def bpe_digest(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "
 
     ready(docs.sparkSession)
     rows = docs.selectExpr(f"cast(`{doc_id}` as bigint) doc_id", f"cast(`{text}` as string) text")
-    return rows.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return rows.mapInArrow(lean(run), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ready, slices, table
+from .common import lean, ready, slices, table
 
 # Phrases and their labels.
 BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
@@ -127,7 +127,7 @@ def licence_word_counts(rows: DataFrame, vocabulary: frozenset[bytes]) -> tuple[
         yield pa.RecordBatch.from_arrays([pa.array([k.decode() for k in df]), pa.array(list(df.values()), pa.int64())], ["word", "n"])
 
     # one row for each template word at most
-    found = {r["word"].encode(): r["n"] for r in rows.select("text").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()}
+    found = {r["word"].encode(): r["n"] for r in rows.select("text").mapInArrow(lean(run), "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()}
     return found, found.pop(b"", 0)
 
 
@@ -148,7 +148,7 @@ def scan_licenses(docs: DataFrame, templates=TEMPLATES, doc_id: str = "doc_id",
                     found.append((len(words), *index.scan(words)))
                 yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(zip(*found), kinds))], ["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"])
 
-    return rows.mapInArrow(run, "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double")
+    return rows.mapInArrow(lean(run), "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double")
 
 
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bit_of, drop, few, fresh, has_bit, id_bitmap, keep, loose, quoted, ready, slices, table
+from .common import bit_of, drop, few, fresh, has_bit, id_bitmap, keep, lean, loose, quoted, ready, slices, table
 
 LEAST_WORDS = 8
 
@@ -129,7 +129,7 @@ def deleted(docs: DataFrame, key: str, text: str, least_words: int) -> DataFrame
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], ["d", "p", "line", "ws"])
 
     rows = docs.select(F.col(key).alias("d"), F.col(quoted([text])[0]).cast("string").alias("text"))
-    lines = keep(rows.mapInArrow(run, "d long, p int, line binary, ws array<int>"), "lines")
+    lines = keep(rows.mapInArrow(lean(run), "d long, p int, line binary, ws array<int>"), "lines")
     return repeated_runs(lines, least_words).groupBy("d").agg(F.collect_list(F.struct("p", "w", "sd", "sp")).alias("runs"))
 
 
@@ -175,7 +175,7 @@ def split_by_runs(rows: DataFrame, runs: DataFrame, key: str) -> tuple[DataFrame
                 hit = has_bit(flags, batch.column(len(names)))
                 yield batch.select(names).filter(pa.array(hit if want else ~hit))
 
-        return placed.mapInArrow(run, rows.schema)
+        return placed.mapInArrow(lean(run), rows.schema)
 
     own = next(x for x in runs.columns if x != key)
     return part(False).withColumn(own, F.lit(None).cast(runs.schema[own].dataType)), part(True).join(runs.hint("merge"), key, "left")
@@ -210,7 +210,7 @@ def dedup_lines(docs: DataFrame, least_words: int = LEAST_WORDS, doc_id: str = "
                 kinds = (pa.int64(), pa.int64(), span, copy, pa.string())
                 yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(zip(*out), kinds))], ["doc_id", "n_lines", "n_deleted", "deleted", "copies", "text"])
 
-    parts = [x.select("doc_id", "text", "_runs").mapInArrow(run, "doc_id long, n_lines long, n_deleted long, deleted array<struct<first:int,last:int>>, copies array<struct<first:int,last:int,source:bigint,source_first:int>>, text string") for x in split_by_runs(rows, runs, key)]
+    parts = [x.select("doc_id", "text", "_runs").mapInArrow(lean(run), "doc_id long, n_lines long, n_deleted long, deleted array<struct<first:int,last:int>>, copies array<struct<first:int,last:int,source:bigint,source_first:int>>, text string") for x in split_by_runs(rows, runs, key)]
     return parts[0].unionByName(parts[1])
 
 
@@ -235,7 +235,7 @@ def keep_first_lines(docs: DataFrame, least_words: int = LEAST_WORDS, doc_id: st
                 yield pa.RecordBatch.from_arrays(columns, names).filter(pa.array([not gone or gone < n for _, n, gone in found], pa.bool_()))
 
     whole, some = split_by_runs(rows, runs, key)
-    return whole.select(*quoted(names)).union(some.select(*quoted(names), own_runs).mapInArrow(run, docs.schema))
+    return whole.select(*quoted(names)).union(some.select(*quoted(names), own_runs).mapInArrow(lean(run), docs.schema))
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, bit_of, few, fresh, has_bit, id_bitmap, keep, loose, mix64, quoted, ready, slices, span_hashes, table, text_bytes, word_spans
+from .common import LOWER, bit_of, few, fresh, has_bit, id_bitmap, keep, lean, loose, mix64, quoted, ready, slices, span_hashes, table, text_bytes, word_spans
 from .components import components
 from .linedup import keyed
 
@@ -117,7 +117,7 @@ def sketches(rows: DataFrame, size: int, k: int) -> DataFrame:
                 cut = np.concatenate(([0], np.cumsum(np.minimum(n, k))))
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(set_names(value, off), pa.binary()), lists(value[least], cut)], ["doc_id", "n", "name", "sketch"])
 
-    return rows.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, name binary, sketch array<long>")
+    return rows.select("doc_id", "text").mapInArrow(lean(run), "doc_id long, n long, name binary, sketch array<long>")
 
 
 def postings(heads: DataFrame, small: int) -> DataFrame:
@@ -155,7 +155,7 @@ def full_sets(ids: DataFrame, rows: DataFrame, size: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column(0), lists(value, off)], ["doc_id", "shingles"])
 
     placed = rows.where("doc_id is not null").select("doc_id", "text", bit_of("doc_id").alias("p"))
-    return placed.mapInArrow(run, "doc_id long, shingles array<long>").join(ids, "doc_id", "left_semi")
+    return placed.mapInArrow(lean(run), "doc_id long, shingles array<long>").join(ids, "doc_id", "left_semi")
 
 
 def verified(pairs: DataFrame, rows: DataFrame, size: int, percent: int) -> DataFrame:
@@ -320,7 +320,7 @@ def keep_one(docs: DataFrame, size: int = 5, percent: int = 80, doc_id: str = "d
                 hit = has_bit(flags, batch.column(len(names)))
                 yield batch.select(names).filter(pa.array(hit if want else ~hit))
 
-        return placed.mapInArrow(run, schema)
+        return placed.mapInArrow(lean(run), schema)
 
     some = part(True)
     return part(False).unionByName(some.join(gone.hint("merge"), some[key] == gone[lost], "left_anti")).drop(key)

@@ -28,8 +28,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .bpe import default_path, word_bpe
-from .common import few, keep, ready, slices, table
+from .bpe import CACHE_ENTRIES, default_path, word_bpe
+from .common import few, keep, lean, ready, slices, table
 
 Bin = tuple[tuple[int, int], ...]  # (length, how often) in the order of offsets
 
@@ -161,11 +161,11 @@ def slots(bins: list[tuple[Bin, int]]) -> dict[int, tuple[np.ndarray, np.ndarray
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, task int, nth long"
 
 
-def token_pieces(docs: DataFrame, path: str, capacity: int, end_id: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def token_pieces(docs: DataFrame, path: str, capacity: int, end_id: int, doc_id: str = "doc_id", text: str = "text", cache: int = CACHE_ENTRIES) -> DataFrame:
     """Tokenize and cut: a row for each piece, numbered within its task and length."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe, task, seen = word_bpe(path), TaskContext.get().partitionId(), Counter()
+        bpe, task, seen = word_bpe(path, cache), TaskContext.get().partitionId(), Counter()
         end = np.array([end_id], "<u4").tobytes()
         for big in batches:
             for batch in slices(big, "text"):
@@ -181,16 +181,16 @@ def token_pieces(docs: DataFrame, path: str, capacity: int, end_id: int, doc_id:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], [x.split()[0] for x in _PIECES.split(", ")])
 
     rows = docs.selectExpr(f"cast(`{doc_id}` as bigint) doc_id", f"cast(`{text}` as string) text")
-    return rows.mapInArrow(run, _PIECES)
+    return rows.mapInArrow(lean(run), _PIECES)
 
 
-def pack_documents(docs: DataFrame, path: str, capacity: int = 2048, end_id: int = 0, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def pack_documents(docs: DataFrame, path: str, capacity: int = 2048, end_id: int = 0, doc_id: str = "doc_id", text: str = "text", cache: int = CACHE_ENTRIES) -> DataFrame:
     """Pack all documents into sequences of at most capacity tokens.
 
-    Returns per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
+    Returns per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset. cache: see word_bpe.
     """
     ready(docs.sparkSession)
-    pieces = keep(token_pieces(docs, path, capacity, end_id, doc_id, text), "pieces")
+    pieces = keep(token_pieces(docs, path, capacity, end_id, doc_id, text, cache), "pieces")
     counts = pieces.groupBy("task", "length").agg(F.count("*").alias("n"))
     earlier = Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
     base = counts.select("task", "length", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("base"))
@@ -214,7 +214,7 @@ def pack_documents(docs: DataFrame, path: str, capacity: int = 2048, end_id: int
 
     numbered = pieces.join(base, ["task", "length"]).withColumn("number", F.col("base") + F.col("nth"))
     placed = numbered.select("doc_id", "piece", "start", "length", "ids_crc32", "number")
-    return few(placed).mapInArrow(place, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    return few(placed).mapInArrow(lean(place), "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
 
 
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

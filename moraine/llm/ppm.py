@@ -41,7 +41,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, bucket5, keep, ready, slices, table
+from .common import LOWER, bucket5, keep, lean, ready, slices, table
 
 ORDER, HEAD, HEAD_GRAMS = 5, 150_000, 700_000
 BLANK, END = 0x20, 0x0A
@@ -105,7 +105,7 @@ def count_words(rows: DataFrame) -> DataFrame:
                     seen = {True: Counter(), False: Counter()}
         yield out()
 
-    return rows.mapInArrow(run, "word binary, c long, c_all long").groupBy("word").agg(F.sum("c").alias("c"), F.sum("c_all").alias("c_all"))
+    return rows.mapInArrow(lean(run), "word binary, c long, c_all long").groupBy("word").agg(F.sum("c").alias("c"), F.sum("c_all").alias("c_all"))
 
 
 def coded_bytes(words: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
@@ -164,7 +164,7 @@ def count_grams(rows: DataFrame, order: int, across: bool) -> DataFrame:
                         seen = [np.zeros(0, np.int64)] * 3
         yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in summed(*seen)], ["gram", "c", "c_all"])
 
-    return rows.mapInArrow(run, "gram long, c long, c_all long").groupBy("gram").agg(F.sum("c").alias("c"), F.sum("c_all").alias("c_all"))
+    return rows.mapInArrow(lean(run), "gram long, c long, c_all long").groupBy("gram").agg(F.sum("c").alias("c"), F.sum("c_all").alias("c_all"))
 
 
 def grams_log10(gram: np.ndarray, c: np.ndarray, shorter: np.ndarray, order: int) -> np.ndarray:
@@ -242,7 +242,7 @@ def score_grams(grams: DataFrame, order: int) -> DataFrame:
 
     ends = F.shiftright("gram", 8).bitwiseAND(F.lit(65535))
     dealt = grams.select("gram", "c", "c_all", ends.alias("ends")).repartition("ends").sortWithinPartitions("ends").select("gram", "c", "c_all")
-    return dealt.mapInArrow(run, "gram long, c_all long, lp double")
+    return dealt.mapInArrow(lean(run), "gram long, c_all long, lp double")
 
 
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
@@ -333,7 +333,7 @@ def score_texts(docs: DataFrame, order: int = ORDER, head: int = HEAD, head_gram
                 kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.struct([("word", pa.binary()), ("tf", pa.int64())])))
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, t) for c, t in zip(zip(*out), kinds)), grams], ["doc_id", "held_out", "row", "n_tokens", "known", "base", "lp", "rare", "grams"])
 
-    matched = keep(rows.mapInArrow(match, "doc_id long, held_out boolean, row long, n_tokens long, known long, base double, lp double, rare array<struct<word:binary,tf:long>>, grams array<long>"), "matched")
+    matched = keep(rows.mapInArrow(lean(match), "doc_id long, held_out boolean, row long, n_tokens long, known long, base double, lp double, rare array<struct<word:binary,tf:long>>, grams array<long>"), "matched")
     rare = matched.select("row", F.explode("rare").alias("r")).select("row", "r.word", "r.tf")
     rare = rare.join(scored.where(grade < least), "word").select("row", (F.col("known").cast("long") * F.col("tf")).alias("known"), (F.col("base") * F.col("tf")).alias("base"), F.lit(0.0).alias("lp"))
     far = matched.select("row", F.explode("grams").alias("gram")).join(coded.where(grade < least_gram), "gram")

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import few, fresh, keep, ready, slices, table, text_bytes
+from .common import few, fresh, keep, lean, ready, slices, table, text_bytes
 
 LEAST_WORDS = 10
 MOST_REPEAT_PERCENT = 20
@@ -97,7 +97,7 @@ def measured(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", host:
 
     ready(docs.sparkSession)
     rows = docs.selectExpr(f"cast(`{doc_id}` as bigint) doc_id", f"cast(`{host}` as string) host", f"cast(`{text}` as string) text")
-    return rows.mapInArrow(run, "doc_id long, host string, " + ", ".join(f"{x} long" for x in NUMBERS))
+    return rows.mapInArrow(lean(run), "doc_id long, host string, " + ", ".join(f"{x} long" for x in NUMBERS))
 
 
 def host_verdicts(found: DataFrame, most: float = MOST_FAILED) -> DataFrame:
@@ -134,7 +134,7 @@ def keep_good(docs: DataFrame, most: float = MOST_FAILED, doc_id: str = "doc_id"
                 fine = [x[0] >= LEAST_WORDS and 100 * x[4] <= MOST_REPEAT_PERCENT * x[0] for x in measure(batch.column(place))]
                 yield batch.filter(pa.array(fine, pa.bool_()))
 
-    kept = docs.mapInArrow(run, schema)
+    kept = docs.mapInArrow(lean(run), schema)
     return kept.join(bad, kept[host].cast("string").eqNullSafe(bad[own]), "left_anti")
 
 

@@ -41,13 +41,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bucket5, few, keep, ready, slices, table
+from .common import bucket5, few, keep, lean, ready, slices, table
 
 SAMPLE, LEXICON = 6000, 5000
 LEAST_LLR, LEAST_LOG_ODDS, LEAST_DOCS = 12.0, 2.0, 5
 PREFIXES = (4, 5, 6, 7)
 FLUSH = 200_000
-CACHE_ENTRIES = 100_000
+CACHE_ENTRIES = 50_000
 
 # Signs and the letters they stand for.
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "il", "+": "t", "|": "li", "(": "c", "€": "e", "£": "l"}
@@ -241,7 +241,7 @@ def letter_counts(rows: DataFrame) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at], pa.int64())], ["at", "n"])
 
     counts = np.zeros(WIDTH**3, np.int64)
-    for r in rows.select("text").mapInArrow(run, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).collect():
+    for r in rows.select("text").mapInArrow(lean(run), "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).collect():
         counts[r["at"]] = r["n"]
     return counts
 
@@ -335,7 +335,7 @@ def learn_lexicon(sample: DataFrame, letters: Letters, size: int = LEXICON) -> d
                     seen = {0: Counter(), 1: Counter()}
         yield out()
 
-    counts = keep(few(sample.mapInArrow(run, "feature string, t long, c long").groupBy("feature").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))), "features")
+    counts = keep(few(sample.mapInArrow(lean(run), "feature string, t long, c long").groupBy("feature").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))), "features")
     sums = counts.where("feature = '#'").first()
     if sums is None or not sums["t"] or not sums["c"]:
         return {}
@@ -377,7 +377,7 @@ def train(rows: DataFrame, labels: DataFrame, per_label: int = SAMPLE) -> Scorer
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.float64()), pa.array([x[1] for x in found], pa.float64()), batch.column(1)], ["hits", "most", "toxic"])
 
     # 2 * per_label rows of three numbers at most
-    seen = [tuple(r) for r in sample.mapInArrow(run, "hits double, most double, toxic int").collect()]
+    seen = [tuple(r) for r in sample.mapInArrow(lean(run), "hits double, most double, toxic int").collect()]
     if not seen or not lexicon:
         return Scorer(letters, lexicon)
     data = np.array(sorted(seen))
@@ -398,7 +398,7 @@ def scored(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.float64()), pa.array([int(s >= 0.5) for s in found], pa.int32())], ["doc_id", "held_out", "score", "predicted"])
 
     held = F.coalesce(bucket5("doc_id") == 0, F.lit(False)).alias("held_out")
-    return rows.select("doc_id", held, "text").mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+    return rows.select("doc_id", held, "text").mapInArrow(lean(run), "doc_id long, held_out boolean, score double, predicted int")
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame, most: float = 0.5, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -414,7 +414,7 @@ def keep_clean(docs: DataFrame, labels: DataFrame, most: float = 0.5, doc_id: st
             for batch in slices(big, text):
                 yield batch.filter(pa.array([scorer.score(x.as_py()) < most for x in batch.column(place)], pa.bool_()))
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(lean(run), schema)
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
