@@ -19,6 +19,10 @@ from moraine.llm import bpe, linedup, neardup, packing, quality, toxicity
 from moraine.llm.common import keep, table
 
 
+#: Words that a worker of the last stage keeps; it has the other stages' memory beside it.
+WORDS_KEPT = 50_000
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.keep_clean(docs, table(spark, sf_dir, "labels"))
 
@@ -36,7 +40,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(docs, bpe.default_path())
+    return packing.pack_documents(docs, bpe.default_path(), cache=WORDS_KEPT)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
