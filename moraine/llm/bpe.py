@@ -100,12 +100,18 @@ class WordBpe:
         base = set(self.chars) | {c + self.suffix for c in self.chars}
         sound = {i for t, i in vocab.items() if t in base}
         self.trie = ahocorasick.Automaton()
+        held: dict[str, int] = {}
         for text, i in sorted(vocab.items(), key=lambda x: self.birth[x[1]]):
             if self.birth[i] >= 0 and self.left[i] in sound and self.right[i] in sound and self.meets(self.left[i], self.right[i], self.birth[i]):
                 sound.add(i)
             if i in sound:
-                key = self.marked(text)
-                self.trie.add_word(key, (len(key), i))
+                held[self.marked(text)] = i
+        #: Characters of each token, and the next shorter token that it begins with.
+        self.length, self.shorter = [0] * size, [-1] * size
+        for key, i in held.items():
+            self.trie.add_word(key, i)
+            self.length[i] = len(key)
+            self.shorter[i] = next((held[key[:k]] for k in range(len(key) - 1, 0, -1) if key[:k] in held), -1)
         self.trie.make_automaton()
         shown: list[str] = [""] * size
         for text, i in [*vocab.items(), *self.special.items()]:
@@ -153,56 +159,49 @@ class WordBpe:
         pairs = self.pairs
         out: list[int] = []
         last = -1
-        for end, (size, token) in self.trie.iter_long(word):  # the longest at each place, often right as it is
+        for end, token in self.trie.iter_long(word):  # the longest at each place, often right as it is
             if last >= 0:
                 fit = pairs.get(last << 32 | token)
                 if not (fit or fit is None and self.fits(last, token)):
-                    return self.backtrack(word, out, end + 1 - size)
+                    return self.backtrack(word, out, end + 1 - self.length[token], token)
             out.append(token)
             last = token
         return out
 
-    def backtrack(self, word: str, out: list[int], pos: int) -> list[int]:
-        """Go on at pos, where the longest token does not fit the longest ones before it, in out."""
-        n = len(word)
-        at: list[list[tuple[int, int]]] = [[] for _ in range(n)]
-        for last, (size, token) in self.trie.iter(word):
-            at[last + 1 - size].append((last + 1, token))
-        taken: list[tuple[int, int]] = []
-        place = 0
-        for _ in out:
-            options = at[place]
-            taken.append((place, len(options) - 1))
-            place = options[-1][0]
+    def backtrack(self, word: str, out: list[int], pos: int, token: int) -> list[int]:
+        """Go on at pos, where the longest token does not fit the longest ones before it, in out.
+
+        All tokens that match at a place are beginnings of the longest one there.
+        """
+        length, shorter, pairs, n = self.length, self.shorter, self.pairs, len(word)
+        longest = [-1] * n
+        for end, t in self.trie.iter(word):
+            longest[end + 1 - length[t]] = t  # later ends are longer tokens
         dead: set[int] = set()
-        pairs = self.pairs
-        i = len(at[pos]) - 2
-        while pos < n:
-            options = at[pos]
+        token = shorter[token]
+        while True:
             if out:
                 before = out[-1] << 32
-                while i >= 0:
-                    end, token = options[i]
-                    if end not in dead:
+                while token >= 0:
+                    if pos + length[token] not in dead:
                         fit = pairs.get(before | token)
                         if fit or fit is None and self.fits(out[-1], token):
                             break
-                    i -= 1
+                    token = shorter[token]
             else:
-                while i >= 0 and options[i][0] in dead:
-                    i -= 1
-            if i >= 0:
-                end, token = options[i]
+                while token >= 0 and length[token] in dead:
+                    token = shorter[token]
+            if token >= 0:
                 out.append(token)
-                taken.append((pos, i))
-                pos = end
-                i = len(at[pos]) - 1 if pos < n else -1
+                pos += length[token]
+                if pos == n:
+                    return out
+                token = longest[pos]
             else:
                 dead.add(pos)
-                out.pop()
-                pos, i = taken.pop()
-                i -= 1
-        return out
+                token = out.pop()
+                pos -= length[token]
+                token = shorter[token]
 
     def piece_ids(self, piece: str) -> bytes:
         """Ids of text without white space and special tokens."""
