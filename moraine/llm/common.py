@@ -95,10 +95,10 @@ def few(df: DataFrame) -> DataFrame:
     """Rows of a shuffle in fewer tasks, for tables of short rows: small files cost opens and calls.
 
     At most eight partitions of the shuffle make a task, and only as long as
-    every core has two.
+    every core has one.
     """
     spark = df.sparkSession
-    return df.coalesce(max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")) // 8))
+    return df.coalesce(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")) // 8))
 
 
 def loose(df: DataFrame) -> DataFrame:
