@@ -30,8 +30,8 @@ def documents(spark: SparkSession, sf_dir: str, snapshot: int = 1) -> DataFrame:
     return d.select("doc_id", text.alias("text"), "lang", folder.alias("dir"), F.concat(folder, F.lit("/d"), "doc_id", F.lit(".txt")).alias("path"), mtime.alias("mtime_secs"))
 
 
-def nodes(spark: SparkSession, sf_dir: str, snapshot: int = 1) -> DataFrame:
-    """The documents as a tree: exact copies are hardlinks of one inode. A node table is written once and then used."""
+def nodes(spark: SparkSession, sf_dir: str, snapshot: int = 1, links: bool = True) -> DataFrame:
+    """The documents as a tree: exact copies are hardlinks of one inode (without links, files of it). A node table is written once and then used."""
     d = documents(spark, sf_dir, snapshot).withColumn("h", F.sha2("text", 256)).withColumn("text", F.octet_length("text").cast("long"))
     inode = d.groupBy("h").agg(F.min("doc_id").alias("ino"), F.count("*").alias("nlink"))
     none = F.lit(None)
@@ -53,7 +53,8 @@ def nodes(spark: SparkSession, sf_dir: str, snapshot: int = 1) -> DataFrame:
     files = staged(files, "files")
     long = lambda x: F.lit(x).cast("long")
     folders = tree.with_directories(files).select("path", "kind", long(16877).alias("mode"), long(0).alias("uid"), long(0).alias("gid"), long(T0).alias("mtime_secs"), long(0).alias("size"), long(1).alias("dev"), long(-1).alias("ino"), long(1).alias("nlink"), long(names.ENTRY).alias("meta_size"), none.cast("string").alias("meta"))
-    return staged(tree.hardlink_targets(files.unionByName(folders)), "nodes")
+    both = files.unionByName(folders)
+    return staged(tree.hardlink_targets(both), "nodes") if links else both
 
 
 def page_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -116,17 +116,19 @@ def prune_ctes() -> str:
     return f"{nodes()}, vd as (select path, kind, path <> '' and {verdict} as gone from n1), an as (select path, unnest({up('path')}) as ancestor from n1 where path <> '')"
 
 
-def scoped_sql() -> str:
-    rows = [("src0", 0, "d*2.txt"), ("src0", 1, "!d*22.txt"), ("src0/en", 0, "/src0/en/d1*.txt"), ("src1", 0, "fr/"), ("", 0, "*9.txt"), ("src1/en", 1, "!*9.txt")]
+def scoped_ctes(source: str, outer: list[str]) -> str:
+    """CTEs that end with left_, the rows of source that are left."""
+    rows = [("", k - len(outer), x) for k, x in enumerate(outer)]
+    rows += [("src0", 0, "d*2.txt"), ("src0", 1, "!d*22.txt"), ("src0/en", 0, "/src0/en/d1*.txt"), ("src1", 0, "fr/"), ("", 0, "*9.txt"), ("src1/en", 1, "!*9.txt")]
     parts = []
     for scope, line, text in rows:
         p = patterns.parse(text)
         inside = f"starts_with(path, '{scope}/')" if scope else "path <> ''"
         depth = len(scope.split("/")) if scope else 0
-        parts.append(f"select path, {depth} as a, {line} as b, {str(not p.include).lower()} as gone from n1 where {inside} and {p.sql('path', "kind = 'directory'")}")
-    return f"""with {nodes()}, hit as ({' union all '.join(parts)}), vd as (select path from (select path, arg_max(gone, (a, b)) as gone from hit group by 1) where gone),
-      an as (select path, unnest({up('path')}) as ancestor from n1 where path <> '')
-      select path from n1 where path not in (select path from vd) and path not in (select path from an where ancestor in (select path from vd))"""
+        parts.append(f"select path, {depth} as a, {line} as b, {str(not p.include).lower()} as gone from {source} where {inside} and {p.sql('path', "kind = 'directory'")}")
+    return f"""{nodes()}, hit as ({' union all '.join(parts)}), vd as (select path from (select path, arg_max(gone, (a, b)) as gone from hit group by 1) where gone),
+      an as (select path, unnest({up('path')}) as ancestor from {source} where path <> ''),
+      left_ as (select * from {source} where path not in (select path from vd) and path not in (select path from an where ancestor in (select path from vd)))"""
 
 
 def build() -> dict[str, str]:
@@ -139,7 +141,9 @@ def build() -> dict[str, str]:
     out["duplicate_names"] = f"with {PAGES} select string_split(path, '/')[1] as parent, 'p' || (page_id % 7) as name, count(*) as n from pg group by 1, 2 having count(*) > 1"
     out["prune_subtree"] = f"with {prune_ctes()} select path from vd where not gone and path not in (select an.path from an join vd x on x.path = an.ancestor where x.gone)"
     out["on_exclude_audit"] = f"with {prune_ctes()} select path from vd where gone and path not in (select an.path from an join vd x on x.path = an.ancestor where x.gone)"
-    out["scoped_exclude"] = scoped_sql()
+    out["scoped_exclude"] = f"with {scoped_ctes('n1', [])} select path from left_"
+    out["scoped_exclude_hardlinks"] = f"""with {scoped_ctes('a1', q.OUTER)}, t as (select ino, arg_min(path, string_split(path, '/')) as target from left_ where kind = 'file' and nlink > 1 group by ino)
+      select path, case when target <> path then 'hardlink' else kind end as kind, case when target <> path then target end as link_target from left_ left join t on t.ino = left_.ino and kind = 'file' and nlink > 1"""
     out["labelled_out"] = f"with {docs(1)} select path from d1 where doc_id not in (select doc_id from labels where toxic = 1)"
     out["covered_paths"] = f"with {docs(1)}, {ASKED}, z as (select distinct path from q) select path from z where path not in (select a.path from z a join z b on starts_with(a.path, b.path || '/'))"
     out["valid_names"] = rf"""with {PAGES}, x as (select page_id, {base('path')} as name, {parent('path')} as parent, len(string_split(path, '/'))::int as depth, string_split(path, '/') as cs from pg)

@@ -27,6 +27,7 @@ PATTERN_LISTS = {
     "pattern_dironly": ["en/", "d2*/", "/src3/"],
     "pattern_last_wins": ["*.txt", "!d*1.txt", "d*11.txt", "!/src0/**"],
 }
+OUTER = ["d*7.txt", "/src2/de", "!d*77.txt"]
 PRUNE = ["de/", "!src1/de", "/src2", "!/src2/en/*", "d*3.txt", "!d*13.txt"]
 
 
@@ -65,6 +66,12 @@ def scoped(spark: SparkSession, sf: str) -> DataFrame:
     return spark.createDataFrame(made, "scope_dir string, line_no int, include boolean, dir_only boolean, regex string")
 
 
+def scoped_exclude_hardlinks(spark: SparkSession, sf: str) -> DataFrame:
+    """Outer patterns and exclude lines as one list, links made of what is left."""
+    left = tree.prune_scoped(m.nodes(spark, sf, links=False), scoped(spark, sf), OUTER)
+    return tree.hardlink_targets(left).select("path", "kind", "link_target")
+
+
 def labelled_out(spark: SparkSession, sf: str) -> DataFrame:
     """A further predicate: documents labelled toxic are left out."""
     toxic = m.table(spark, sf, "labels").where("toxic = 1").select("doc_id")
@@ -512,6 +519,7 @@ def node_warnings(spark: SparkSession, sf: str) -> DataFrame:
 
 
 NAMED = (
+    scoped_exclude_hardlinks,
     restore_order, restore_copies, listing_filter, newest_first, listing_order, unclosed_indexes, authorised_chunks, blob_uploads, verify_blobs, manifest_identity, manifest_signatures, chunk_content,
     estimate_check, children_inside, directory_items, root_composition, stream_nodes, node_warnings,
     preludes, declared_sizes, snapshot_paths, blob_names, fingerprints, reserved_children,
