@@ -55,6 +55,24 @@ def opened(v: int) -> str:
     return f"({NAME_BYTES} + case when kind = 'hardlink' then 25 + strlen(link_target) else meta_size + case when kind = 'file' then {body} else 0 end end)::bigint"
 
 
+def cuts(k: int = 1) -> str:
+    """CTEs that end with cdc<k>: the chunks of a snapshot's texts, from the definition of the rolling hash.
+
+    A value rotated by its age is the value rotated back by its place, then all turned
+    to the place looked at, so the hash is one window of exclusive ors over the bytes.
+    """
+    mask, least, most = 2 * q.AVG - 1, q.AVG // 4, 4 * q.AVG
+    turned = lambda x, by: f"((({x} << ({by})) | ({x} >> (32 - ({by})))) & 4294967295)"
+    return f"""tab{k} as (select i as b, ('0x' || md5(i::varchar)[1:8])::ubigint as t from range(256) r(i)),
+    by{k} as (select doc_id, unnest(l) as hx, unnest(range(len(l))) as i from (select doc_id, regexp_extract_all(hex(encode(text)), '..') as l from d{k} where text <> '')),
+    g{k}x as (select doc_id, i, {turned('t', '(32 - i % 32) % 32')} as g from by{k} join tab{k} on b = ('0x' || hx)::ubigint),
+    h{k} as (select doc_id, i, bit_xor(g) over (partition by doc_id order by i rows between 63 preceding and current row) as x from g{k}x),
+    c{k} as (select doc_id, list(i + 1 order by i) as ends from h{k} where i >= 63 and ({turned('x', 'i % 32')} & {mask}) >= {mask - 2} group by 1),
+    walk{k} as (select d.doc_id, strlen(text)::bigint as n, coalesce(ends, []) as ends, 0::bigint as seq, 0::bigint as a, 0::bigint as b from d{k} d left join c{k} using (doc_id) where text <> ''
+      union all select doc_id, n, ends, seq + 1, b, least(b + {most}, coalesce(list_filter(ends, lambda e: e >= w.b + {least})[1], n), n)::bigint from walk{k} w where b < n),
+    cdc{k} as (select 'd' || doc_id as stream_id, seq - 1 as seq, a as "offset", b as end_offset, b - a as size, sha256(unhex(substring(hex(encode(text)), (2 * a + 1)::bigint, (2 * (b - a))::bigint))) as digest from walk{k} join d{k} using (doc_id) where seq > 0)"""
+
+
 def events(v: int, k: int = 1) -> str:
     lead = 24 if v == 2 else 0
     return f"""{nodes(k)},
@@ -250,6 +268,24 @@ def build() -> dict[str, str]:
         short = {8: "b", 9: "t", 10: "n", 12: "f", 13: "r"}.get(code, f"u{code:04x}")
         if code:
             esc = f"replace({esc}, chr({code}), chr(92) || '{short}')"
+    out["cdc_chunks"] = f"with recursive {docs(1)}, {cuts()} select * from cdc1"
+    out["cdc_bounds_check"] = f"""with recursive {docs(1)}, {cuts()}, x as (select *, coalesce(lag(end_offset) over w, 0) = "offset" and end_offset > "offset" as tiles, lead(seq) over w is null as last from cdc1 window w as (partition by stream_id order by seq))
+      select stream_id, bool_and(tiles) as tiles, bool_and((size >= {q.AVG // 4} or last) and size <= {q.AVG * 4}) as in_bounds, count(*) as n_chunks from x group by 1"""
+    out["cdc_size_histogram"] = f"with recursive {docs(1)}, {cuts()} select (size // 256)::bigint as cell, count(*) as n, sum(size)::bigint as bytes from cdc1 group by 1"
+    out["cdc_new_bytes"] = f"with recursive {docs(1)}, {docs(2)}, {cuts(1)}, {cuts(2)}, {marked('cdc2', 'cdc1')} select stream_id, max(end_offset) as size, count(*) as chunk_count, count(*) filter (is_new) as new_chunks, coalesce(sum(size) filter (is_new), 0)::bigint as new_bytes, count(*) filter (not is_new) as reused_chunks from z group by 1"
+    # formats: what was written and read again is what the tables hold
+    group = f"'a' || (doc_id // {q.GROUP})"
+    for v in (1, 2):
+        # 16 bytes lead a payload and each file's record in it; files come in the order of their paths' parts
+        offset = f"(16 + coalesce(sum(16 + strlen(text)) over (partition by doc_id // {q.GROUP} order by string_split(path, '/') rows between unbounded preceding and 1 preceding), 0))::bigint" if v == 2 else "null::bigint"
+        out[f"archive_v{v}_entries"] = f"""with {docs(1)} select {group} as archive, path, 'file' as kind, 33188::bigint as mode, (doc_id % 3)::bigint as uid, mtime_secs::bigint as mtime_secs, strlen(text)::bigint as size, {offset} as payload_offset, lang as attribute, sha256(text) as digest from d1
+          union all select distinct a, p, 'directory', {0o40755}::bigint, 0::bigint, 0::bigint, null::bigint, null::bigint, null, null from (select {group} as a, unnest(list_concat([''], {up('path')})) as p from d1)"""
+    out["catalog_entries"] = f"""with {docs(1)} select {group} as name, path, 'f' as letter, strlen(text)::bigint as size, mtime_secs::bigint as mtime from d1
+      union all select distinct a, p, 'd', null::bigint, null::bigint from (select {group} as a, unnest({up('path')}) as p from d1)"""
+    out["index_records"] = f"with {chunks()} select stream_id as name, seq, \"offset\" as start_offset, end_offset, digest from c1"
+    out["frame_records"] = f"with {chunks()} select stream_id as name, seq, case seq % 2 when 0 then 'inject' else 'data' end as kind, digest, size from c1"
+    out["blob_records"] = "select 'p' || page_id as name, strlen(coalesce(html, ''))::bigint as size, sha256(coalesce(html, '')) as digest from pages"
+    out["archive_refs_resolve"] = f"with {docs(1)} select {group} as archive, count(*) as n_files, true as ok from d1 group by 1"
     out["preludes"] = f"""with {docs(1)} select doc_id, sha256('{{"exclude-patterns":"' || {esc} || '"}}') as digest from d1"""
     out["declared_sizes"] = f"""with {docs(1)}, x as (select doc_id, doc_id % 40 * 50 as size, strlen(text) as actual, hex(encode(text)) as h from d1)
       select doc_id, size, size as written, sha256(rpad(substring(h, 1, (2 * size)::int), (2 * size)::int, '0')) as digest, case when actual < size then 'size-changed ' || actual when actual > size then 'size-changed ' || (size + 1) end as warning from x"""

@@ -10,11 +10,14 @@ from pyspark.sql import functions as F
 
 from ..functions import chunking, names, patterns
 from ..operators import browse, dedup, layout, reuse, snapshots, tree, verify
+from ..sources import archives, formats
 from ..sources.staging import staged
 from . import model as m
 
 Query = Callable[[SparkSession, str], DataFrame]
 AVG, SPAN = 1024, 4096
+#: Documents of one archive or catalog of the format queries.
+GROUP = 64
 #: The key of the signature queries and its name.
 KEY, KEY_NAME = b"a key for the driver's tables", "own"
 
@@ -518,7 +521,68 @@ def node_warnings(spark: SparkSession, sf: str) -> DataFrame:
     return tree.unreadable(p.select(name.alias("path"), kind.alias("kind"))).groupBy("warning").agg(F.count("*").alias("n"))
 
 
+def grouped(spark: SparkSession, sf: str) -> DataFrame:
+    """The documents dealt to archives of GROUP files at most."""
+    return m.documents(spark, sf).withColumn("archive", F.concat(F.lit("a"), F.floor(F.col("doc_id") / GROUP)))
+
+
+def written(spark: SparkSession, sf: str, version: int) -> DataFrame:
+    none = F.lit(None)
+    n = grouped(spark, sf).select("archive", "path", F.lit("file").alias("kind"), F.lit(33188).cast("long").alias("mode"), (F.col("doc_id") % 3).alias("uid"), F.lit(0).cast("long").alias("gid"), "mtime_secs", F.lit(0).alias("mtime_nanos"), none.cast("string").alias("link_target"), F.array(F.struct(F.lit("user.lang").alias("name"), F.encode("lang", "utf-8").alias("value"))).alias("xattrs"), F.encode("text", "utf-8").alias("data"))
+    return formats.write_archives(n, version)
+
+
+def archive_entries(spark: SparkSession, sf: str, version: int) -> DataFrame:
+    """Archives of the documents, written and decoded."""
+    n = archives.decode_many(written(spark, sf, version))
+    return n.select("archive", "path", "kind", "mode", "uid", "mtime_secs", "size", "payload_offset", F.decode(F.get("xattrs", F.lit(0))["value"], "utf-8").alias("attribute"), F.sha2("data", 256).alias("digest"))
+
+
+def archive_v1_entries(spark: SparkSession, sf: str) -> DataFrame:
+    return archive_entries(spark, sf, 1)
+
+
+def archive_v2_entries(spark: SparkSession, sf: str) -> DataFrame:
+    return archive_entries(spark, sf, 2)
+
+
+def archive_refs_resolve(spark: SparkSession, sf: str) -> DataFrame:
+    """Archives whose metadata alone is decoded, against the lengths of their payloads."""
+    a = staged(written(spark, sf, 2), "archives")
+    n = staged(archives.decode_many(a, metadata_only=True).select("archive", "path", "kind", "size", "payload_offset"), "entries")
+    bad = formats.unresolved(n, a.select("archive", F.octet_length("payload").alias("n"))).groupBy("archive").agg(F.count("*").alias("bad"))
+    files = n.where("kind = 'file'").groupBy("archive").agg(F.count("*").alias("n_files"))
+    return files.join(bad, "archive", "left").select("archive", "n_files", F.col("bad").isNull().alias("ok"))
+
+
+def catalog_entries(spark: SparkSession, sf: str) -> DataFrame:
+    """Catalogs of the documents, written and decoded."""
+    rows = grouped(spark, sf).select(F.col("archive").alias("name"), F.col("doc_id").alias("seq"), "path", F.lit("f").alias("letter"), F.octet_length("text").cast("long").alias("size"), F.col("mtime_secs").alias("mtime"))
+    return formats.read_catalogs(formats.write_catalogs(rows)).drop("seq")
+
+
+def index_records(spark: SparkSession, sf: str) -> DataFrame:
+    """Index files of the documents' chunks, written and parsed."""
+    return formats.read_indexes(formats.write_indexes(m.chunks(spark, sf).withColumnRenamed("stream_id", "name")))
+
+
+def frame_records(spark: SparkSession, sf: str) -> DataFrame:
+    """Frame streams in which even chunks are injected and odd ones come as data."""
+    d = m.documents(spark, sf).select(F.concat(F.lit("d"), "doc_id").alias("name"), F.encode("text", "utf-8").alias("bytes"))
+    c = m.chunks(spark, sf).withColumnRenamed("stream_id", "name")
+    even = F.col("seq") % 2 == 0
+    rows = c.join(d, "name").select("name", "seq", F.when(even, "inject").otherwise("data").alias("kind"), F.when(~even, F.substring("bytes", (F.col("offset") + 1).cast("int"), F.col("size").cast("int"))).alias("data"), F.when(even, F.col("digest")).alias("digest"), "size")
+    return formats.read_frames(formats.write_frames(rows)).select("name", "seq", "kind", F.coalesce("digest", F.sha2("data", 256)).alias("digest"), "size")
+
+
+def blob_records(spark: SparkSession, sf: str) -> DataFrame:
+    """The pages as blobs, framed and decoded."""
+    plain = m.blobs(spark, sf).select(F.concat(F.lit("p"), "page_id").alias("name"), F.col("encoded").alias("data"))
+    return formats.read_blobs(formats.write_blobs(plain)).select("name", "size", F.sha2("data", 256).alias("digest"))
+
+
 NAMED = (
+    archive_v1_entries, archive_v2_entries, archive_refs_resolve, catalog_entries, index_records, frame_records, blob_records,
     scoped_exclude_hardlinks,
     restore_order, restore_copies, listing_filter, newest_first, listing_order, unclosed_indexes, authorised_chunks, blob_uploads, verify_blobs, manifest_identity, manifest_signatures, chunk_content,
     estimate_check, children_inside, directory_items, root_composition, stream_nodes, node_warnings,
