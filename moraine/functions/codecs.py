@@ -210,7 +210,14 @@ def encode_catalog(rows: list[tuple[str, str, int, int]]) -> bytes:
             directory(up)[name] = (kind, size, mtime)
     out = bytearray(CATALOG_MAGIC)
     starts: dict[str, int] = {}
-    for path in sorted(children, key=lambda p: (-len(p.split("/")) if p else 1, p)):
+    # a directory's table is written when it closes, after those of all directories in it
+    closing: list[str] = []
+    todo = [""]
+    while todo:
+        path = todo.pop()
+        closing.append(path)
+        todo += [f"{path}/{name}" if path else name for name, (kind, _, _) in children[path].items() if kind == "d"]
+    for path in reversed(closing):
         start = len(out)
         own = children[path]
         table = bytearray(varint(len(own)))

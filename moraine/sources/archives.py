@@ -7,8 +7,10 @@ decode yields rows; decode_many runs it over a DataFrame of archives.
 
 from __future__ import annotations
 
+import json
+import os
 import struct
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -28,10 +30,25 @@ def _children(nodes: list[dict]) -> dict[str, list[dict]]:
     return below
 
 
-def encode(nodes: list[dict], version: int = 1) -> tuple[bytes, bytes]:
-    """The archive, and for version 2 its payload stream."""
+#: The root's child that an archive keeps for the patterns it was made with.
+RESERVED = ".pxarexclude-cli"
+
+
+def encode(nodes: list[dict], version: int = 1, patterns: Sequence[str] = ()) -> tuple[bytes, bytes]:
+    """The archive, and for version 2 its payload stream.
+
+    The exclude patterns it was made with are told in it: in version 1 as a file
+    that comes last in the root, in version 2 as the prelude. A node of that
+    file's name in the root is left out in any case.
+    """
+    nodes = [n for n in nodes if n["path"] != RESERVED and not n["path"].startswith(RESERVED + "/")]
     below, by = _children(nodes), {n["path"]: n for n in nodes}
     out = bytearray(c.record(c.FORMAT_VERSION, struct.pack("<Q", 2)) if version == 2 else b"")
+    text = "".join(f"{p}\n" for p in patterns)
+    if text and version == 2:
+        out += c.record(c.PRELUDE, json.dumps({"exclude-patterns": text}, separators=(",", ":"), ensure_ascii=False).encode())
+    elif text:
+        below.setdefault("", []).append({"path": RESERVED, "kind": "file", "mode": 0o100600, "uid": os.getuid(), "gid": os.getgid(), "mtime_secs": 0, "mtime_nanos": 0, "data": text.encode()})
     payload = bytearray(c.record(c.PAYLOAD_START) if version == 2 else b"")
     starts: dict[str, int] = {}
 
@@ -77,6 +94,22 @@ def encode(nodes: list[dict], version: int = 1) -> tuple[bytes, bytes]:
     return bytes(out), bytes(payload)
 
 
+def told_patterns(meta: bytes) -> list[str]:
+    """The exclude patterns an archive tells, from its prelude or its root's last child."""
+    text = ""
+    for _, kind, body in c.records(meta):
+        if kind == c.PRELUDE:
+            try:
+                text = str(json.loads(body)["exclude-patterns"])
+            except (ValueError, KeyError, TypeError):
+                raise c.FormatError("a prelude without exclude patterns") from None
+        if kind not in (c.FORMAT_VERSION, c.PRELUDE):
+            break
+    if not text:
+        text = next((bytes(n["data"]).decode() for n in decode(meta) if n["path"] == RESERVED and n["data"] is not None), "")
+    return [x for x in text.split("\n") if x]
+
+
 _KINDS = {0o040000: "directory", 0o100000: "file", 0o120000: "symlink", 0o060000: "block", 0o020000: "char", 0o010000: "fifo", 0o140000: "socket"}
 
 

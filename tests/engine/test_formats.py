@@ -57,6 +57,15 @@ def test_catalog_bytes():
             codecs.decode_catalog(wrong)
 
 
+def test_catalog_tables_come_as_directories_close():
+    rows = [("a", "d", 0, 0), ("a/x", "d", 0, 0), ("a/x/f", "f", 1, 1), ("b", "d", 0, 0), ("b/g", "f", 2, 2), ("c", "f", 3, 3)]
+    data = codecs.encode_catalog(rows)
+    inner = b"\x01f\x01f\x01\x01"
+    assert data[8:].startswith(bytes([len(inner)]) + inner)  # a/x closes first, then a, b and the root
+    assert data.index(b"f\x01f\x01") < data.index(b"d\x01x") < data.index(b"f\x01g\x02") < data.index(b"d\x01a")
+    assert [x[0] for x in codecs.decode_catalog(data)] == [x[0] for x in rows]
+
+
 def test_index_round_trip():
     entries = [(10, hashlib.sha256(b"a").hexdigest()), (25, hashlib.sha256(b"b").hexdigest())]
     data = codecs.render_index(entries)
