@@ -8,6 +8,9 @@ A prefix of a word has one valid encoding, so a dead place stays dead and the
 work is linear. Compatibility is decided by walking the right edge of the left
 token and the left edge of the right token back in time, and is kept in a table.
 
+encode_all does the same for many texts: it splits them together in arrays and
+looks each distinct word up once.
+
 Decoding gathers from one table of all tokens' bytes by offsets.
 
 Nulls in the text count as the empty text: no tokens, an empty decoding. A
@@ -27,6 +30,7 @@ from collections.abc import Iterator
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
@@ -38,6 +42,11 @@ _END = 0x10000
 _ODD_SPACE = regex.compile("[\x1c-\x1f]")
 _SPLIT = regex.compile("[\t-\r \x85\xa0  -     　]+")
 _FOREVER = 1 << 60
+#: Characters of the longest string that is kept, and of the longest text that is split in arrays.
+_KEPT_CHARS, _ARRAY_CHARS = 64, 1 << 20
+#: The pattern of words that encode_all knows, and its kinds of characters.
+_WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_OTHER, _SPACE, _LETTER, _NUMBER = range(4)
 
 
 def byte_chars() -> list[str]:
@@ -65,14 +74,39 @@ class Pieces(dict):
         ids = self.old.get(piece)
         if ids is None:
             ids = self.make(piece)
-            if len(piece) > 64:
+            if len(piece) > _KEPT_CHARS:
                 return ids
         if len(self) >= self.size:
-            self.old = dict(self)
-            self.clear()
+            self.age()
         self[piece] = ids
         return ids
 
+    def age(self) -> None:
+        self.old = dict(self)
+        self.clear()
+
+    def all(self, pieces: list[str]) -> list[bytes]:
+        """What make gives for distinct strings, which are kept together."""
+        out = list(map(self.get, pieces))
+        gaps = [i for i, ids in enumerate(out) if ids is None]
+        for i in gaps:
+            ids = self.old.get(pieces[i])
+            out[i] = self.make(pieces[i]) if ids is None else ids
+        if len(self) + len(gaps) > self.size:
+            self.age()
+        self.update((pieces[i], out[i]) for i in gaps[: self.size] if len(pieces[i]) <= _KEPT_CHARS)
+        return out
+
+
+@functools.cache
+def kinds() -> np.ndarray:
+    """The kind of each code point."""
+    every, out = "".join(map(chr, range(0x110000))), np.full(0x110000, _OTHER, np.uint8)
+    for kind, pattern in ((_LETTER, r"\p{L}+"), (_NUMBER, r"\p{N}+"), (_SPACE, r"\s+"), (_SPACE, _SPLIT.pattern)):
+        for found in regex.finditer(pattern, every):
+            out[found.start() : found.end()] = kind
+    return out
+
 
 class WordBpe:
     """A BPE vocabulary with word ends, read from a tokenizers file."""
@@ -213,9 +247,13 @@ class WordBpe:
                 return self.pieces[lower[:-1]] + self.known[lower[-1]]
             piece = lower
         else:
-            piece = unicodedata.normalize("NFC", piece).replace("Σ", "σ").lower()
+            piece = self.normal(piece)
         return b"".join(map(self.known.__getitem__, self.words.findall(piece)))
 
+    @staticmethod
+    def normal(text: str) -> str:
+        return unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
+
     def word_bytes(self, word: str) -> bytes:
         marks = word if word.isascii() and word.isalpha() else word.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.code)
         ids = self.word_ids(marks[:-1] + self.last[marks[-1]])
@@ -233,6 +271,45 @@ class WordBpe:
         pieces = [x for x in _SPLIT.split(text) if x] if _ODD_SPACE.search(text) else text.split()
         return b"".join(map(self.pieces.__getitem__, pieces))
 
+    def encode_all(self, texts: list[str | None]) -> list[bytes]:
+        """encode of each text (null: empty): texts are split together, and each distinct word is looked up once."""
+        if self.words.pattern != _WORDS:
+            return [self.encode(x or "") for x in texts]
+        alone = {i: x for i, x in enumerate(texts) if x and ("<|" in x or len(x) > _ARRAY_CHARS)}
+        rows = ["" if i in alone or not x else x.lower() if x.isascii() else self.normal(x) for i, x in enumerate(texts)]
+        whole = "\n".join([*rows, "", ""])  # two more line ends: room for looking ahead
+        code = np.frombuffer(whole.encode("utf-32-le"), "<u4")
+        kind = kinds()[code]
+        begins = np.ones(len(code) + 1, bool)
+        begins[1:-1] = (kind[1:] != kind[:-1]) | (kind[1:] == _NUMBER)
+        at = np.flatnonzero(code == ord("'"))
+        at = at[begins[at] & begins[at + 1]]  # not among other signs
+        one, two = code[at + 1], code[at + 2]
+        short = np.isin(one, [ord(c) for c in "stmd"])
+        long = ((one == ord("r")) | (one == ord("v"))) & (two == ord("e")) | (one == ord("l")) & (two == ord("l"))
+        begins[at[short | long] + 1] = False
+        begins[at[short] + 2] = True
+        begins[at[long] + 3] = True
+        start = np.flatnonzero(begins)
+        full = kind[start[:-1]] != _SPACE
+        text, place = whole.encode(), start
+        if len(text) > len(code):
+            width = 1 + (code >= 0x80).view(np.int8) + (code >= 0x800) + (code >= 0x10000)
+            place = np.concatenate([np.zeros(1, np.int64), np.cumsum(width)])[start]
+        words = pa.StringArray.from_buffers(len(full), pa.py_buffer(place.astype(np.int32)), pa.py_buffer(text)).filter(pa.array(full)).dictionary_encode()
+        listed = pa.ListArray.from_arrays([0, len(words.dictionary)], words.dictionary)
+        parts = self.known.all(pc.binary_join(listed, "\n")[0].as_py().split("\n")) if len(words) else []
+        blob = np.frombuffer(b"".join(parts), "<u4")
+        size = np.fromiter(map(len, parts), np.int64, len(parts)) >> 2
+        which = words.indices.to_numpy()
+        first, size = (np.cumsum(size) - size)[which], size[which]
+        ends = np.concatenate([np.zeros(1, np.int64), np.cumsum(size)])
+        index = np.repeat(first - ends[:-1], size)
+        index += np.arange(len(index))
+        limits = np.cumsum([0, *(len(x) + 1 for x in rows)])
+        ids, cut = blob[index].tobytes(), (4 * ends[np.searchsorted(start[:-1][full], limits)]).tolist()
+        return [self.encode(alone[i]) if i in alone else ids[a:b] for i, (a, b) in enumerate(zip(cut, cut[1:]))]
+
     def decode(self, ids: np.ndarray) -> bytes:
         """UTF-8 of the decoded text: the tokens, a blank between each two."""
         if not len(ids):

@@ -170,8 +170,8 @@ def token_pieces(docs: DataFrame, path: str, capacity: int, end_id: int, doc_id:
         for big in batches:
             for batch in slices(big, "text"):
                 rows = []
-                for name, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                    ids = bpe.encode(x or "") + end
+                for name, ids in zip(batch.column(0).to_pylist(), bpe.encode_all(batch.column(1).to_pylist())):
+                    ids += end
                     for k, at in enumerate(range(0, len(ids), 4 * capacity)):
                         part = ids[at : at + 4 * capacity]
                         size = len(part) // 4

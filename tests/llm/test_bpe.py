@@ -4,7 +4,7 @@ import random
 import numpy as np
 import pytest
 
-from moraine.llm.bpe import bpe_digest, default_path, word_bpe
+from moraine.llm.bpe import WordBpe, bpe_digest, default_path, word_bpe
 
 tokenizers = pytest.importorskip("tokenizers")
 ODD = ["", "a", "Hello World's 123 don't", "ΑΣΣ σΣ İstanbul ǅ ß ﬁ", "a\x1cb\x1f c\x85d\xa0e​f", "<|endoftext|>x<|startoftext|> <|endof", "éa ́ x", "日本語テキスト", "\x00\x01", "a" * 3000, "᠎ ﻿ x", "'S 'LL it'S", "½ ² ٣ Ⅷ"]
@@ -41,3 +41,19 @@ def test_query_rows(docs, library):
 
 def test_empty(docs):
     assert bpe_digest(docs([]), default_path()).collect() == []
+
+
+@pytest.mark.parametrize("cache", [5, 300_000])
+def test_texts_together(library, monkeypatch, cache):
+    rng = random.Random(6)
+    signs = ["'", "'s", "'re", "'LL", "'d", "''", "#'t", "'v", "'ve\u00e9", "1'm2", "\u0301", " \u0301", "\n", "\r\n", "\x1c", "\x1f", "\x85", "\xa0", "\u2001", "\u2028", "\u3000", "\u200b"]
+    signs += ["\u03a3", "\u0130", "\xdf", "e\u0301", "\u8a9e", "\U0001f600", "\xbd", "\xb2", "\u0663", "a", "The", "ing", "x" * 70, "<|", "<|endoftext|>", " ", "  "]
+    texts = [*ODD, None, "l'", "'", "'l", "x'r", *("".join(rng.choices(signs, k=rng.randint(1, 12))) for _ in range(1500)), "long row " * 130_000]
+    want = [np.array(library.encode(x or "", add_special_tokens=False).ids, "<u4").tobytes() for x in texts]
+    bpe, made = WordBpe(default_path(), cache), []
+    monkeypatch.setattr(bpe.known, "make", lambda x: made.append(x) or bpe.word_bytes(x))
+    assert [x for at in range(0, len(texts), 200) for x in bpe.encode_all(texts[at : at + 200])] == want
+    assert bpe.encode_all([]) == [] and bpe.encode_all([None, ""]) == [b"", b""]
+    made.clear()
+    assert bpe.encode_all(["zqxj Kvwq, kvwq " * 500] * 3)[0] == bpe.encode("zqxj kvwq, kvwq " * 500)
+    assert cache == 5 or sorted(made) == [",", "kvwq", "zqxj"]  # each distinct word once, however often it stands there
