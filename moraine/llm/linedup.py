@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bit_of, drop, few, fresh, has_bit, id_bitmap, keep, lean, loose, quoted, ready, slices, table
+from .common import bit_of, drop, few, filed, fresh, has_bit, id_bitmap, keep, lean, loose, quoted, ready, slices, table
 
 LEAST_WORDS = 8
 
@@ -77,7 +77,7 @@ def keyed(docs: DataFrame, doc_id: str) -> tuple[DataFrame, str]:
 
 def in_rank(names: DataFrame, *columns: str) -> DataFrame:
     """Distinct names with an ascending number each."""
-    return keep(few(names.repartitionByRange(*columns).sortWithinPartitions(*columns).withColumn("r", F.monotonically_increasing_id())), "ranks")
+    return filed(few(names.repartitionByRange(*columns).sortWithinPartitions(*columns).withColumn("r", F.monotonically_increasing_id())), "ranks")
 
 
 def repeated_runs(lines: DataFrame, least_words: int) -> DataFrame:
@@ -86,14 +86,14 @@ def repeated_runs(lines: DataFrame, least_words: int) -> DataFrame:
     lines: d, p, line (its hash), ws (lengths asked for).
     """
     names = in_rank(lines.groupBy("line").agg(F.count("*").alias("n")).where("n > 1").select("line"), "line")
-    level = keep(few(lines.join(names, "line").select("d", "p", "r", "ws")), "level")
+    level = filed(few(lines.join(names, "line").select("d", "p", "r", "ws")), "level")
     found: list[DataFrame] = []
     span = 1
     while True:
         asked = level.select("d", "p", "r", F.explode(F.filter("ws", lambda w: (w >= span) & (w < 2 * span))).alias("w"))
         last = level.select("d", (F.col("p")).alias("q"), F.col("r").alias("s"))
         runs = asked.withColumn("q", F.col("p") + F.col("w") - span).join(last, ["d", "q"]).select("d", "p", "w", "r", "s") if span > 1 else asked.withColumn("s", F.col("r"))
-        runs = keep(few(runs), "runs")
+        runs = filed(few(runs), "runs")
         # a run's first place is one row, dealt apart from the runs, whose hot keys can then be split
         first = loose(runs.groupBy("w", "r", "s").agg(F.min(F.struct("d", "p")).alias("at"), F.count("*").alias("n")).where("n > 1").select("w", "r", "s", "at"))
         found.append(runs.join(first, ["w", "r", "s"]).where(F.struct("d", "p") != F.col("at")).select("d", "p", "w", F.col("at.d").alias("sd"), F.col("at.p").alias("sp")))
@@ -101,10 +101,10 @@ def repeated_runs(lines: DataFrame, least_words: int) -> DataFrame:
             break
         follow = level.select("d", (F.col("p") - span).alias("p"), F.col("r").alias("y"))
         longer = F.filter("ws", lambda w: w >= 2 * span)
-        pairs = keep(few(level.withColumnRenamed("r", "x").join(follow, ["d", "p"]).select("d", "p", "x", "y", longer.alias("ws"))), "pairs")
+        pairs = filed(few(level.withColumnRenamed("r", "x").join(follow, ["d", "p"]).select("d", "p", "x", "y", longer.alias("ws"))), "pairs")
         names = in_rank(pairs.groupBy("x", "y").agg(F.count("*").alias("n")).where("n > 1").select("x", "y"), "x", "y")
         drop(level)
-        level = keep(few(pairs.join(names, ["x", "y"]).select("d", "p", "r", "ws")), "level")
+        level = filed(few(pairs.join(names, ["x", "y"]).select("d", "p", "r", "ws")), "level")
         drop(pairs)
         span *= 2
     out = found[0]
@@ -129,7 +129,7 @@ def deleted(docs: DataFrame, key: str, text: str, least_words: int) -> DataFrame
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], ["d", "p", "line", "ws"])
 
     rows = docs.select(F.col(key).alias("d"), F.col(quoted([text])[0]).cast("string").alias("text"))
-    lines = keep(rows.mapInArrow(lean(run), "d long, p int, line binary, ws array<int>"), "lines")
+    lines = filed(rows.mapInArrow(lean(run), "d long, p int, line binary, ws array<int>"), "lines")
     return repeated_runs(lines, least_words).groupBy("d").agg(F.collect_list(F.struct("p", "w", "sd", "sp")).alias("runs"))
 
 
@@ -190,7 +190,7 @@ def dedup_lines(docs: DataFrame, least_words: int = LEAST_WORDS, doc_id: str = "
     """
     ready(docs.sparkSession)
     rows, key = keyed(docs.selectExpr(f"cast(`{doc_id}` as bigint) doc_id", f"cast(`{text}` as string) text"), "doc_id")
-    runs = keep(deleted(rows, key, "text", least_words), "deleted").withColumnRenamed("d", key).withColumnRenamed("runs", "_runs")
+    runs = filed(deleted(rows, key, "text", least_words), "deleted").withColumnRenamed("d", key).withColumnRenamed("runs", "_runs")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         span = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))
@@ -219,7 +219,7 @@ def keep_first_lines(docs: DataFrame, least_words: int = LEAST_WORDS, doc_id: st
     ready(docs.sparkSession)
     rows, key = keyed(docs, doc_id)
     own_runs = fresh("_runs", rows.columns)
-    runs = keep(deleted(rows, key, text, least_words), "deleted").withColumnRenamed("d", key).withColumnRenamed("runs", own_runs)
+    runs = filed(deleted(rows, key, text, least_words), "deleted").withColumnRenamed("d", key).withColumnRenamed("runs", own_runs)
     place, names = docs.columns.index(text), docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,4 +1,8 @@
+import os
 import random
+import shutil
+import subprocess
+import sys
 from collections import Counter
 
 from moraine.llm import linedup
@@ -86,3 +90,42 @@ def test_clashing_names(docs):
         got = linedup.keep_first_lines(own)
         assert got.columns == own.columns
         assert sorted((r.text, r[5], r[6]) for r in got.collect()) == [("more", "extra", 7), (line, "extra", 7), ("x", "extra", 7)]
+
+
+OWN_SESSION = """
+import sys
+import pyarrow as pa
+from pyspark import TaskContext
+from pyspark.sql import SparkSession
+from moraine.llm import common, linedup
+
+spark = SparkSession.builder.master("local[2,2]").config("spark.checkpoint.dir", "file://" + sys.argv[1]).config("spark.sql.shuffle.partitions", "2").config("spark.ui.enabled", "false").getOrCreate()
+line = "one two three four five six seven eight nine"
+rows = [(1, line), (2, line + "\\nmore"), (3, None), (4, "tiny")]
+got = linedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+assert sorted((r.doc_id, r.n_deleted) for r in got) == [(1, 0), (2, 1), (3, 0), (4, 0)]
+
+def fails_once(batches):
+    for b in batches:
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([[{"x": b"x" * common.GROUP_BYTES}]] * b.num_rows, pa.list_(pa.struct([("x", pa.binary())])))], ["id", "xs"])
+    if TaskContext.get().attemptNumber() == 0:
+        raise ValueError("first attempt")
+
+kept = common.filed(spark.range(4).repartition(2).mapInArrow(fails_once, "id long, xs array<struct<x:binary>>"), "again")
+assert sorted((r.id, len(r.xs[0].x)) for r in kept.collect()) == [(i, common.GROUP_BYTES) for i in range(4)]
+assert common.filed(kept.where("id > 9"), "none").collect() == []
+"""
+
+
+def test_tables_start_no_commands(tmp_path):
+    """Each command that the JVM starts counts its memory twice for a moment; a failed attempt adds no rows."""
+    told, real = tmp_path / "told", shutil.which("chmod")
+    (tmp_path / "bin").mkdir()
+    (tmp_path / "bin/chmod").write_text(f'#!/bin/sh\necho "$*" >> {told}\nexec {real} "$@"\n')
+    (tmp_path / "bin/chmod").chmod(0o755)
+    env = os.environ | {"PATH": f"{tmp_path}/bin:{os.environ['PATH']}"}
+    for name in ("PYSPARK_GATEWAY_PORT", "PYSPARK_GATEWAY_SECRET"):
+        env.pop(name, None)
+    done = subprocess.run([sys.executable, "-c", OWN_SESSION, str(tmp_path / "shared")], env=env, capture_output=True, text=True, timeout=300)
+    assert [x for x in told.read_text().split("\n") if "/moraine/" in x] == []
+    assert done.returncode == 0, done.stderr[-2000:]
