@@ -63,13 +63,14 @@ def page_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.where("path <> ''").withColumn("kind", F.when(F.col("page_id") % 10 == 0, "directory").otherwise("file"))
 
 
-def chunks(spark: SparkSession, sf_dir: str, snapshot: int = 1) -> DataFrame:
-    """The documents' UTF-8 bytes cut into blocks of BLOCK; one stream each."""
+def chunks(spark: SparkSession, sf_dir: str, snapshot: int = 1, with_data: bool = False) -> DataFrame:
+    """The documents' UTF-8 bytes cut into blocks of BLOCK; one stream each. with_data: each with its bytes."""
     d = documents(spark, sf_dir, snapshot).where("text <> ''").select(F.concat(F.lit("d"), "doc_id").alias("stream_id"), F.encode("text", "utf-8").alias("data"), F.octet_length("text").cast("long").alias("n"))
     rows = d.withColumn("seq", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / BLOCK))))
     offset = F.col("seq") * BLOCK
     end = F.least(F.col("n"), offset + BLOCK)
-    return rows.select("stream_id", "seq", offset.alias("offset"), end.alias("end_offset"), (end - offset).alias("size"), F.sha2(F.substring("data", (offset + 1).cast("int"), F.lit(BLOCK)), 256).alias("digest"))
+    data = F.substring("data", (offset + 1).cast("int"), F.lit(BLOCK))
+    return rows.select("stream_id", "seq", offset.alias("offset"), end.alias("end_offset"), (end - offset).alias("size"), F.sha2(data, 256).alias("digest"), *([data.alias("data")] if with_data else []))
 
 
 def snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -568,10 +568,9 @@ def index_records(spark: SparkSession, sf: str) -> DataFrame:
 
 def frame_records(spark: SparkSession, sf: str) -> DataFrame:
     """Frame streams in which even chunks are injected and odd ones come as data."""
-    d = m.documents(spark, sf).select(F.concat(F.lit("d"), "doc_id").alias("name"), F.encode("text", "utf-8").alias("bytes"))
-    c = m.chunks(spark, sf).withColumnRenamed("stream_id", "name")
+    c = m.chunks(spark, sf, with_data=True).withColumnRenamed("stream_id", "name")
     even = F.col("seq") % 2 == 0
-    rows = c.join(d, "name").select("name", "seq", F.when(even, "inject").otherwise("data").alias("kind"), F.when(~even, F.substring("bytes", (F.col("offset") + 1).cast("int"), F.col("size").cast("int"))).alias("data"), F.when(even, F.col("digest")).alias("digest"), "size")
+    rows = c.select("name", "seq", F.when(even, "inject").otherwise("data").alias("kind"), F.when(~even, F.col("data")).alias("data"), F.when(even, F.col("digest")).alias("digest"), "size")
     return formats.read_frames(formats.write_frames(rows)).select("name", "seq", "kind", F.coalesce("digest", F.sha2("data", 256)).alias("digest"), "size")
 
 

@@ -23,8 +23,6 @@ CATALOG = "name string, seq long, path string, letter string, size long, mtime l
 INDEX = "name string, seq long, start_offset long, end_offset long, digest string"
 FRAMES = "name string, seq long, kind string, data binary, digest string, size long"
 BLOBS = "name string, data binary, size long"
-#: Rows that a reader hands on at once.
-ROWS = 1024
 _KINDS = {"string": pa.string(), "long": pa.int64(), "binary": pa.binary()}
 
 
@@ -32,22 +30,16 @@ def _read(files: DataFrame, schema: str, rows: Callable[[bytes], Iterable[tuple]
     fields = [x.split() for x in schema.split(", ")]
     names, kinds = [x[0] for x in fields], [_KINDS[x[1]] for x in fields]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def made(part: list[tuple]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*part), kinds)], names)
-
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for batch in batches:
-            part: list[tuple] = []
             for name, data in zip(batch.column(0), batch.column(1)):
-                if not data.is_valid:
-                    continue
-                for row in rows(data.as_py()):
-                    part.append((name.as_py(), *row))
-                    if len(part) >= ROWS:
-                        yield made(part)
-                        part = []
-            if part:
-                yield made(part)
+                if data.is_valid:
+                    key = name.as_py()
+                    for row in rows(data.as_py()):
+                        yield key, *row
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return archives.handed_on(read(batches), names, kinds)
 
     return files.select("name", "data").mapInArrow(run, schema)
 
@@ -92,32 +84,50 @@ def write_blobs(plain: DataFrame, compress: bool = True) -> DataFrame:
     return _read(plain, "name string, data binary", lambda data: [(codecs.encode_blob(data, compress),)])
 
 
-def _write(rows: DataFrame, order: str, made: Callable[[list[dict]], bytes]) -> DataFrame:
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(order).astype(object)
-        part = part.where(part.notna(), None)
-        return pd.DataFrame({"name": [part["name"].iloc[0]], "data": [made(part.to_dict("records"))]})
+def _write(rows: DataFrame, made: Callable[[list[tuple]], bytes]) -> DataFrame:
+    """(name, data) of rows (name, order, ...); made gets the rest of a file's rows in order.
+
+    Files are told apart in one sorted stream: a call for each would cost more than the small ones do.
+    """
+
+    def files(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        name, part = None, []
+        for batch in batches:
+            for at in range(0, batch.num_rows, archives.ROWS):
+                keys, _, *columns = (c.to_pylist() for c in batch.slice(at, archives.ROWS).columns)
+                for key, row in zip(keys, zip(*columns)):
+                    if part and key != name:
+                        yield name, made(part)
+                        part = []
+                    name = key
+                    part.append(row)
+        if part:
+            yield name, made(part)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return archives.handed_on(files(batches), ["name", "data"], [pa.string(), pa.binary()])
 
-    return rows.groupBy("name").applyInPandas(run, "name string, data binary")
+    name, order = rows.columns[:2]
+    return rows.repartition(name).sortWithinPartitions(name, F.col(order).asc_nulls_last()).mapInArrow(run, "name string, data binary")
 
 
 def write_catalogs(rows: DataFrame) -> DataFrame:
     """Catalogs of (name, seq, path, letter, size, mtime)."""
-    return _write(rows.select("name", "seq", "path", "letter", "size", "mtime"), "seq", lambda r: codecs.encode_catalog([(x["path"], x["letter"], int(x["size"] or 0), int(x["mtime"] or 0)) for x in r]))
+    return _write(rows.select("name", "seq", "path", "letter", "size", "mtime"), lambda r: codecs.encode_catalog([(path, letter, int(size or 0), int(mtime or 0)) for path, letter, size, mtime in r]))
 
 
 def write_indexes(rows: DataFrame) -> DataFrame:
     """Indexes of (name, seq, end_offset, digest)."""
-    return _write(rows.select("name", "seq", "end_offset", "digest"), "seq", lambda r: codecs.render_index([(int(x["end_offset"]), x["digest"]) for x in r]))
+    return _write(rows.select("name", "seq", "end_offset", "digest"), lambda r: codecs.render_index([(int(end), digest) for end, digest in r]))
 
 
 def write_frames(rows: DataFrame, magic: bytes = codecs.FRAME_MAGIC) -> DataFrame:
     """Frame streams of (name, seq, kind, data, digest, size): a frame a row."""
 
-    def made(r: list[dict]) -> bytes:
-        return codecs.encode_frames([("data", bytes(x["data"] or b""), []) if x["kind"] == "data" else ("inject", b"", [(x["digest"], int(x["size"]))]) for x in r], magic)
+    def made(r: list[tuple]) -> bytes:
+        return codecs.encode_frames([("data", data or b"", []) if kind == "data" else ("inject", b"", [(digest, int(size))]) for kind, data, digest, size in r], magic)
 
-    return _write(rows.select("name", "seq", "kind", "data", "digest", "size"), "seq", made)
+    return _write(rows.select("name", "seq", "kind", "data", "digest", "size"), made)
 
 
 def write_archives(nodes: DataFrame, version: int = 1) -> DataFrame:
