@@ -37,3 +37,17 @@ def test_frames_over_batches(spark, short_batches):
     got = formats.write_frames(spark.createDataFrame(rows[::-1], "name string, seq long, kind string, data binary, digest string, size long").repartition(3)).collect()
     want = {name: codecs.encode_frames([("data", x or b"", []) if k % 2 else ("inject", b"", [(digest(k), k)]) for k, x in enumerate(parts)]) for name, parts in frames.items()}
     assert len(got) == len(want) and {r.name: bytes(r.data) for r in got} == want
+
+
+def test_indexes_and_catalogs_need_no_call_for_each_file(spark):
+    for query in (queries.index_records, queries.catalog_entries):
+        found = plan(query(spark, SF))
+        assert "FlatMapGroups" not in found and "MapInArrow" in found
+
+
+def test_indexes_over_batches(spark, short_batches):
+    sizes = {"a": 1, "b": 10, "c": 2, None: 4}
+    rows = [(name, k, (k + 1) * (1 << 53) + k, digest(k)) for name, n in sizes.items() for k in range(n)]
+    got = formats.write_indexes(spark.createDataFrame(rows[::-1], "name string, seq long, end_offset long, digest string").repartition(3)).collect()
+    want = {name: codecs.render_index([((k + 1) * (1 << 53) + k, digest(k)) for k in range(n)]) for name, n in sizes.items()}
+    assert len(got) == len(want) and {r.name: bytes(r.data) for r in got} == want
